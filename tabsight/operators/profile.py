@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabsight.functions.columns import TEMPORAL_TYPES, unpivot_wide
 
@@ -54,9 +54,9 @@ def missing_alerts(report: DataFrame, threshold: float = MISSING_ALERT_PERCENT)
 
 def missing_top(report: DataFrame, limit: int = 5) -> DataFrame:
     """Columns with the most missing values, next to the table's total."""
-    total = report.agg(F.sum("missing").alias("total_missing"))
-    top = report.orderBy(F.desc("missing"), "column").limit(limit)
-    return top.join(F.broadcast(total))  # total is one row
+    # the report has one row per column, so one window over all of it is small
+    total = F.sum("missing").over(W.partitionBy(F.lit(0)))
+    return report.withColumn("total_missing", total).orderBy(F.desc("missing"), "column").limit(limit)
 
 
 def data_profile(df: DataFrame) -> DataFrame:
