@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabsight.functions.columns import numeric_columns, select_numeric
 from tabsight.operators.ordered import ORDINAL, cumulate, number_rows
+from tabsight.operators.quantiles import melt
 from tabsight.sources.scratch import materialize
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -34,47 +35,71 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(cells))
 
 
-def average_ranks(counts: DataFrame, value: str) -> DataFrame:
-    """(value, rank) from a (value, n) histogram: tied values share the mean of their ranks."""
-    placed = cumulate(counts, [value], "n").frame
-    return placed.select(value, (F.col(ORDINAL) + (F.col("n") + 1) / 2.0).alias("rank"))
+def centred_ranks(counts: DataFrame, value: str) -> DataFrame:
+    """(value, rank) from a (value, n) histogram: tied values share the mean of their ranks.
 
+    Ranks are shifted by their overall mean (total + 1) / 2, which keeps the sums small.
+    """
+    placed = cumulate(counts, [value], "n")
+    rank = F.col(ORDINAL) + (F.col("n") + 1) / 2.0 - (placed.total + 1) / 2.0
+    return placed.frame.select(value, rank.alias("rank"))
 
-def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson of average ranks per pair of columns, on the pair's complete rows.
 
-    Rows are first reduced to distinct (x, y) with counts.  Ranks of y join on y and collapse
-    to one weighted sum per x; ranks of x then meet a table unique in x, so only the first
-    join can see a hot key, and adaptive execution splits that one.
+def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
+    """Pairs of columns without nulls: one shared ranking per column, then one aggregate for all pairs.
+
+    The histograms of all columns are ranked in one sorted table; column number j starts at
+    j·rows because every column contributes each row once.
     """
-    out = None
+    counts = melt(df, [], columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    placed = cumulate(counts, ["column", "value"], "n").frame
+    ranked = df.select(*columns)
+    for j, c in enumerate(sorted(columns)):
+        rank = F.col(ORDINAL) - F.lit(j * rows) + (F.col("n") + 1) / 2.0 - (rows + 1) / 2.0
+        ranks = placed.filter(F.col("column") == c).select(F.col("value").alias(c), rank.alias(f"{c}__rank"))
+        ranked = ranked.join(ranks, c)
+    pairs = pearson(ranked.select(*[F.col(f"{c}__rank").alias(c) for c in columns]), columns)
+    return pairs.withColumn("method", F.lit("spearman"))
+
+
+def _spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One pair on its complete rows, reduced to distinct (x, y) with counts.
+
+    Ranks of y join on y and collapse to one weighted sum per x; ranks of x then meet a table
+    unique in x, so only the first join can see a hot key, and adaptive execution splits it.
+    """
+    cells = df.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
+    cells = materialize(cells.groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
+    rx = centred_ranks(cells.groupBy("x").agg(F.sum("n").alias("n")), "x").withColumnRenamed("rank", "rx")
+    ry = centred_ranks(cells.groupBy("y").agg(F.sum("n").alias("n")), "y").withColumnRenamed("rank", "ry")
+    by_x = cells.join(ry, "y").groupBy("x").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("ry")).alias("sy"),
+        F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("syy"),
+    )
+    sums = by_x.join(rx, "x").agg(
+        F.sum(F.col("rx") * F.col("sy")).alias("sxy"),
+        F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("sxx"),
+        F.sum("syy").alias("syy"),
+    )
+    return sums.select(
+        F.lit("spearman").alias("method"),
+        F.lit(a).alias("col1"),
+        F.lit(b).alias("col2"),
+        F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy")).alias("corr"),
+    )
+
+
+def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson of average ranks, each pair on its complete rows."""
+    row = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    complete = [c for i, c in enumerate(columns) if row[f"n{i}"] == row["rows"] > 0]
+    out = _spearman_complete(df, complete, row["rows"]) if len(complete) > 1 else None
     for a, b in combinations(columns, 2):
-        cells = df.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
-        cells = materialize(cells.groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
-        rx = average_ranks(cells.groupBy("x").agg(F.sum("n").alias("n")), "x").withColumnRenamed("rank", "rx")
-        ry = average_ranks(cells.groupBy("y").agg(F.sum("n").alias("n")), "y").withColumnRenamed("rank", "ry")
-        by_x = cells.join(ry, "y").groupBy("x").agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("ry")).alias("sy"),
-            F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("syy"),
-        )
-        sums = by_x.join(rx, "x").agg(
-            F.sum("n").cast("double").alias("n"),
-            F.sum(F.col("n") * F.col("rx")).alias("sx"),
-            F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("sxx"),
-            F.sum(F.col("rx") * F.col("sy")).alias("sxy"),
-            F.sum("sy").alias("sy"),
-            F.sum("syy").alias("syy"),
-        )
-        covariance = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-        spread = F.sqrt(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * F.sqrt(
-            F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-        )
-        row = sums.select(
-            F.lit("spearman").alias("method"), F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-            F.try_divide(covariance, spread).alias("corr"),
-        )
-        out = row if out is None else out.unionByName(row)
+        if a in complete and b in complete:
+            continue
+        pair = _spearman_pair(df, a, b)
+        out = pair if out is None else out.unionByName(pair)
     return out
 
 

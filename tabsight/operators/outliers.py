@@ -27,7 +27,7 @@ FOREST_MIN_ROWS = 10
 LOF_MIN_ROWS = 20
 TREES = 100
 TREE_ROWS = 256
-POOL_ROWS = 1_000_000
+POOL_ROWS = 50_000
 SEED = 42
 
 
@@ -138,15 +138,19 @@ def _tree_samples(df: DataFrame, ids: Sequence[str], column: str, n: int, trees:
     """(tree, value): for each tree the ``TREE_ROWS`` rows with the smallest (id, tree) hash.
 
     Only a hashed pool of bounded expected size is considered, so a large table is scanned
-    once and almost all rows leave at the first test.
+    once and almost all rows leave at the first test; a second hash test per tree keeps
+    about four times the rows the tree needs.
     """
+    slots = 1 << 40
     data = df.select(*ids, F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
     if n > POOL_ROWS:
-        slots = 1 << 40
         keep = int(slots * (POOL_ROWS / n))
         data = data.filter(F.pmod(F.xxhash64(*ids, F.lit(SEED)), F.lit(slots)) < keep)
     drawn = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("draw", F.xxhash64(*ids, F.col("tree"), F.lit(SEED)))
+    drawn = drawn.withColumn("draw", F.pmod(F.xxhash64(*ids, F.col("tree"), F.lit(SEED)), F.lit(slots)))
+    share = 4 * TREE_ROWS / min(n, POOL_ROWS)
+    if share < 1:
+        drawn = drawn.filter(F.col("draw") < int(slots * share))
     order = W.partitionBy("tree").orderBy("draw", *ids)
     return drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= TREE_ROWS).select("tree", "value")
 
@@ -267,7 +271,7 @@ def method_grid(df: DataFrame, columns: Sequence[str], methods: Sequence[str]) -
 def summarize(flags: DataFrame, grid: DataFrame) -> DataFrame:
     """(method, column, count, percent of non-null values)."""
     counts = flags.groupBy("method", "column").agg(F.count("*").alias("count"))
-    joined = F.broadcast(grid).join(counts, ["method", "column"], "left")  # methods x columns rows
+    joined = grid.join(counts, ["method", "column"], "left")
     count = F.coalesce("count", F.lit(0).cast("bigint"))
     return joined.select("method", "column", "n", count.alias("count"), (count / F.col("n") * 100).alias("percent"))
 
