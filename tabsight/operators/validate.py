@@ -22,7 +22,7 @@ def check_columns(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     extra = present.join(dictionary.select("column"), "column", "left_anti").select(
         F.lit("warning").alias("severity"), F.lit("extra_column").alias("rule"), "column"
     )
-    return missing.unionByName(extra).withColumn("n", F.lit(None).cast("bigint"))
+    return missing.unionByName(extra).withColumn("n", F.lit(1).cast("bigint"))
 
 
 def _empty(df: DataFrame) -> DataFrame:
