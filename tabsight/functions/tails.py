@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -47,7 +47,7 @@ def student_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def slope_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a regression slope from its correlation and the number of points."""
 

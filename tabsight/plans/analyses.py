@@ -52,6 +52,12 @@ def trends(df: DataFrame, columns: Sequence[str], ts: str, ids: Sequence[str]) -
     return out
 
 
+def melted_trend(frame: DataFrame, column: str) -> DataFrame:
+    """Linear trend of one column as (analysis, item, stat, value)."""
+    names = ["slope", "intercept", "r_squared", "std_error", "p_value", "trend_strength"]
+    return _melted(frame.withColumn("column", F.lit(column)), "timeseries.trend", ["column", "trend_direction"], names)
+
+
 def series(df: DataFrame, columns: Sequence[str], ids: Sequence[str], date_column: str | None = None) -> DataFrame | None:
     """Trend, growth, seasonality, volatility, momentum and autocorrelation of each column over time."""
     ts = temporal_column(df, date_column)
@@ -59,18 +65,19 @@ def series(df: DataFrame, columns: Sequence[str], ids: Sequence[str], date_colum
         return None
     out = None
 
-    def add(frame: DataFrame, analysis: str, item: list, names: Sequence[str]) -> None:
+    def keep(part: DataFrame) -> None:
         nonlocal out
-        part = _melted(frame, analysis, item, names)
         out = part if out is None else out.unionByName(part)
 
+    def add(frame: DataFrame, analysis: str, item: list, names: Sequence[str]) -> None:
+        keep(_melted(frame, analysis, item, names))
+
     for c in columns:
         s = timeseries.Series(df, ts, c, ids)
         if s.numbered.total < MIN_SERIES_ROWS:
             continue
         named = lambda frame, c=c: frame.withColumn("column", F.lit(c))
-        add(named(timeseries.linear_trend(s)), "timeseries.trend", ["column", "trend_direction"],
-            ["slope", "intercept", "r_squared", "std_error", "p_value", "trend_strength"])
+        keep(melted_trend(timeseries.linear_trend(s), c))
         add(named(timeseries.moving_average_summary(s)), "timeseries.moving_average", ["column", "window"],
             ["current_value", "change_from_start"])
         add(named(timeseries.growth(s)), "timeseries.growth", ["column"], ["mean", "std", "min", "max"])
