@@ -319,16 +319,16 @@ def whatif_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORES_SQL = f"""
-SELECT part, round((price_level + volume_level) / 2 / greatest((discount_use + tax_use) / 2, 0.1), 6) AS cost_effectiveness,
-       round(1.0::DOUBLE - CASE WHEN return_share > 0 THEN return_share ELSE 0.5 END, 6) AS risk_reduction,
-       round(1.0::DOUBLE - days / 365.0::DOUBLE, 6) AS timeline_efficiency,
-       round(1.0::DOUBLE - abs((discount_use + tax_use) / 2 - 0.7::DOUBLE), 6) AS resource_utilization
+SELECT part, round((price_level + volume_level) / 2 / greatest((discount_use + tax_use) / 2, 0.1), 9) AS cost_effectiveness,
+       round(1.0::DOUBLE - CASE WHEN return_share > 0 THEN return_share ELSE 0.5 END, 9) AS risk_reduction,
+       round(1.0::DOUBLE - days / 365.0::DOUBLE, 9) AS timeline_efficiency,
+       round(1.0::DOUBLE - abs((discount_use + tax_use) / 2 - 0.7::DOUBLE), 9) AS resource_utilization
 FROM ({ENTITY_SQL})"""
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = ranking.criterion_scores(_scenarios(spark, sf_dir), ["part"])
-    return scores.select("part", *[rounded(c).alias(c) for c in ranking.CRITERIA])
+    return scores.select("part", *[rounded(c, 9).alias(c) for c in ranking.CRITERIA])
 
 
 @register("criterion_scores", SCORES_SQL)

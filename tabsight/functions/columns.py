@@ -46,3 +46,12 @@ def rounded(column: str | Column, digits: int = 6) -> Column:
     """Round and turn -0.0 into 0.0."""
     col = F.col(column) if isinstance(column, str) else column
     return F.round(col.cast("double"), digits) + F.lit(0.0)
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds from ``start`` to ``end`` on wall-clock time, whatever the session time zone."""
+    gap = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), gap).cast("bigint")
+    seconds = F.extract(F.lit("SECOND"), gap)
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")

@@ -21,18 +21,22 @@ _PAIR_SCHEMA = "method string, col1 string, col2 string, corr double"
 
 
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Unordered pairs, each over its rows without nulls; one aggregate, one row shuffled per task."""
+    """Unordered pairs, each over its rows without nulls, in one scan.
+
+    Rows fan out to (pair, x, y) inside the scan stage and are aggregated there, so one row
+    per pair and task is shuffled.  A wide aggregate with one correlation per pair outgrows
+    what the JVM compiles and runs interpreted.
+    """
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.array(
-        *[
-            F.struct(
-                F.lit("pearson").alias("method"), F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("corr")
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
+        *[F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]
     )
-    return wide.select(F.inline(cells))
+    long = df.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    names = df.sparkSession.createDataFrame(
+        [(i, "pearson", a, b) for i, (a, b) in enumerate(pairs)], "pair int, method string, col1 string, col2 string"
+    )
+    found = long.groupBy("pair").agg(F.corr("x", "y").alias("corr"))
+    return names.join(found, "pair", "left").drop("pair")
 
 
 def centred_ranks(counts: DataFrame, value: str) -> DataFrame:
@@ -162,36 +166,49 @@ def discordant_pairs(points: DataFrame, size: int, per_group: int = POINTS_PER_G
         per_a, per_b = b_values, a_values
 
 
+def _tie_counts(points: DataFrame) -> tuple[float, float, float, float]:
+    """(all pairs, pairs tied in x, tied in y, tied in both) of weighted distinct (x, y), in one job."""
+    pairs = F.sum("w").cast("double") * (F.sum("w").cast("double") - 1) / 2
+    parts = [
+        points.groupBy(*keys).agg(pairs.alias("p")).agg(F.sum("p").alias("p")).select(F.lit(i).alias("i"), "p")
+        for i, keys in enumerate(([], ["x"], ["y"], ["x", "y"]))
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    found = {r["i"]: r["p"] or 0.0 for r in union.collect()}  # four numbers
+    return found[0], found[1], found[2], found[3]
+
+
+def _tau_b(all_pairs: float, n1: float, n2: float, n3: float, discordant: float) -> float | None:
+    scale = ((all_pairs - n1) * (all_pairs - n2)) ** 0.5
+    return (all_pairs - n1 - n2 + n3 - 2 * discordant) / scale if scale else None
+
+
 def kendall(df: DataFrame, columns: Sequence[str], per_group: int = POINTS_PER_GROUP) -> DataFrame:
     """Tau-b per pair of columns.
 
-    Distinct (x, y) pairs are numbered in (x, y) order and again in (y, first number) order.
-    On these two permutations a pair is discordant exactly when x and y disagree strictly.
+    Rows are reduced to distinct (x, y) with counts.  When these fit one bounded group they
+    are counted there.  Otherwise they are numbered in (x, y) order and again in (y, first
+    number) order: on these two permutations a pair is discordant exactly when x and y
+    disagree strictly, and the pairs are counted block by block.
     """
     spark = df.sparkSession
     rows = []
     for x, y in combinations(columns, 2):
         cells = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
-        cells = cells.groupBy("x", "y").agg(F.count("*").alias("w"))
-        by_x = number_rows(cells, ["x", "y"])
-        ordered = by_x.frame.withColumnRenamed(ORDINAL, "a")
-        both = number_rows(ordered, ["y", "a"])
-        points = both.frame.select("x", "y", "w", "a", F.col(ORDINAL).alias("b"))
-
-        def tied(keys: list[str]) -> float:
-            t = F.sum("w").cast("double")
-            pairs = points.groupBy(*keys).agg((t * (t - 1) / 2).alias("p"))
-            return pairs.agg(F.sum("p")).first()[0] or 0.0
-
-        n = points.agg(F.sum("w")).first()[0]
+        cells = materialize(cells.groupBy("x", "y").agg(F.count("*").alias("w")), "cells")
+        distinct = cells.count()
         corr = None
-        if n is not None:
-            all_pairs = n * (n - 1) / 2
-            n1, n2, n3 = tied(["x"]), tied(["y"]), tied(["x", "y"])
-            discordant = discordant_pairs(points.select("a", "b", "w"), both.total, per_group)
-            concordant = all_pairs - n1 - n2 + n3 - discordant
-            scale = ((all_pairs - n1) * (all_pairs - n2)) ** 0.5
-            corr = (concordant - discordant) / scale if scale else None
+        if distinct:
+            if distinct <= per_group:
+                whole = cells.withColumn("one", F.lit(1))
+                discordant = _count_within(whole, "one", "x", "y").first()["d"]
+            else:
+                by_x = number_rows(cells, ["x", "y"])
+                both = number_rows(by_x.frame.withColumnRenamed(ORDINAL, "a"), ["y", "a"])
+                discordant = discordant_pairs(both.frame.select("a", F.col(ORDINAL).alias("b"), "w"), both.total, per_group)
+            corr = _tau_b(*_tie_counts(cells), discordant)
         rows.append(("kendall", x, y, corr))
     return spark.createDataFrame(rows, _PAIR_SCHEMA)
 

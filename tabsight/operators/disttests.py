@@ -8,7 +8,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import DataFrame, functions as F
 
 from tabsight.functions.moments import dagostino_k2
@@ -30,6 +29,8 @@ _GAMMA = (-2.273, 0.459)
 
 def ks_normal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, statistic, p_value) against the normal with the column's mean and sample std."""
+    from pyspark.ml.stat import KolmogorovSmirnovTest  # here, because workers import this module too
+
     out = df.sparkSession.createDataFrame([], "column string, statistic double, p_value double")
     for c in columns:
         data = df.select(F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull())

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tabsight.functions.columns import micros_between
 from tabsight.operators.ordered import ORDINAL, block_window, blocks, number_rows
 
 RECENT = 10
@@ -39,8 +40,7 @@ def state_duration(
     rows = number_rows(changes.select(*entity, state, ts, *ids), [*entity, ts, *ids])
     placed = blocks(rows, after=1, size=block_size)
     until = F.coalesce(F.lead(ts).over(block_window(entity)), now)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    timed = placed.withColumn("_us", micros(until) - micros(F.col(ts))).filter(~F.col("_halo"))
+    timed = placed.withColumn("_us", micros_between(F.col(ts), until)).filter(~F.col("_halo"))
     sums = timed.groupBy(*entity, state).agg((F.sum("_us") / 1e6).alias("seconds"))
     return sums.filter(F.col("seconds") > 0)
 
@@ -76,52 +76,46 @@ def log_summary(log: DataFrame, party: str, state: str, order_by: Sequence[str],
     return totals.withColumn("state_changes", F.lit(changes.count()))
 
 
-def _present(json: Column, field: str) -> Column:
-    """A field counts as present even when its value is null."""
-    return F.array_contains(F.json_object_keys(json), field)
-
-
-def record_errors(json: Column) -> Column:
-    """All schema errors of a JSON record; missing fields stop the further checks."""
-    raw = F.from_json(json, "map<string,string>")
-    typed = F.try_parse_json(json)
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(typed, f"$.{f}", "variant"))
-    is_text = lambda f: F.coalesce(kind(f) == "STRING", F.lit(False))
-    value = lambda f: F.get(F.array(raw[f]), F.lit(0))
-    missing = F.filter(
-        F.array(*[F.lit(f) for f in sorted(REQUIRED_FIELDS)]),
-        lambda f: ~F.coalesce(F.array_contains(F.json_object_keys(json), f), F.lit(False)),
-    )
-    nonempty = lambda f: is_text(f) & (F.length(value(f)) > 0)
-    moment = is_text("timestamp") & value("timestamp").rlike(ISO_TIMESTAMP)
-    day = F.try_to_timestamp(F.substring(value("timestamp"), 1, 10), F.lit("yyyy-MM-dd"))
+def _record_errors() -> Column:
+    """All schema errors of a parsed record (``_doc`` variant, ``_keys``); missing fields stop the further checks."""
+    field = lambda f: F.try_variant_get("_doc", f"$.{f}", "variant")
+    kind = lambda f: F.coalesce(F.schema_of_variant(field(f)), F.lit("VOID"))
+    value = lambda f: F.try_variant_get("_doc", f"$.{f}", "string")
+    is_text = lambda f: kind(f) == "STRING"
+    unless = lambda ok, message: F.when(~F.coalesce(ok, F.lit(False)), message)
+    required = F.array(*[F.lit(f) for f in sorted(REQUIRED_FIELDS)])
+    missing = F.array_except(required, F.coalesce("_keys", F.array().cast("array<string>")))
+    stamp = value("timestamp")
+    day = F.try_to_timestamp(F.substring(stamp, 1, 10), F.lit("yyyy-MM-dd"))
     checks = F.array_compact(
         F.array(
-            F.when(~F.coalesce(nonempty("sender"), F.lit(False)), "Sender must be a non-empty string"),
-            F.when(~F.coalesce(nonempty("recipient"), F.lit(False)), "Recipient must be a non-empty string"),
-            F.when(
-                ~F.coalesce(is_text("message_type") & value("message_type").isin(*MESSAGE_TYPES), F.lit(False)),
+            unless(is_text("sender") & (F.length(value("sender")) > 0), F.lit("Sender must be a non-empty string")),
+            unless(is_text("recipient") & (F.length(value("recipient")) > 0), F.lit("Recipient must be a non-empty string")),
+            unless(
+                is_text("message_type") & value("message_type").isin(*MESSAGE_TYPES),
                 F.concat(F.lit("Invalid message type: "), F.coalesce(value("message_type"), F.lit("None"))),
             ),
-            F.when(
-                ~F.coalesce(is_text("priority") & value("priority").isin(*MESSAGE_PRIORITIES), F.lit(False)),
+            unless(
+                is_text("priority") & value("priority").isin(*MESSAGE_PRIORITIES),
                 F.concat(F.lit("Invalid priority: "), F.coalesce(value("priority"), F.lit("None"))),
             ),
-            F.when(~F.coalesce(F.startswith(kind("content"), F.lit("OBJECT")), F.lit(False)), "Content must be a dictionary"),
-            F.when(~F.coalesce(is_text("correlation_id"), F.lit(False)), "Correlation ID must be a string"),
-            F.when(
-                ~F.coalesce(moment & day.isNotNull(), F.lit(False)), "Timestamp must be a valid ISO format datetime string"
+            unless(F.startswith(kind("content"), F.lit("OBJECT")), F.lit("Content must be a dictionary")),
+            unless(is_text("correlation_id"), F.lit("Correlation ID must be a string")),
+            unless(
+                is_text("timestamp") & stamp.rlike(ISO_TIMESTAMP) & day.isNotNull(),
+                F.lit("Timestamp must be a valid ISO format datetime string"),
             ),
         )
     )
     lost = F.array(F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")))
-    broken = F.coalesce(F.startswith(F.schema_of_variant(typed), F.lit("OBJECT")), F.lit(False))
-    return F.when(~broken, F.array(F.lit("Invalid JSON"))).when(F.size(missing) > 0, lost).otherwise(checks)
+    invalid = F.col("_doc").isNull() | F.col("_keys").isNull()
+    return F.when(invalid, F.array(F.lit("Invalid JSON"))).when(F.size(missing) > 0, lost).otherwise(checks)
 
 
 def validate_records(log: DataFrame, json: str) -> DataFrame:
-    """Add ``errors`` and ``is_valid``."""
-    checked = log.withColumn("errors", record_errors(F.col(json)))
+    """Add ``errors`` and ``is_valid``; each record is parsed once before the checks."""
+    parsed = log.withColumn("_doc", F.try_parse_json(json)).withColumn("_keys", F.json_object_keys(json))
+    checked = parsed.withColumn("errors", _record_errors()).drop("_doc", "_keys")
     return checked.withColumn("is_valid", F.size("errors") == 0)
 
 

@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tabsight.functions.columns import micros_between
 from tabsight.functions.tails import slope_p_value
 from tabsight.operators.ordered import BLOCK, ORDINAL, Numbered, block_window, blocks, group_spans, number_rows
 from tabsight.operators.quantiles import exact_quantiles, grouped_quantiles
@@ -211,17 +212,16 @@ def month_profile(s: Series, minimum: int = 24) -> DataFrame:
 
 def basic_metrics(s: Series) -> DataFrame:
     """(keys…, observations, first_ts, last_ts, range_days)."""
-    seconds = F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))
+    micros = micros_between(F.col("first_ts"), F.col("last_ts"))
     spans = s.rows.groupBy(*s.keys).agg(
         F.count("*").alias("observations"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
-    return spans.withColumn("range_days", F.floor(seconds / 86_400_000_000).cast("bigint"))
+    return spans.withColumn("range_days", F.floor(micros / 86_400_000_000).cast("bigint"))
 
 
 def frequency(s: Series) -> DataFrame:
     """(keys…, modal_gap_us, frequency) from the most common gap between consecutive times."""
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = s.with_previous().withColumn("gap", micros("ts") - micros("prev_ts"))
+    rows = s.with_previous().withColumn("gap", micros_between(F.col("prev_ts"), F.col("ts")))
     counts = rows.groupBy(*s.keys, "gap").agg(F.count("*").alias("n"))
     known = F.col("gap").isNotNull()
     modal = counts.groupBy(*s.keys).agg(
