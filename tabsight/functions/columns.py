@@ -23,10 +23,25 @@ def temporal_column(df: DataFrame, explicit: str | None = None) -> str | None:
     return next((f.name for f in df.schema.fields if isinstance(f.dataType, TEMPORAL_TYPES)), None)
 
 
+def number(df: DataFrame, column: str) -> Column:
+    """The column as double, with NaN as null: both mean a missing value."""
+    value = F.col(f"`{column}`").cast("double")
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        return F.nanvl(value, F.lit(None).cast("double"))
+    return value
+
+
+def present(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null, in its own type; for counting values."""
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        return number(df, column)
+    return F.col(f"`{column}`")
+
+
 def select_numeric(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Project to ``keep`` plus the usable numeric columns, cast to double."""
+    """Project to ``keep`` plus the usable numeric columns as doubles."""
     chosen = [c for c in numeric_columns(df, columns) if c not in keep]
-    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in chosen])
+    return df.select(*keep, *[number(df, c).alias(c) for c in chosen])
 
 
 def unpivot_wide(

@@ -17,6 +17,15 @@ def sample_kurtosis(c: str | Column) -> Column:
     return F.when(n >= 4, ((n + 1) * F.kurtosis(c) + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
+def pairwise_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows where both sides are present; null without variation.
+
+    (The built-in ``corr`` divides by zero on a constant side, which ANSI mode reports as an error.)
+    """
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+
+
 def variation(std: Column, mean: Column) -> Column:
     """Coefficient of variation; 0 for a zero mean."""
     return F.when(mean == 0, F.lit(0.0)).otherwise(std / mean)

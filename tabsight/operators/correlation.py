@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tabsight.functions.columns import numeric_columns, select_numeric
+from tabsight.functions.moments import pairwise_corr
 from tabsight.operators.ordered import ORDINAL, cumulate, number_rows
 from tabsight.operators.quantiles import melt
 from tabsight.sources.scratch import materialize
@@ -35,7 +36,7 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = df.sparkSession.createDataFrame(
         [(i, "pearson", a, b) for i, (a, b) in enumerate(pairs)], "pair int, method string, col1 string, col2 string"
     )
-    found = long.groupBy("pair").agg(F.corr("x", "y").alias("corr"))
+    found = long.groupBy("pair").agg(pairwise_corr(F.col("x"), F.col("y")).alias("corr"))
     return names.join(found, "pair", "left").drop("pair")
 
 

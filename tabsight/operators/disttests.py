@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tabsight.functions.columns import number
 from tabsight.functions.moments import dagostino_k2
 from tabsight.operators.quantiles import melt
 
@@ -33,7 +34,7 @@ def ks_normal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     out = df.sparkSession.createDataFrame([], "column string, statistic double, p_value double")
     for c in columns:
-        data = df.select(F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull())
+        data = df.select(number(df, c).alias("x")).filter(F.col("x").isNotNull())
         n, mean, std = data.agg(F.count("x"), F.avg("x"), F.stddev_samp("x")).first()
         if n < MIN_ROWS or not std:
             continue

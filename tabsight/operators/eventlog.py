@@ -77,7 +77,7 @@ def log_summary(log: DataFrame, party: str, state: str, order_by: Sequence[str],
 
 
 def _record_errors() -> Column:
-    """All schema errors of a parsed record (``_doc`` variant, ``_keys``); missing fields stop the further checks."""
+    """All schema errors of a parsed record (``_doc``, ``_keys``, ``_single``); missing fields stop the further checks."""
     field = lambda f: F.try_variant_get("_doc", f"$.{f}", "variant")
     kind = lambda f: F.coalesce(F.schema_of_variant(field(f)), F.lit("VOID"))
     value = lambda f: F.try_variant_get("_doc", f"$.{f}", "string")
@@ -108,14 +108,15 @@ def _record_errors() -> Column:
         )
     )
     lost = F.array(F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")))
-    invalid = F.col("_doc").isNull() | F.col("_keys").isNull()
+    invalid = F.col("_doc").isNull() | F.col("_keys").isNull() | ~F.col("_single")
     return F.when(invalid, F.array(F.lit("Invalid JSON"))).when(F.size(missing) > 0, lost).otherwise(checks)
 
 
 def validate_records(log: DataFrame, json: str) -> DataFrame:
     """Add ``errors`` and ``is_valid``; each record is parsed once before the checks."""
     parsed = log.withColumn("_doc", F.try_parse_json(json)).withColumn("_keys", F.json_object_keys(json))
-    checked = parsed.withColumn("errors", _record_errors()).drop("_doc", "_keys")
+    parsed = parsed.withColumn("_single", is_json_value(F.col(json)))
+    checked = parsed.withColumn("errors", _record_errors()).drop("_doc", "_keys", "_single")
     return checked.withColumn("is_valid", F.size("errors") == 0)
 
 
@@ -130,9 +131,16 @@ def encode_records(records: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS)
     return records.withColumn("json", F.to_json(F.struct(*fields)))
 
 
+def is_json_value(text: Column) -> Column:
+    """Whether the text is exactly one JSON value.  The parsers stop after the first value, so
+    the text must also hold as the only element of an array and as a member of an object."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    member = F.size(F.json_object_keys(F.concat(F.lit('{"value": '), text, F.lit("}")))) == 1
+    return F.coalesce(alone & member, F.lit(False))
+
+
 def embedded_json(text: Column, schema: str, default: Column, array: bool = False) -> Column:
     """JSON between the first opening and the last closing bracket, or the default when absent or broken."""
     pattern = r"(?s)\[.*\]" if array else r"(?s)\{.*\}"
     found = F.regexp_extract(text, pattern, 0)
-    good = F.try_parse_json(F.nullif(found, F.lit(""))).isNotNull()
-    return F.when(good, F.from_json(found, schema)).otherwise(default)
+    return F.when(is_json_value(found), F.from_json(found, schema)).otherwise(default)

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabsight.functions.columns import numeric_columns
+from tabsight.functions.columns import number, numeric_columns
 from tabsight.operators.ordered import BLOCK, ORDINAL, blocks, number_rows
 from tabsight.operators.quantiles import exact_quantiles
 
@@ -84,7 +84,7 @@ def threshold_flags(
 ) -> DataFrame:
     """(method, column, ids…, value) of flagged rows: one scan for all columns and methods."""
     limits = {**THRESHOLDS, **(thresholds or {})}
-    data = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns if c not in ids])
+    data = df.select(*ids, *[number(df, c).alias(c) for c in columns if c not in ids])
     predicates = {k: p for k, p in _bounds(data, columns, methods, limits).items() if p is not None}
     if not predicates:
         return _no_flags(df, ids)
@@ -142,7 +142,7 @@ def _tree_samples(df: DataFrame, ids: Sequence[str], column: str, n: int, trees:
     about four times the rows the tree needs.
     """
     slots = 1 << 40
-    data = df.select(*ids, F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    data = df.select(*ids, number(df, column).alias("value")).filter(F.col("value").isNotNull())
     if n > POOL_ROWS:
         keep = int(slots * (POOL_ROWS / n))
         data = data.filter(F.pmod(F.xxhash64(*ids, F.lit(SEED)), F.lit(slots)) < keep)
@@ -157,7 +157,7 @@ def _tree_samples(df: DataFrame, ids: Sequence[str], column: str, n: int, trees:
 
 def forest_scores(df: DataFrame, ids: Sequence[str], column: str, trees: int = TREES) -> DataFrame | None:
     """(ids…, value, score): anomaly score 2^(-mean path / c(ψ)); None at or below the row gate."""
-    n = df.agg(F.count(column)).first()[0]
+    n = df.agg(F.count(number(df, column))).first()[0]
     if n <= FOREST_MIN_ROWS:
         return None
     depth_limit = math.ceil(math.log2(max(2, min(TREE_ROWS, n))))
@@ -183,7 +183,7 @@ def forest_scores(df: DataFrame, ids: Sequence[str], column: str, trees: int = T
     def score(values: pd.Series) -> pd.Series:
         return pd.Series(scores[np.searchsorted(edges, values.to_numpy(), side="left")])
 
-    data = df.select(*ids, F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    data = df.select(*ids, number(df, column).alias("value")).filter(F.col("value").isNotNull())
     return data.withColumn("score", score("value"))
 
 
@@ -209,7 +209,7 @@ def lof_kernel(values: np.ndarray, k: int) -> np.ndarray:
 
 def lof_scores(df: DataFrame, ids: Sequence[str], column: str, block_size: int | None = None) -> DataFrame | None:
     """(ids…, value, score) with score the local outlier factor; None at or below the row gate."""
-    data = df.select(*ids, F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    data = df.select(*ids, number(df, column).alias("value")).filter(F.col("value").isNotNull())
     rows = number_rows(data, ["value", *ids])
     if rows.total <= LOF_MIN_ROWS:
         return None
@@ -260,7 +260,7 @@ def detect(
 
 def method_grid(df: DataFrame, columns: Sequence[str], methods: Sequence[str]) -> DataFrame:
     """(method, column, n) of every method that runs on a column, so zero counts stay visible."""
-    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     gate = {"isolation_forest": FOREST_MIN_ROWS, "lof": LOF_MIN_ROWS}
     cells = [
         (m, c, row[f"n{i}"]) for i, c in enumerate(columns) for m in methods if row[f"n{i}"] > gate.get(m, 0)

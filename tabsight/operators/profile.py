@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tabsight.functions.columns import TEMPORAL_TYPES, unpivot_wide
+from tabsight.functions.columns import TEMPORAL_TYPES, present, unpivot_wide
 
 # Date shapes (searched inside the text) and boolean spellings.
 DATE_PATTERNS = (r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}")
@@ -35,18 +35,18 @@ def _countable(field: T.StructField) -> bool:
     return not isinstance(field.dataType, (T.MapType, T.VariantType))
 
 
-def _distinct_key(field: T.StructField) -> Column:
+def _distinct_key(df: DataFrame, field: T.StructField) -> Column:
     """What to shuffle for an exact distinct count: long text travels as its digest."""
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
         return F.when(F.octet_length(c) > 64, F.unhex(F.sha2(c, 256))).otherwise(c.cast("binary"))
-    return c
+    return present(df, field.name)
 
 
 def missing_report(df: DataFrame) -> DataFrame:
     """(column, missing, percent): one scan, one row per column."""
     names = df.columns
-    aggs = [F.count("*").alias("rows")] + [F.count(F.col(f"`{c}`")).alias(f"{c}__present") for c in names]
+    aggs = [F.count("*").alias("rows")] + [F.count(present(df, c)).alias(f"{c}__present") for c in names]
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), (F.col("rows") - F.col(f"`{c}__present`")).alias("missing")) for c in names]
     )
@@ -72,9 +72,9 @@ def data_profile(df: DataFrame) -> DataFrame:
     fields = [f for f in df.schema.fields]
     aggs: list[Column] = [F.count("*").alias("rows")]
     for f in fields:
-        c = F.col(f"`{f.name}`")
+        c = present(df, f.name)
         aggs.append(F.count(c).alias(f"{f.name}__present"))
-        aggs.append((F.count_distinct(_distinct_key(f)) if _countable(f) else F.lit(0)).alias(f"{f.name}__distinct"))
+        aggs.append((F.count_distinct(_distinct_key(df, f)) if _countable(f) else F.lit(0)).alias(f"{f.name}__distinct"))
         width = _FIXED_WIDTH.get(type(f.dataType))
         if width:
             size = F.count(c) * width
@@ -113,7 +113,7 @@ def detect_types(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     aggs: list[Column] = []
     for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
+        c = present(df, f.name)
         aggs.append(F.count(c).alias(f"n{i}"))
         if isinstance(f.dataType, T.StringType):
             dated = F.lit(False)
@@ -148,7 +148,7 @@ def detect_types(df: DataFrame) -> DataFrame:
     if open_columns:
         exact = df.agg(*[F.count_distinct(F.col(f"`{f.name}`")).alias(f.name) for f in open_columns]).first()
         for f in open_columns:
-            present = seen[f"n{fields.index(f)}"]
-            few = exact[f.name] <= CATEGORY_LIMIT and exact[f.name] / present < CATEGORY_RATIO
+            values = seen[f"n{fields.index(f)}"]
+            few = exact[f.name] <= CATEGORY_LIMIT and exact[f.name] / values < CATEGORY_RATIO
             decided[f.name] = "CATEGORICAL" if few else "TEXT"
     return df.sparkSession.createDataFrame([(f.name, decided[f.name]) for f in fields], "column string, data_type string")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsight.functions.columns import number
 from tabsight.operators.ordered import ORDINAL, cumulate
 
 DIRECT_ROWS = 4_000_000
@@ -158,8 +159,8 @@ def grouped_quantiles(
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys…, column, value) with one row per non-null cell."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    """(keys…, column, value) with one row per cell that is neither null nor NaN."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("value")) for c in columns])
     long = df.select(*keys, F.inline(cells))
     return long.filter(F.col("value").isNotNull())
 

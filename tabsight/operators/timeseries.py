@@ -12,7 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabsight.functions.columns import micros_between
+from tabsight.functions.columns import micros_between, number
+from tabsight.functions.moments import pairwise_corr
 from tabsight.functions.tails import slope_p_value
 from tabsight.operators.ordered import BLOCK, ORDINAL, Numbered, block_window, blocks, group_spans, number_rows
 from tabsight.operators.quantiles import exact_quantiles, grouped_quantiles
@@ -40,7 +41,7 @@ class Series:
         self.ids = [i for i in ids if i not in (*keys, ts, value)]
         self.block_size = block_size
         picked = [F.col(k) for k in self.keys] + [F.col(i) for i in self.ids]
-        rows = df.select(*picked, F.col(ts).alias("ts"), F.col(value).cast("double").alias("v"))
+        rows = df.select(*picked, F.col(ts).alias("ts"), number(df, value).alias("v"))
         self.rows = rows.filter(F.col("ts").isNotNull() & F.col("v").isNotNull())
 
     @cached_property
@@ -118,7 +119,7 @@ def growth_yoy(s: Series, lag: int = YEAR_ROWS) -> DataFrame:
     g = rows.withColumn("g", _change(F.col("v"), F.col("then"))).filter(F.col("g").isNotNull())
     return g.groupBy(*s.keys).agg(
         F.avg("g").alias("mean"), F.stddev_samp("g").alias("std"), F.max_by("g", ORDINAL).alias("current")
-    )
+    ).filter(F.col("mean").isNotNull())
 
 
 def linear_trend(s: Series) -> DataFrame:
@@ -132,7 +133,7 @@ def linear_trend(s: Series) -> DataFrame:
         F.count("*").alias("n"),
         F.min(x).alias("start"),
         F.regr_slope(F.col("v"), x).alias("slope"),
-        F.corr(F.col("v"), x).alias("r"),
+        pairwise_corr(F.col("v"), x).alias("r"),
         F.avg("v").alias("mean_v"),
         F.avg(x).alias("mean_x"),
         F.var_pop("v").alias("var_v"),
@@ -313,13 +314,15 @@ def autocorrelation(s: Series, max_lag: int = MAX_LAG, minimum: int = 10) -> Dat
     lags = range(1, max_lag + 1)
     shifted = {f"lag_{k}": (lambda w, k=k: F.lag("v", k).over(w)) for k in lags}
     rows = s.windowed(max_lag, **shifted)
-    wide = rows.groupBy(*s.keys).agg(F.count("*").alias("n"), *[F.corr("v", f"lag_{k}").alias(f"r_{k}") for k in lags])
-    cells = F.array(
-        *[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"r_{k}").alias("autocorr")) for k in lags]
+    cells = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"lag_{k}").alias("then")) for k in lags])
+    long = rows.select(*s.keys, "v", F.inline(cells))
+    # a lag of k rows leaves n - k pairs, so the series size follows from any lag's pairs
+    found = long.groupBy(*s.keys, "lag").agg(
+        F.count("then").alias("pairs"), pairwise_corr(F.col("v"), F.col("then")).alias("autocorr")
     )
-    long = wide.filter(F.col("n") >= minimum).select(*s.keys, "n", F.inline(cells))
-    fits = F.col("lag") <= F.floor(F.col("n") / 4)
-    return long.filter(fits & F.col("autocorr").isNotNull() & ~F.isnan("autocorr")).drop("n")
+    n = F.col("pairs") + F.col("lag")
+    fits = (n >= minimum) & (F.col("lag") <= F.floor(n / 4))
+    return found.filter((F.col("pairs") > 0) & fits & F.col("autocorr").isNotNull()).drop("pairs")
 
 
 def minmax_level(s: Series, levels: int = 9, rows: int = CHART_ROWS) -> DataFrame:

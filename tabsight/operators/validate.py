@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.functions.columns import unpivot_wide
+from tabsight.functions.columns import present, unpivot_wide
 from tabsight.operators.clean import coerce_numeric
 from tabsight.sources.dictionary import ColumnRule
 
@@ -40,7 +40,7 @@ def _counted(df: DataFrame, checks: dict, severity: str, rule: str) -> DataFrame
 
 def check_nullability(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
     """Non-nullable columns that hold nulls (error), with the count."""
-    checks = {c: F.col(f"`{c}`").isNull() for c, r in rules.items() if not r.is_nullable and c in df.columns}
+    checks = {c: present(df, c).isNull() for c, r in rules.items() if not r.is_nullable and c in df.columns}
     return _counted(df, checks, "error", "nullability")
 
 
@@ -50,7 +50,7 @@ def check_range(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
     for c, r in rules.items():
         if c in df.columns and r.valid_range and r.data_type == "NUMERICAL":
             low, high = r.valid_range
-            value = coerce_numeric(F.col(f"`{c}`"))
+            value = F.nanvl(coerce_numeric(F.col(f"`{c}`")), F.lit(None).cast("double"))
             checks[c] = (value < low) | (value > high)
     return _counted(df, checks, "warning", "range")
 

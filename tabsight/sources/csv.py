@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The null spellings of the scan, and those a pandas reader adds by default.
@@ -51,7 +51,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",
     census = encoding_census(spark, path).select("file", "encoding").collect()  # one row per file
     by_encoding: dict[str, list[str]] = {}
     for r in census:
-        by_encoding.setdefault(r["encoding"], []).append(r["file"])
+        by_encoding.setdefault(r["encoding"], []).append(unquote(r["file"]))
     frames = [scan_csv(spark, files, delimiter, encoding) for encoding, files in sorted(by_encoding.items())]
     out = frames[0]
     for other in frames[1:]:
@@ -65,38 +65,56 @@ def _separators(line, delimiter: str):
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]] | None:
+    """(uri, bytes) of the data files at a path, empty ones included; None if it does not exist.
+
+    (Readers skip files without content, so the listing comes from the file system.)
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    files, listing = [], fs.listFiles(target, True)
+    while listing.hasNext():
+        status = listing.next()
+        if status.getPath().getName()[:1] not in "._":
+            files.append((status.getPath().toUri().toString(), status.getLen()))
+    return files
+
+
+def _file_key(column):
+    """File URIs spell the start differently (file:/ and file:///)."""
+    return F.regexp_replace(column, r"^[A-Za-z0-9+.-]+:/+", "/")
+
+
 def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",") -> DataFrame:
     """Structural check, one row per file: size, columns, data rows, errors and warnings."""
     paths = [path] if isinstance(path, str) else list(path)
     schema = "file string, bytes bigint, columns bigint, data_rows bigint, errors array<string>, warnings array<string>"
-    found, absent = [], []
-    for p in paths:
-        try:
-            found.append(spark.read.format("binaryFile").load(p).select(F.col("path").alias("file"), F.col("length").alias("bytes")))
-        except AnalysisException:
-            absent.append((p, None, None, None, [f"File does not exist: {p}"], []))
-    missing = spark.createDataFrame(absent, schema)
-    if not found:
+    listed = {p: list_files(spark, p) for p in paths}
+    missing = spark.createDataFrame(
+        [(p, None, None, None, [f"File does not exist: {p}"], []) for p, found in listed.items() if found is None], schema
+    )
+    existing = [p for p, found in listed.items() if found]
+    if not existing:
         return missing
-    files = found[0]
-    for other in found[1:]:
-        files = files.unionByName(other)
-    existing = [p for p in paths if p not in {a[0] for a in absent}]
+    files = spark.createDataFrame([f for p in existing for f in listed[p]], "file string, bytes bigint")
+    files = files.withColumn("key", _file_key("file"))
 
     lines = spark.read.text(existing).select(
-        F.col("_metadata.file_path").alias("file"),
+        _file_key("_metadata.file_path").alias("key"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
         F.col("value"),
         _separators(F.col("value"), delimiter).alias("separators"),
     )
     lines = lines.filter(F.trim("value") != "")
-    shape = lines.groupBy("file").agg(
+    shape = lines.groupBy("key").agg(
         F.count("*").alias("lines"),
         F.min_by("separators", F.struct("block", "position")).alias("header_separators"),
         F.max("separators").alias("widest"),
     )
-    joined = files.join(shape, "file", "left")
+    joined = files.join(shape, "key", "left")
     columns = F.col("header_separators") + 1
     suffix = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
     errors = F.array_compact(
