@@ -18,7 +18,8 @@ from tabsight.catalog.tables import (
 from tabsight.functions.columns import rounded
 from tabsight.operators import correlation, ranking, rules, stats
 from tabsight.operators import timeseries as ts
-from tabsight.plans import analyses, decisions
+from tabsight.plans import analyses, decisions, workflow
+from tabsight.sources.scratch import scratch_path
 
 # ---------------------------------------------------------------- sources of the rules
 _PAIRS_SQL = _pairs_sql(f"({AMOUNTS_SQL})", AMOUNTS, _pearson_one)
@@ -485,3 +486,30 @@ def full_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     results = analyses.full_run(events, ["event_id"], ["value", "user_id"])
     return analyses.unite(results).withColumn("value", rounded("value"))
+
+
+_FLOW_STATS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", stddev_samp({c}) / avg({c}) AS cv FROM lineitem" for c in LINE_COLUMNS
+)
+
+
+@register(
+    "workflow_csv",
+    f"""
+    SELECT subject, title, round(score, 6) AS priority_score, rank,
+           CASE WHEN rank - 1 < n * 0.2::DOUBLE THEN 'HIGH' WHEN rank - 1 < n * 0.6::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS final_priority,
+           CASE WHEN 0.27 + 0.4 * least(cv, 1) >= 0.6 THEN 'HIGH' WHEN 0.27 + 0.4 * least(cv, 1) >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS final_risk
+    FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, count(*) OVER () AS n FROM (
+      SELECT "column" AS subject, 'Reduce Variability in ' || "column" AS title, cv,
+             {_id('variability', '"column"', "'cv'")} AS id, least(1, 0.2 * least(cv, 1) + 0.4 * 0.6 + 0.3 * 0.6 + 0.1 * 0.8) AS score
+      FROM ({_FLOW_STATS_SQL}) WHERE cv > 0.5))""",
+)
+def workflow_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV of line items through collection, statistics and decision."""
+    path = scratch_path(spark, "line-items")
+    table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", *LINE_COLUMNS).write.csv(path, header=True)
+    collected = workflow.collect(spark, path)
+    decided = workflow.decide_on(collected.table, ["l_orderkey"], LINE_COLUMNS, ["descriptive"])
+    return decided.recommendations.select(
+        "subject", "title", rounded("priority_score").alias("priority_score"), "rank", "final_priority", "final_risk"
+    )

@@ -158,7 +158,7 @@ def discordant_pairs(points: DataFrame, size: int, per_group: int = POINTS_PER_G
             whole = points.withColumn("one", F.lit(1))
             return total + _count_within(whole, "one", "a", "b").first()["d"]
         a_width, b_width = max(1, per_group // per_a), max(1, per_group // per_b)
-        placed = points.withColumn("ab", F.floor(F.col("a") / a_width)).withColumn("bb", F.floor(F.col("b") / b_width))
+        placed = points.withColumn("ab", F.expr(f"a div {a_width}")).withColumn("bb", F.expr(f"b div {b_width}"))
         total += _count_within(placed, "ab", "a", "b").first()["d"]
         total += _count_within(placed, "bb", "ab", "b").first()["d"]
         grid = placed.groupBy(F.col("ab").alias("a"), F.col("bb").alias("b")).agg(F.sum("w").alias("w"))

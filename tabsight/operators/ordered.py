@@ -109,7 +109,7 @@ def blocks(rows: Numbered, before: int = 0, after: int = 0, size: int | None = N
     if size is None:
         size = block_rows(rows.total, reach, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = max(size, reach, 1)
-    own = F.floor(F.col(ORDINAL) / size).cast("long")
+    own = F.expr(f"{ORDINAL} div {size}")
     inside = F.col(ORDINAL) % size
     targets = [own]
     if before:

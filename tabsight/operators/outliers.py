@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabsight.functions.columns import number, numeric_columns
 from tabsight.operators.ordered import BLOCK, ORDINAL, blocks, number_rows
 from tabsight.operators.quantiles import exact_quantiles
+from tabsight.sources.scratch import materialize
 
 DEFAULT_METHODS = ("iqr", "zscore", "isolation_forest")
 THRESHOLD_METHODS = ("iqr", "zscore", "modified_zscore", "percentile")
@@ -229,9 +230,22 @@ def lof_scores(df: DataFrame, ids: Sequence[str], column: str, block_size: int |
     return placed.groupBy(BLOCK).applyInPandas(kernel, f"{fields}, score double")
 
 
+def _step_quantile(scored: DataFrame, q: float) -> float:
+    """Quantile of forest scores, which take at most one value per step of the forest."""
+    steps = scored.groupBy("score").agg(F.count("*").alias("n")).orderBy("score").toPandas()
+    through = steps["n"].cumsum().to_numpy()
+    position = q * (through[-1] - 1)
+    low, high = (steps["score"].to_numpy()[np.searchsorted(through, r, side="right")] for r in (math.floor(position), math.ceil(position)))
+    return float(low + (high - low) * (position - math.floor(position)))
+
+
 def share_flags(scored: DataFrame, ids: Sequence[str], method: str, column: str, contamination: float) -> DataFrame:
     """Rows whose score lies strictly above the (1 - contamination) quantile of scores."""
-    cut = exact_quantiles(scored, ["score"], [1 - contamination])["score"][0]
+    if method == "isolation_forest":
+        cut = _step_quantile(scored, 1 - contamination)
+    else:
+        scored = materialize(scored, method)  # the quantile and the result both read the scores
+        cut = exact_quantiles(scored, ["score"], [1 - contamination])["score"][0]
     return scored.filter(F.col("score") > F.lit(cut)).select(
         *ids, F.lit(method).alias("method"), F.lit(column).alias("column"), "value"
     )
@@ -287,7 +301,8 @@ def compare_methods(summary: DataFrame) -> DataFrame:
 
 def consensus(flags: DataFrame, ids: Sequence[str], minimum: int = 2) -> DataFrame:
     """(column, ids…, agreement): rows that at least ``minimum`` methods flag in one column."""
-    agreed = flags.groupBy("column", *ids).agg(F.count_distinct("method").alias("agreement"))
+    methods = F.size(F.collect_set("method"))  # at most six names
+    agreed = flags.groupBy("column", *ids).agg(methods.cast("bigint").alias("agreement"))
     return agreed.filter(F.col("agreement") >= minimum)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabsight.functions.columns import number
 from tabsight.operators.ordered import ORDINAL, cumulate
 
-DIRECT_ROWS = 4_000_000
+DIRECT_ROWS = 1_000_000  # values one final aggregate may hold
 SKETCH_ACCURACY = 10_000
 
 
@@ -37,15 +37,16 @@ def exact_quantiles(
     columns = list(columns)
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
-    small = [c for c in columns if sizes[c] <= direct_rows]
-    large = [c for c in columns if sizes[c] > direct_rows]
+    share = direct_rows // max(1, len(columns))  # all direct columns meet in one final task
+    small = [c for c in columns if sizes[c] <= share]
+    large = [c for c in columns if sizes[c] > share]
     found = _direct(df, small, probs) if small else {}
     if large:
         targets = {
             (c, i): interpolation_ranks(sizes[c], q) for c in large for i, q in enumerate(probs)
         }
         ranks = sorted({(c, r) for (c, _), (lo, hi, _) in targets.items() for r in (lo, hi)})
-        values = select_ranks(df, ranks, sizes, direct_rows)
+        values = select_ranks(df, ranks, sizes, max(1, direct_rows // len(ranks)))
         for c in large:
             found[c] = []
             for i in range(len(probs)):
@@ -158,11 +159,11 @@ def grouped_quantiles(
     )
 
 
-def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys…, column, value) with one row per cell that is neither null nor NaN."""
+def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str], keep_missing: bool = False) -> DataFrame:
+    """(keys…, column, value) with one row per cell that is neither null nor NaN (or per cell, missing as null)."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("value")) for c in columns])
     long = df.select(*keys, F.inline(cells))
-    return long.filter(F.col("value").isNotNull())
+    return long if keep_missing else long.filter(F.col("value").isNotNull())
 
 
 def _percentile_by_group(df: DataFrame, keys: list[str], columns: list[str], probs: Sequence[float]) -> DataFrame:

@@ -138,8 +138,11 @@ def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITE
         points = head[names].to_numpy()
         front_rows = head.iloc[np.sort(local_front(points))]
         found = data.sparkSession.createDataFrame(front_rows[[entity, *names]], schema)
+        last_round = len(head) < step
+        if not last_round:
+            found = materialize(found, "front")  # a long front is not kept on the driver
         settled = found if settled is None else settled.unionByName(found)
-        if len(head) < step:
+        if last_round:
             break
         front = front_rows[names].to_numpy()
         last = head.iloc[-1]

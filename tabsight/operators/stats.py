@@ -29,14 +29,17 @@ def _scalar(stat: str, c: str) -> Column:
     }[stat]()
 
 
-def scalar_stats(df: DataFrame, columns: Sequence[str], stats: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def scalar_stats(
+    df: DataFrame, columns: Sequence[str], stats: Sequence[str], keys: Sequence[str] = (), keep_missing: bool = False
+) -> DataFrame:
     """(keys…, column, stats…) in one scan.
 
     Cells are melted inside the scan stage and aggregated partially there, so only one row
     per column and group is shuffled; a wide aggregate over many columns outgrows code
-    generation and is several times slower.
+    generation and is several times slower.  ``keep_missing`` also reports columns (and
+    groups) without any value.
     """
-    cells = melt(df, keys, columns)
+    cells = melt(df, keys, columns, keep_missing)
     return cells.groupBy(*keys, "column").agg(*[_scalar(s, "value").alias(s) for s in stats])
 
 
@@ -50,14 +53,6 @@ def _quantile_frame(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     )
 
 
-def _every_column(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """One row per column (and group), so that columns without values stay in the result."""
-    names = F.array(*[F.lit(c) for c in columns])
-    if not keys:
-        return df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return df.select(*keys).distinct().withColumn("column", F.explode(names))
-
-
 def mode_by_column(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys…, column, mode, mode_count): most frequent value, the smallest on ties."""
     scope = [*keys, "column"]
@@ -127,10 +122,12 @@ def aggregate(
         data = data.dropna(subset=keys)
     scope = [*keys, "column"]
     scalars = [m for m in methods if m not in ("median", "quantile")]
-    result = _every_column(data, names, keys).join(scalar_stats(data, names, scalars or ["count"], keys), scope, "left")
+    result = scalar_stats(data, names, scalars or ["count"], keys, keep_missing=True)
+    if not keys:  # an empty table still has its columns
+        listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+        result = listed.join(result, "column", "left").fillna(0, subset=[m for m in ("sum", "count") if m in result.columns])
     if not scalars:
         result = result.drop("count")
-    result = result.fillna(0, subset=[m for m in ("sum", "count") if m in scalars])
     probs = list(AGGREGATION_QUANTILES) if "quantile" in methods else []
     if "median" in methods:
         probs.append(0.5)

@@ -17,6 +17,7 @@ from tabsight.functions.moments import pairwise_corr
 from tabsight.functions.tails import slope_p_value
 from tabsight.operators.ordered import BLOCK, ORDINAL, Numbered, block_window, blocks, group_spans, number_rows
 from tabsight.operators.quantiles import exact_quantiles, grouped_quantiles
+from tabsight.sources.scratch import materialize
 
 WINDOWS = (7, 30, 90)
 PERIODS = (7, 30, 365)
@@ -246,7 +247,7 @@ def returns(s: Series) -> DataFrame:
 
 def volatility(s: Series, year: int = TRADING_DAYS) -> DataFrame:
     """(keys…, volatility, annualized, var_5pct, var_1pct) of the returns."""
-    rets = returns(s)
+    rets = materialize(returns(s), "returns")  # read by the spread and the quantiles
     spread = rets.groupBy(*s.keys).agg(F.count("*").alias("returns"), F.stddev_samp("ret").alias("volatility"))
     spread = spread.filter(F.col("returns") > 0)
     if s.keys:
