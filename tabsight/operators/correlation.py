@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabsight.functions.columns import numeric_columns, select_numeric
 from tabsight.functions.moments import pairwise_corr
-from tabsight.operators.ordered import ORDINAL, cumulate, number_rows
+from tabsight.operators.ordered import ORDINAL, cumulate, number_rows, spread
 from tabsight.operators.quantiles import melt
 from tabsight.sources.scratch import materialize
 
@@ -140,7 +140,7 @@ def _count_within(points: DataFrame, group: str, a: str, b: str) -> DataFrame:
         return pd.DataFrame({"d": [discordant_weight(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy())]})
 
     rows = points.select(F.col(group).alias("grp"), F.col(a).alias("a"), F.col(b).alias("b"), "w")
-    return rows.groupBy("grp").applyInPandas(kernel, "d double").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
+    return spread(rows, "grp").groupBy("grp").applyInPandas(kernel, "d double").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
 
 
 def discordant_pairs(points: DataFrame, size: int, per_group: int = POINTS_PER_GROUP) -> float:

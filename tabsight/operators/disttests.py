@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabsight.functions.columns import number
 from tabsight.functions.moments import dagostino_k2
+from tabsight.operators.ordered import spread
 from tabsight.operators.quantiles import melt
 
 MIN_ROWS = 8
@@ -59,14 +61,20 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
     return float(np.polynomial.polynomial.polyval(x, coefficients))
 
 
+@lru_cache(maxsize=128)
+def _normal_scores(n: int) -> np.ndarray:
+    """Approximate expected order statistics of n standard normal values."""
+    normal = NormalDist()
+    return np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+
+
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     """W and p-value for 3 to 5000 values, after Royston (1995)."""
     x = np.sort(np.asarray(values, dtype=float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:
         return (1.0, 1.0) if n >= 3 else (math.nan, math.nan)
-    normal = NormalDist()
-    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    m = _normal_scores(n)
     mm = float(m @ m)
     weights = m / math.sqrt(mm)
     if n == 3:
@@ -122,4 +130,4 @@ def shapiro_by_group(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
         w, p = shapiro_wilk(pdf["value"].to_numpy())
         return pd.DataFrame([[*key, len(pdf), w, p]], columns=[*scope, "n", "statistic", "p_value"])
 
-    return rows.groupBy(*scope).applyInPandas(kernel, schema)
+    return spread(rows, *scope).groupBy(*scope).applyInPandas(kernel, schema)

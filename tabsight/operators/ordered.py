@@ -39,6 +39,15 @@ class Numbered:
     total: int
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of partitions, for Python kernels per group.
+
+    Run-time merging of small partitions looks at bytes; a kernel's time depends on its
+    groups, so these partitions are kept apart.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsight.functions.columns import number, numeric_columns
-from tabsight.operators.ordered import BLOCK, ORDINAL, blocks, number_rows
+from tabsight.operators.ordered import BLOCK, ORDINAL, blocks, number_rows, spread
 from tabsight.operators.quantiles import exact_quantiles
 from tabsight.sources.scratch import materialize
 
@@ -168,7 +168,7 @@ def forest_scores(df: DataFrame, ids: Sequence[str], column: str, trees: int = T
         cuts, lengths = isolation_steps(pdf["value"].to_numpy(), rng, depth_limit)
         return pd.DataFrame({"cuts": [cuts], "lengths": [lengths]})
 
-    grown = _tree_samples(df, ids, column, n, trees).groupBy("tree").applyInPandas(
+    grown = spread(_tree_samples(df, ids, column, n, trees), "tree").groupBy("tree").applyInPandas(
         build, "cuts array<double>, lengths array<double>"
     )
     # at most `trees` rows of TREE_ROWS cuts: the mean path over all trees is one step function
@@ -227,7 +227,7 @@ def lof_scores(df: DataFrame, ids: Sequence[str], column: str, block_size: int |
         pdf["score"] = lof_kernel(pdf["value"].to_numpy(), k) if len(pdf) > k else np.nan
         return pdf.loc[~pdf["_halo"], [*names, "score"]]
 
-    return placed.groupBy(BLOCK).applyInPandas(kernel, f"{fields}, score double")
+    return spread(placed, BLOCK).groupBy(BLOCK).applyInPandas(kernel, f"{fields}, score double")
 
 
 def _step_quantile(scored: DataFrame, q: float) -> float:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabsight.functions.columns import number
 from tabsight.operators.ordered import ORDINAL, cumulate
 
-DIRECT_ROWS = 1_000_000  # values one final aggregate may hold
+DIRECT_ROWS = 4_000_000  # values one final aggregate may hold, over all its columns
+GROUP_ROWS = 1_000_000  # rows of one group a task may hold
 SKETCH_ACCURACY = 10_000
 
 
@@ -87,15 +88,21 @@ def select_ranks(
                 values[k] = float(row[f"v{j}"])
                 del state[k]
             continue
+        brackets: dict[tuple, list[tuple[str, int]]] = {}  # ranks that share a bracket share one sketch
+        for k in pending:
+            brackets.setdefault((k[0], state[k]["lo"], state[k]["hi"]), []).append(k)
         aggs = []
-        for j, k in enumerate(pending):
-            s = state[k]
-            share = (k[1] - s["below"]) / max(1, s["inside"] - 1)
-            margin = 2.0 / SKETCH_ACCURACY
-            span = F.lit([max(0.0, share - margin), min(1.0, share + margin)])
-            aggs.append(F.percentile_approx(F.when(inside(k), F.col(k[0])), span, F.lit(SKETCH_ACCURACY)).alias(f"b{j}"))
+        margin = 2.0 / SKETCH_ACCURACY
+        for j, keys in enumerate(brackets.values()):
+            shares = [(k[1] - state[k]["below"]) / max(1, state[k]["inside"] - 1) for k in keys]
+            span = F.lit([edge for s in shares for edge in (max(0.0, s - margin), min(1.0, s + margin))])
+            values_in = F.when(inside(keys[0]), F.col(keys[0][0]))
+            aggs.append(F.percentile_approx(values_in, span, F.lit(SKETCH_ACCURACY)).alias(f"b{j}"))
         bounds = df.agg(*aggs).first()
-        tight = {k: tuple(bounds[f"b{j}"]) for j, k in enumerate(pending)}
+        tight = {}
+        for j, keys in enumerate(brackets.values()):
+            for i, k in enumerate(keys):
+                tight[k] = tuple(bounds[f"b{j}"][2 * i : 2 * i + 2])
         aggs = []
         for j, (k, (lo, hi)) in enumerate(tight.items()):
             x = F.col(k[0])
@@ -140,7 +147,7 @@ def grouped_quantiles(
     keys: Sequence[str],
     columns: Sequence[str],
     probs: Sequence[float],
-    direct_rows: int = DIRECT_ROWS,
+    direct_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Per group and column: array ``q`` of quantiles, as (keys…, column, q).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsight.functions.columns import numeric_columns, select_numeric
 from tabsight.functions.moments import sample_kurtosis, sample_skewness
-from tabsight.operators.quantiles import DIRECT_ROWS, exact_quantiles, grouped_quantiles, largest_group, melt
+from tabsight.operators.quantiles import GROUP_ROWS, exact_quantiles, grouped_quantiles, largest_group, melt
 
 SCALAR_STATS = ("count", "mean", "std", "var", "min", "max", "skewness", "kurtosis")
 AGGREGATIONS = ("sum", "count", "mean", "median", "std", "min", "max", "quantile")
@@ -63,7 +63,7 @@ def mode_by_column(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
 
 
 def order_stats(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), direct_rows: int = DIRECT_ROWS
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), direct_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """(keys…, column, q, mode, mode_count) from one value histogram while groups are small."""
     scope = [*keys, "column"]
