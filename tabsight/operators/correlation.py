@@ -54,7 +54,8 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int) -> Data
     """Pairs of columns without nulls: one shared ranking per column, then one aggregate for all pairs.
 
     The histograms of all columns are ranked in one sorted table; column number j starts at
-    j·rows because every column contributes each row once.
+    j·rows because every column contributes each row once.  Each column's ranks are written, so
+    that a column with few values is planned as a broadcast and does not move the rows.
     """
     counts = melt(df, [], columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     placed = cumulate(counts, ["column", "value"], "n").frame
@@ -62,7 +63,7 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int) -> Data
     for j, c in enumerate(sorted(columns)):
         rank = F.col(ORDINAL) - F.lit(j * rows) + (F.col("n") + 1) / 2.0 - (rows + 1) / 2.0
         ranks = placed.filter(F.col("column") == c).select(F.col("value").alias(c), rank.alias(f"{c}__rank"))
-        ranked = ranked.join(ranks, c)
+        ranked = ranked.join(materialize(ranks, "ranks"), c)
     pairs = pearson(ranked.select(*[F.col(f"{c}__rank").alias(c) for c in columns]), columns)
     return pairs.withColumn("method", F.lit("spearman"))
 

@@ -10,11 +10,21 @@ from tabsight.functions.columns import micros_between
 from tabsight.operators.ordered import ORDINAL, block_window, blocks, number_rows
 
 RECENT = 10
-# The message record.
+# The message record and the messages about its errors.
 REQUIRED_FIELDS = ("sender", "recipient", "message_type", "content", "timestamp", "correlation_id", "priority")
 MESSAGE_TYPES = ("REQUEST", "RESPONSE", "NOTIFICATION", "ERROR")
 MESSAGE_PRIORITIES = ("HIGH", "MEDIUM", "LOW")
 ISO_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+INVALID_JSON = "Invalid JSON"
+MISSING_FIELDS = "Missing required fields: "
+EMPTY_SENDER = "Sender must be a non-empty string"
+EMPTY_RECIPIENT = "Recipient must be a non-empty string"
+BAD_TYPE = "Invalid message type: "
+BAD_PRIORITY = "Invalid priority: "
+BAD_CONTENT = "Content must be a dictionary"
+BAD_CORRELATION = "Correlation ID must be a string"
+BAD_TIMESTAMP = "Timestamp must be a valid ISO format datetime string"
+
 RECORD_SCHEMA = (
     "sender string, recipient string, message_type string, content map<string,string>, timestamp string, "
     "correlation_id string, priority string"
@@ -89,27 +99,27 @@ def _record_errors() -> Column:
     day = F.try_to_timestamp(F.substring(stamp, 1, 10), F.lit("yyyy-MM-dd"))
     checks = F.array_compact(
         F.array(
-            unless(is_text("sender") & (F.length(value("sender")) > 0), F.lit("Sender must be a non-empty string")),
-            unless(is_text("recipient") & (F.length(value("recipient")) > 0), F.lit("Recipient must be a non-empty string")),
+            unless(is_text("sender") & (F.length(value("sender")) > 0), F.lit(EMPTY_SENDER)),
+            unless(is_text("recipient") & (F.length(value("recipient")) > 0), F.lit(EMPTY_RECIPIENT)),
             unless(
                 is_text("message_type") & value("message_type").isin(*MESSAGE_TYPES),
-                F.concat(F.lit("Invalid message type: "), F.coalesce(value("message_type"), F.lit("None"))),
+                F.concat(F.lit(BAD_TYPE), F.coalesce(value("message_type"), F.lit("None"))),
             ),
             unless(
                 is_text("priority") & value("priority").isin(*MESSAGE_PRIORITIES),
-                F.concat(F.lit("Invalid priority: "), F.coalesce(value("priority"), F.lit("None"))),
+                F.concat(F.lit(BAD_PRIORITY), F.coalesce(value("priority"), F.lit("None"))),
             ),
-            unless(F.startswith(kind("content"), F.lit("OBJECT")), F.lit("Content must be a dictionary")),
-            unless(is_text("correlation_id"), F.lit("Correlation ID must be a string")),
+            unless(F.startswith(kind("content"), F.lit("OBJECT")), F.lit(BAD_CONTENT)),
+            unless(is_text("correlation_id"), F.lit(BAD_CORRELATION)),
             unless(
                 is_text("timestamp") & stamp.rlike(ISO_TIMESTAMP) & day.isNotNull(),
-                F.lit("Timestamp must be a valid ISO format datetime string"),
+                F.lit(BAD_TIMESTAMP),
             ),
         )
     )
-    lost = F.array(F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")))
+    lost = F.array(F.concat(F.lit(MISSING_FIELDS), F.array_join(missing, ", ")))
     invalid = F.col("_doc").isNull() | F.col("_keys").isNull() | ~F.col("_single")
-    return F.when(invalid, F.array(F.lit("Invalid JSON"))).when(F.size(missing) > 0, lost).otherwise(checks)
+    return F.when(invalid, F.array(F.lit(INVALID_JSON))).when(F.size(missing) > 0, lost).otherwise(checks)
 
 
 def validate_records(log: DataFrame, json: str) -> DataFrame:

@@ -137,15 +137,20 @@ def block_window(keys: Sequence[str]) -> W:
 
 
 def group_spans(rows: Numbered, keys: Sequence[str]) -> DataFrame:
-    """One row per group: first ordinal ``_start`` and size ``_n``."""
-    return rows.frame.groupBy(*keys).agg(F.min(ORDINAL).alias("_start"), F.count("*").alias("_n"))
+    """One row per group: first ordinal ``_start`` and size ``_n``.
+
+    The table is written, so that joins to it are planned with its real size: few groups are
+    broadcast without moving the rows, many groups are joined by a shuffle.
+    """
+    spans = rows.frame.groupBy(*keys).agg(F.min(ORDINAL).alias("_start"), F.count("*").alias("_n"))
+    return materialize(spans, "spans")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """Add ``rank`` (1-based row number) and ``_n`` (group size) for each group of ``keys``.
 
-    The group table joins back on the keys; adaptive execution broadcasts it when it is
-    small and splits a skewed key otherwise.
+    The group table joins back on the keys: broadcast when its size on disk is small, else
+    shuffled, where adaptive execution splits a skewed key.
     """
     rows = number_rows(df, [*keys, *order_by])
     if not keys:

@@ -22,7 +22,45 @@ TREND_FOR_ACTION = 0.7
 HIGH_VARIATION = 0.5
 MAX_FINDINGS = 10
 
-# Scoring weights, timeline scores (first match counts), risk levels and texts.
+# Texts of the rules, as printf templates.
+OUTLIER_TITLE = "Investigate %s Anomalies"
+OUTLIER_TEXT = (
+    "Column '%s' shows %d outliers (%.1f%% of data) detected by %s method. "
+    "These anomalies may indicate data quality issues or equipment malfunctions."
+)
+OUTLIER_EVIDENCE = ("Outlier detection method: %s", "Outlier count: %d", "Percentage of data affected: %.1f%%")
+OUTLIER_RESOURCES = ("Data analyst", "Domain expert")
+CORRELATION_TITLE = "Leverage %s Correlation: %s - %s"
+CORRELATION_TEXT = (
+    "Strong %s correlation (%.3f) detected between '%s' and '%s'. "
+    "This relationship can be leveraged for predictive maintenance or optimization."
+)
+CORRELATION_EVIDENCE = ("Correlation coefficient: %.3f", "Analysis method: %s", "Relationship type: %s")
+CORRELATION_RESOURCES = ("Data scientist", "Process engineer")
+TREND_ACTIONS = {"decreasing": "Address declining performance", "other": "Optimize improving performance"}
+TREND_ADVICE = {
+    "decreasing": "Immediate attention required to prevent further degradation.",
+    "other": "Opportunity to further optimize performance.",
+}
+TREND_TITLE = "%s: %s"
+TREND_TEXT = "Strong %s trend detected in '%s' (strength: %.3f). %s"
+TREND_EVIDENCE = ("Trend direction: %s", "Trend strength: %.3f", "Column analyzed: %s")
+TREND_RESOURCES = ("Maintenance team", "Equipment specialist")
+VARIABILITY_TITLE = "Reduce Variability in %s"
+VARIABILITY_TEXT = (
+    "High variability detected in '%s' (CV: %.3f). "
+    "This indicates inconsistent performance that may benefit from standardization or process improvement."
+)
+VARIABILITY_EVIDENCE = ("Coefficient of variation: %.3f", "Standard deviation: %.3f", "Mean value: %.3f")
+VARIABILITY_RESOURCES = ("Process engineer", "Quality control")
+FINDINGS = {
+    "outliers": "Detected %d anomalous data points requiring investigation",
+    "correlations": "Identified %d strong correlations between variables",
+    "trend": "%s shows %s trend over time",
+    "actions": "%d high-priority maintenance actions recommended",
+}
+
+# Scoring weights, timeline scores (first match counts), risk levels and mitigation steps.
 PRIORITY_WEIGHTS = {"impact": 0.2, "risk": 0.4, "timeline": 0.3, "resources": 0.1}
 RISK_WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.8, "MEDIUM": 0.6, "LOW": 0.4, "MINIMAL": 0.2}
 TIMELINE_SCORES = (
@@ -112,98 +150,73 @@ def _recommendation(
 def outlier_recommendations(summary: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """More than 5 % flagged values; above 10 % and 20 % it becomes more urgent."""
     rows = summary.filter(F.col("percent") > OUTLIER_PERCENT)
-    pct, column, method = F.col("percent"), F.col("column"), F.col("method")
-    share = F.format_string("%.1f", pct)
+    pct, column, method, count = F.col("percent"), F.col("column"), F.col("method"), F.col("count")
+    by_share = lambda high, medium, low: F.when(pct > 20, high).when(pct > 10, medium).otherwise(low)
     return _recommendation(
         rows, scope, "outlier", column, method,
-        F.concat(F.lit("Investigate "), column, F.lit(" Anomalies")),
-        F.concat(
-            F.lit("Column '"), column, F.lit("' shows "), F.col("count").cast("string"), F.lit(" outliers ("), share,
-            F.lit("% of data) detected by "), method,
-            F.lit(" method. These anomalies may indicate data quality issues or equipment malfunctions."),
-        ),
-        F.when(pct > 20, "HIGH").when(pct > 10, "MEDIUM").otherwise("LOW"),
-        pct / 100.0,
-        ("Data analyst", "Domain expert"),
-        F.when(pct > 20, "1-2 weeks").when(pct > 10, "2-4 weeks").otherwise("1-2 months"),
-        F.lit("MEDIUM"),
-        [
-            F.concat(F.lit("Outlier detection method: "), method),
-            F.concat(F.lit("Outlier count: "), F.col("count").cast("string")),
-            F.concat(F.lit("Percentage of data affected: "), share, F.lit("%")),
-        ],
+        title=F.format_string(OUTLIER_TITLE, column),
+        description=F.format_string(OUTLIER_TEXT, column, count, pct, method),
+        priority=by_share("HIGH", "MEDIUM", "LOW"),
+        impact=pct / 100.0,
+        resources=OUTLIER_RESOURCES,
+        timeline=by_share("1-2 weeks", "2-4 weeks", "1-2 months"),
+        risk=F.lit("MEDIUM"),
+        evidence=[F.format_string(t, v) for t, v in zip(OUTLIER_EVIDENCE, (method, count, pct))],
     )
 
 
 def correlation_recommendations(pairs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Very strong pairs (above 0.8 in absolute value)."""
-    r = F.col("corr")
+    r, one, two = F.col("corr"), F.col("col1"), F.col("col2")
     rows = correlation_insights(pairs).filter(F.abs(r) > STRONG_FOR_ACTION)
     sign = F.when(r > 0, "positive").otherwise("negative")
-    shown = F.format_string("%.3f", r)
     return _recommendation(
-        rows, scope, "correlation", F.concat_ws(" - ", "col1", "col2"), F.col("method"),
-        F.concat(F.lit("Leverage "), F.initcap(sign), F.lit(" Correlation: "), F.col("col1"), F.lit(" - "), F.col("col2")),
-        F.concat(
-            F.lit("Strong "), sign, F.lit(" correlation ("), shown, F.lit(") detected between '"), F.col("col1"),
-            F.lit("' and '"), F.col("col2"),
-            F.lit("'. This relationship can be leveraged for predictive maintenance or optimization."),
-        ),
-        F.lit("MEDIUM"), F.abs(r), ("Data scientist", "Process engineer"), F.lit("2-6 weeks"), F.lit("LOW"),
-        [
-            F.concat(F.lit("Correlation coefficient: "), shown),
-            F.concat(F.lit("Analysis method: "), F.col("method")),
-            F.concat(F.lit("Relationship type: "), sign),
-        ],
+        rows, scope, "correlation", F.concat_ws(" - ", one, two), F.col("method"),
+        title=F.format_string(CORRELATION_TITLE, F.initcap(sign), one, two),
+        description=F.format_string(CORRELATION_TEXT, sign, r, one, two),
+        priority=F.lit("MEDIUM"),
+        impact=F.abs(r),
+        resources=CORRELATION_RESOURCES,
+        timeline=F.lit("2-6 weeks"),
+        risk=F.lit("LOW"),
+        evidence=[F.format_string(t, v) for t, v in zip(CORRELATION_EVIDENCE, (r, F.col("method"), sign))],
     )
 
 
 def trend_recommendations(trends: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Strong trends (above 0.7); a falling one is urgent."""
-    rows = trend_insights(trends).filter(F.col("trend_strength") > TREND_FOR_ACTION)
-    falling = F.col("trend_direction") == "decreasing"
-    column, shown = F.col("column"), F.format_string("%.3f", F.col("trend_strength"))
+    column, way, strength = F.col("column"), F.col("trend_direction"), F.col("trend_strength")
+    rows = trend_insights(trends).filter(strength > TREND_FOR_ACTION)
+    by_way = lambda falling, rising: F.when(way == "decreasing", falling).otherwise(rising)
     return _recommendation(
-        rows, scope, "trend", column, F.col("trend_direction"),
-        F.concat(
-            F.when(falling, "Address declining performance").otherwise("Optimize improving performance"), F.lit(": "), column
+        rows, scope, "trend", column, way,
+        title=F.format_string(TREND_TITLE, by_way(TREND_ACTIONS["decreasing"], TREND_ACTIONS["other"]), column),
+        description=F.format_string(
+            TREND_TEXT, way, column, strength, by_way(TREND_ADVICE["decreasing"], TREND_ADVICE["other"])
         ),
-        F.concat(
-            F.lit("Strong "), F.col("trend_direction"), F.lit(" trend detected in '"), column, F.lit("' (strength: "), shown,
-            F.lit("). "),
-            F.when(falling, "Immediate attention required to prevent further degradation.").otherwise(
-                "Opportunity to further optimize performance."
-            ),
-        ),
-        F.when(falling, "HIGH").otherwise("MEDIUM"), F.col("trend_strength"),
-        ("Maintenance team", "Equipment specialist"),
-        F.when(falling, "1-3 weeks").otherwise("1-2 months"),
-        F.when(falling, "HIGH").otherwise("LOW"),
-        [
-            F.concat(F.lit("Trend direction: "), F.col("trend_direction")),
-            F.concat(F.lit("Trend strength: "), shown),
-            F.concat(F.lit("Column analyzed: "), column),
-        ],
+        priority=by_way("HIGH", "MEDIUM"),
+        impact=strength,
+        resources=TREND_RESOURCES,
+        timeline=by_way("1-3 weeks", "1-2 months"),
+        risk=by_way("HIGH", "LOW"),
+        evidence=[F.format_string(t, v) for t, v in zip(TREND_EVIDENCE, (way, strength, column))],
     )
 
 
 def variability_recommendations(stats: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Coefficient of variation above one half, from (scope…, column, mean, std)."""
     rows = stats.withColumn("cv", variation(F.col("std"), F.col("mean"))).filter(F.col("cv") > HIGH_VARIATION)
-    cv, column = F.format_string("%.3f", F.col("cv")), F.col("column")
+    cv, column = F.col("cv"), F.col("column")
     return _recommendation(
         rows, scope, "variability", column, F.lit("cv"),
-        F.concat(F.lit("Reduce Variability in "), column),
-        F.concat(
-            F.lit("High variability detected in '"), column, F.lit("' (CV: "), cv,
-            F.lit("). This indicates inconsistent performance that may benefit from standardization or process improvement."),
-        ),
-        F.lit("MEDIUM"), F.least("cv", F.lit(1.0)), ("Process engineer", "Quality control"), F.lit("3-6 weeks"), F.lit("MEDIUM"),
-        [
-            F.concat(F.lit("Coefficient of variation: "), cv),
-            F.concat(F.lit("Standard deviation: "), F.format_string("%.3f", F.col("std"))),
-            F.concat(F.lit("Mean value: "), F.format_string("%.3f", F.col("mean"))),
-        ],
+        title=F.format_string(VARIABILITY_TITLE, column),
+        description=F.format_string(VARIABILITY_TEXT, column, cv),
+        priority=F.lit("MEDIUM"),
+        impact=F.least(cv, F.lit(1.0)),
+        resources=VARIABILITY_RESOURCES,
+        timeline=F.lit("3-6 weeks"),
+        risk=F.lit("MEDIUM"),
+        evidence=[F.format_string(t, v) for t, v in zip(VARIABILITY_EVIDENCE, (cv, F.col("std"), F.col("mean")))],
     )
 
 
@@ -314,19 +327,19 @@ def key_findings(
     """
     outliers = flags_total.filter(F.col("total") > 0).select(
         F.lit(1).alias("section"), F.lit("").alias("item"),
-        F.format_string("Detected %d anomalous data points requiring investigation", F.col("total")).alias("finding"),
+        F.format_string(FINDINGS["outliers"], F.col("total")).alias("finding"),
     )
     strong = strong_pairs(pairs).agg(F.count("*").alias("n")).filter(F.col("n") > 0).select(
         F.lit(2).alias("section"), F.lit("").alias("item"),
-        F.format_string("Identified %d strong correlations between variables", F.col("n")).alias("finding"),
+        F.format_string(FINDINGS["correlations"], F.col("n")).alias("finding"),
     )
     moving = trends.select(
         F.lit(3).alias("section"), F.col("column").alias("item"),
-        F.concat("column", F.lit(" shows "), "trend_direction", F.lit(" trend over time")).alias("finding"),
+        F.format_string(FINDINGS["trend"], F.col("column"), F.col("trend_direction")).alias("finding"),
     )
     urgent = prioritized.filter(F.col("final_priority") == "HIGH").agg(F.count("*").alias("n")).filter(F.col("n") > 0).select(
         F.lit(4).alias("section"), F.lit("").alias("item"),
-        F.format_string("%d high-priority maintenance actions recommended", F.col("n")).alias("finding"),
+        F.format_string(FINDINGS["actions"], F.col("n")).alias("finding"),
     )
     rows = outliers.unionByName(strong).unionByName(moving).unionByName(urgent)
     return rows.orderBy("section", "item").limit(limit).select("section", "item", "finding")

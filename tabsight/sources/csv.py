@@ -15,6 +15,14 @@ PANDAS_NULL_TOKENS = (
 FALLBACK_ENCODING = "ISO-8859-1"  # decodes any byte, so no later fallback can be reached
 KNOWN_SUFFIXES = ("csv", "txt")
 LARGE_FILE_BYTES = 100 * 1024 * 1024
+# Messages of the preflight.
+ABSENT_FILE = "File does not exist: "
+EMPTY_FILE = "File is empty"
+NO_COLUMNS = "No columns detected in CSV file"
+WIDE_ROW = "CSV parsing error: a row has more fields than the header"
+ODD_SUFFIX = "File extension is not .csv or .txt"
+LARGE_FILE = "Large file: processing may be slow"
+ONE_COLUMN = "Only one column detected - check delimiter settings"
 
 
 def nulls_from_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS + PANDAS_NULL_TOKENS) -> DataFrame:
@@ -93,7 +101,7 @@ def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = "
     schema = "file string, bytes bigint, columns bigint, data_rows bigint, errors array<string>, warnings array<string>"
     listed = {p: list_files(spark, p) for p in paths}
     missing = spark.createDataFrame(
-        [(p, None, None, None, [f"File does not exist: {p}"], []) for p, found in listed.items() if found is None], schema
+        [(p, None, None, None, [ABSENT_FILE + p], []) for p, found in listed.items() if found is None], schema
     )
     existing = [p for p, found in listed.items() if found]
     if not existing:
@@ -119,16 +127,16 @@ def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = "
     suffix = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
     errors = F.array_compact(
         F.array(
-            F.when(F.col("bytes") == 0, "File is empty"),
-            F.when((F.col("bytes") > 0) & F.col("lines").isNull(), "No columns detected in CSV file"),
-            F.when(F.col("widest") > F.col("header_separators"), "CSV parsing error: a row has more fields than the header"),
+            F.when(F.col("bytes") == 0, EMPTY_FILE),
+            F.when((F.col("bytes") > 0) & F.col("lines").isNull(), NO_COLUMNS),
+            F.when(F.col("widest") > F.col("header_separators"), WIDE_ROW),
         )
     )
     warnings = F.array_compact(
         F.array(
-            F.when(~suffix.isin(*KNOWN_SUFFIXES), "File extension is not .csv or .txt"),
-            F.when(F.col("bytes") > LARGE_FILE_BYTES, "Large file: processing may be slow"),
-            F.when(columns == 1, "Only one column detected - check delimiter settings"),
+            F.when(~suffix.isin(*KNOWN_SUFFIXES), ODD_SUFFIX),
+            F.when(F.col("bytes") > LARGE_FILE_BYTES, LARGE_FILE),
+            F.when(columns == 1, ONE_COLUMN),
         )
     )
     checked = joined.select(
