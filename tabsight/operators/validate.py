@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.functions.columns import present, unpivot_wide
+from tabsight.functions.columns import present
 from tabsight.operators.clean import coerce_numeric
 from tabsight.sources.dictionary import ColumnRule
 
@@ -29,30 +29,47 @@ def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], _ISSUE)
 
 
-def _counted(df: DataFrame, checks: dict, severity: str, rule: str) -> DataFrame:
+Check = tuple[str, str, str, Column]  # severity, rule, column, condition of a bad value
+
+
+def _counted(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """Issues of all checks that hold somewhere, from one scan."""
     if not checks:
         return _empty(df)
-    wide = df.agg(*[F.count_if(cond).alias(f"{c}__n") for c, cond in checks.items()])
-    return unpivot_wide(wide, [], list(checks), ["n"]).filter(F.col("n") > 0).select(
-        F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "column", "n"
-    )
+    wide = df.agg(*[F.count_if(bad).alias(f"n{i}") for i, (_, _, _, bad) in enumerate(checks)])
+    cells = [
+        F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit(c).alias("column"), F.col(f"n{i}").alias("n"))
+        for i, (severity, rule, c, _) in enumerate(checks)
+    ]
+    return wide.select(F.inline(F.array(*cells))).filter(F.col("n") > 0)
 
 
-def check_nullability(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
-    """Non-nullable columns that hold nulls (error), with the count."""
-    checks = {c: present(df, c).isNull() for c, r in rules.items() if not r.is_nullable and c in df.columns}
-    return _counted(df, checks, "error", "nullability")
+def _null_checks(df: DataFrame, rules: Mapping[str, ColumnRule]) -> list[Check]:
+    return [
+        ("error", "nullability", c, present(df, c).isNull())
+        for c, r in rules.items()
+        if not r.is_nullable and c in df.columns
+    ]
 
 
-def check_range(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
-    """Values outside the valid range of numerical columns (warning), with the count."""
-    checks = {}
+def _range_checks(df: DataFrame, rules: Mapping[str, ColumnRule]) -> list[Check]:
+    checks = []
     for c, r in rules.items():
         if c in df.columns and r.valid_range and r.data_type == "NUMERICAL":
             low, high = r.valid_range
             value = F.nanvl(coerce_numeric(F.col(f"`{c}`")), F.lit(None).cast("double"))
-            checks[c] = (value < low) | (value > high)
-    return _counted(df, checks, "warning", "range")
+            checks.append(("warning", "range", c, (value < low) | (value > high)))
+    return checks
+
+
+def check_nullability(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
+    """Non-nullable columns that hold nulls (error), with the count."""
+    return _counted(df, _null_checks(df, rules))
+
+
+def check_range(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
+    """Values outside the valid range of numerical columns (warning), with the count."""
+    return _counted(df, _range_checks(df, rules))
 
 
 def invalid_values(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
@@ -79,8 +96,7 @@ def validate(df: DataFrame, dictionary: DataFrame, rules: Mapping[str, ColumnRul
     """All issues, one row each."""
     return (
         check_columns(df, dictionary)
-        .unionByName(check_nullability(df, rules))
-        .unionByName(check_range(df, rules))
+        .unionByName(_counted(df, _null_checks(df, rules) + _range_checks(df, rules)))
         .unionByName(check_domain(df, rules))
     )
 
