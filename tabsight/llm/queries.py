@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import mixing, sharding
+from tabsight.llm import mixing, neardup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op6_near_duplicates": op6_near_duplicates,
     "op10_shards": op10_shards,
 }
 SQL: dict[str, str] = {
