@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import mixing, neardup, sharding
+from tabsight.llm import mixing, neardup, sharding, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op7_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_wavelet_ids": op7_wavelet_ids,
     "op10_shards": op10_shards,
 }
 SQL: dict[str, str] = {
