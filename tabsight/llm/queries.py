@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import mixing, neardup, sharding, wavelet
+from tabsight.llm import ann, mixing, neardup, sharding, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours_of_sample(table(spark, sf_dir, "embeddings"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_nearest": op2_nearest,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_wavelet_ids": op7_wavelet_ids,
     "op10_shards": op10_shards,
