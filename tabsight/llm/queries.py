@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import ann, extraction, mixing, neardup, sharding, wavelet
+from tabsight.llm import ann, extraction, mixing, neardup, sharding, substrings, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op7_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op2_nearest": op2_nearest,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_wavelet_ids": op7_wavelet_ids,
+    "op8_repeated_substrings": op8_repeated_substrings,
     "op9_main_text": op9_main_text,
     "op10_shards": op10_shards,
 }
