@@ -11,7 +11,9 @@ A list of n classes is not expanded into its pairs.  First every class is compar
 list's pivot, the class that shares most; what links becomes a component.  Then only
 lists that still hold several components are merged again, the members outside the list's
 largest component against all the others, so links between different texts are kept while a
-large group of near copies costs about one comparison each.  Agreements are counted on the
+large group of near copies costs about one comparison each.  That second merging counts
+common shingles in blocks inside tasks and gives out confirmed links only, since copies that
+were edited a little too much can be many.  Agreements are counted on the
 signatures, and links are confirmed on the full shingle sets.
 """
 
@@ -24,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import forget, fresh, materialize
+from tabsight.llm.common import forget, fresh, materialize, parts
 from tabsight.llm.graph import components
 from tabsight.llm.words import WordHashes, shingle_set
 
@@ -35,6 +37,7 @@ PREFIX = COORDINATES - MATCHES + 1
 # bits of equal coordinates are equal, others by chance: 56 equal bits on average at 0.75 (deviation 2.6), 44 is 4.5 below
 SKETCH_DIFFERENT = 20
 SIMILAR = 75  # per cent
+BLOCK = 128  # members per side of a block
 ORDER_SAMPLE = 50_000  # classes whose pairs set the order of pairs; any order gives the same links
 _RNG = np.random.default_rng(20_240_601)
 _MULTIPLY = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -151,14 +154,19 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["a", "b"]]
 
 
+def _class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): the text of one row of each of these classes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
+    place = nodes.join(classes.select("node", "rep"), "node")
+    met = place.join(texts, place["rep.doc_id"].eqNullSafe(texts["d"]) & (place["rep.h"] == texts["h"]))
+    # a row that is repeated gives its text more than once
+    return met.select("node", "text").dropDuplicates(["node"])
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets have a similarity of 0.75 or more, written once."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    place = wanted.join(classes.select("node", "rep"), "node")
-    met = place.join(texts, place["rep.doc_id"].eqNullSafe(texts["d"]) & (place["rep.h"] == texts["h"]))
-    # a representative row that is repeated gives its set more than once
-    sets = materialize(met.select("node", "text").dropDuplicates(["node"]).mapInPandas(_sets, "node long, shingles binary"), "sets")
+    sets = materialize(_class_texts(wanted, classes, docs).mapInPandas(_sets, "node long, shingles binary"), "sets")
     full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
     links = materialize(full.mapInPandas(_confirm, "a long, b long"), "links")
@@ -176,20 +184,84 @@ def _star(lists: DataFrame) -> DataFrame:
     return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs of a list from different components: members outside its largest one against all."""
+def _families(lists: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(family, node, component, few): the members of all lists with the same largest component.
+
+    Only lists that hold several components count; ``few`` marks members outside the largest.
+    """
     labelled = lists.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tallies = labelled.groupBy("token", "component").agg(F.count("*").alias("members"))
     mixed = tallies.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("members", "component")).alias("top"))
-    mixed = mixed.filter("kinds > 1").select("token", F.col("top.component").alias("major"))
-    open_lists = materialize(labelled.join(mixed, "token"), "lists")
-    few = open_lists.filter("component <> major").select(
-        "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("sketch").alias("xs"), F.col("component").alias("xc"))
-    # two members outside the largest component meet once, in node order
-    met = few.join(open_lists, "token").filter(
-        (F.col("component") != F.col("xc")) & ((F.col("component") == F.col("major")) | (F.col("x") < F.col("node")))
-        & _may_match(F.col("xn"), F.col("n"), F.col("xs"), F.col("sketch")))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    mixed = mixed.filter("kinds > 1").select("token", F.col("top.component").alias("family"))
+    return labelled.join(mixed, "token").select(
+        "family", "node", "component", (F.col("component") != F.col("family")).alias("few")).distinct()
+
+
+def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between the two sides of each (family, bx, by), whose rows stand together."""
+    held: list[pd.DataFrame] = []
+    key = ["family", "bx", "by"]
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        values = pdf[key].to_numpy()
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        if held and (values[0] != held[0][key].iloc[0].to_numpy()).any():
+            yield _links(pd.concat(held))
+            held = []
+        starts = [0, *cuts.tolist(), len(pdf)]
+        for low, high in zip(starts[:-1], starts[1:]):
+            held.append(pdf.iloc[low:high])
+            if high < len(pdf):
+                yield _links(pd.concat(held) if len(held) > 1 else held[0])
+                held = []
+    if held:
+        yield _links(pd.concat(held))
+
+
+def _links(pdf: pd.DataFrame) -> pd.DataFrame:
+    left = pdf["side"].to_numpy() == 0
+    one, two = pdf[left], pdf[~left]
+    found: list[tuple[int, int]] = []
+    if len(one) and len(two):
+        sets = [np.frombuffer(x, np.uint64) for x in two["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        by = np.argsort(values, kind="stable")
+        values, owner = values[by], np.repeat(np.arange(len(sets)), sizes)[by]
+        node, component, major = two["node"].to_numpy(), two["component"].to_numpy(), two["family"].to_numpy() == two["component"].to_numpy()
+        for x, c, raw in zip(one["node"], one["component"], one["shingles"]):
+            mine = np.frombuffer(raw, np.uint64)
+            low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, "right")
+            hits = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            near = (100 * both >= SIMILAR * (len(mine) + sizes - both)) & (component != c) & (major | (node > x))
+            found += [(min(x, y), max(x, y)) for y in node[near].tolist()]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def links_across(lists: DataFrame, grouped: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links between components that meet in a list, written once.
+
+    Members outside a family's largest component are compared with all its members, block by
+    block, so that a large family becomes many tasks; intersections are counted from shared
+    shingles, and only links leave a task.
+    """
+    families = materialize(_families(lists, grouped), "families")
+    sets = materialize(_class_texts(families.select("node").distinct(), classes, docs).mapInPandas(_sets, "node long, shingles binary"), "sets")
+    sizes = families.groupBy("family").agg(
+        F.ceil(F.count_if("few") / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
+    placed = families.join(sizes, "family")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    x = placed.filter("few").select("family", "node", "component", own("nx").alias("bx"), F.explode(every("ny")).alias("by"), F.lit(0).alias("side"))
+    y = placed.select("family", "node", "component", F.explode(every("nx")).alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"))
+    sides = x.unionByName(y).join(sets, "node")
+    blocks = sides.repartition(parts(docs.sparkSession), "family", "bx", "by").sortWithinPartitions("family", "bx", "by")
+    links = materialize(blocks.mapInPandas(_compare_blocks, "a long, b long").distinct(), "links")
+    forget(sets)
+    return links
 
 
 def classes_of(described: DataFrame) -> DataFrame:
@@ -207,9 +279,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = materialize(agreeing(_star(lists), classes), "pairs")
     links = confirm(first, classes, docs)
     grouped = materialize(components(links), "components")
-    more = materialize(_across(lists, grouped).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(agreeing(more, classes), "pairs")
-    further = confirm(more, classes, docs)
+    further = links_across(lists, grouped, classes, docs)
     if further.isEmpty():
         return grouped
     return materialize(components(links.unionByName(further)), "components")
