@@ -9,9 +9,10 @@ any store Spark reads will do.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,72 +30,27 @@ PARTITION_BYTES = 16 << 20  # text per task
 _MAGIC = b"WVM1"
 _BLOCK = 512  # bits per rank count
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-_REMEMBERED = 300_000
-
-# Texts whose characters Python's classes split exactly like the vocabulary's pattern; others go whole to the library.
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-©«-±´-¸»¿-ſ‐-‧]")
-_LOOSE_SPACE = re.compile(r" \s|<\|")
-_PIECES = re.compile(r"'(?:[stdm]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+_AT_ONCE = 32
 
 
 class Encoder:
-    """Token ids of texts by the tokenizers library, with remembered pieces.
-
-    A byte-level BPE never merges across the pieces its pattern cuts, and always cuts between
-    a visible character and a space.  So ids of space-led chunks are encoded once each and
-    joined; a text with unusual characters or spacing is encoded as a whole.
-    """
+    """Packed token ids of whole texts by the tokenizers library, without special tokens."""
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         self._library = Tokenizer.from_file(path)
         self.bits = max(END_ID, self._library.get_vocab_size() - 1).bit_length()
-        self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in found]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember space-led chunks, made of pieces of their own."""
-        cut = {c: _PIECES.findall(" " + c) for c in chunks}
-        if len(self._pieces) > _REMEMBERED:
-            self._pieces.clear()
-        new = list({p for pieces in cut.values() for p in pieces} - self._pieces.keys())
-        self._pieces.update(zip(new, self._whole(new)))
-        known = self._pieces.__getitem__
-        self._chunks.update((c, b"".join(map(known, pieces))) for c, pieces in cut.items())
+        self.kind, self._code = (np.dtype("<u2"), "H") if self.bits <= 16 else (np.dtype("<u4"), "I")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, without special tokens."""
-        out: list[bytes | None] = [None] * len(texts)
-        odd, split = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif _UNUSUAL.search(text) or _LOOSE_SPACE.search(text):
-                odd.append(i)
-            else:
-                split.append((i, text.split(" ")))
-        if odd:
-            for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-                out[i] = ids
-        if split:
-            if len(self._chunks) > _REMEMBERED:
-                self._chunks.clear()
-            needed = set()
-            for _, chunks in split:
-                needed.update(chunks[1:])
-            self._learn(needed - self._chunks.keys())
-            known = self._chunks.__getitem__
-            heads = self._whole([chunks[0] for _, chunks in split])
-            for (i, chunks), head in zip(split, heads):
-                out[i] = head + b"".join(map(known, chunks[1:]))
+        out = []
+        for start in range(0, len(texts), _AT_ONCE):  # the library's results are far larger than the ids
+            found = self._library.encode_batch_fast(texts[start : start + _AT_ONCE], add_special_tokens=False)
+            out += [array(self._code, e.ids).tobytes() for e in found]
         return out
 
 
@@ -244,8 +200,8 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                some = pdf.iloc[start : start + 256]
+            for start in range(0, len(pdf), 64):
+                some = pdf.iloc[start : start + 64]
                 found = encoder.encode([t or "" for t in some["text"]])
                 for name, ids in zip(some["doc_id"].array, found):
                     names.append(None if pd.isna(name) else int(name))
