@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import ann, extraction, mixing, neardup, sharding, substrings, wavelet
+from tabsight.llm import ann, decontaminate, extraction, mixing, neardup, sharding, substrings, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours_of_sample(table(spark, sf_dir, "embeddings"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_nearest": op2_nearest,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_wavelet_ids": op7_wavelet_ids,
     "op8_repeated_substrings": op8_repeated_substrings,
@@ -54,4 +59,5 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
+    "op3_benchmark_leaks": decontaminate.LEAK_SQL,
 }
