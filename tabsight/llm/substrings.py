@@ -5,7 +5,7 @@ may still be repeated:
 
 1. The first digit of a window is its least ``DIGIT``-byte string (by hash, leftmost), the
    *anchor*.  Equal windows have equal anchors at equal places, and neighbouring windows
-   share theirs, so one row stands for some forty windows.  Anchors seen once are done.
+   share theirs, so one row stands for some thirty-five windows.  Anchors seen once are done.
 2. The second digit is everything that the windows of an anchor can cover.  Where all
    occurrences agree in it, all their windows are equal, and all but the earliest are repeats.
 3. What is left differs somewhere inside: those windows are sorted through all ``DEPTH`` bytes,
@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabsight.llm.common import forget, fresh, materialize, mix64, parts, scratch_path, tables, total_bytes
 
 DEPTH = 100  # bytes of a repeated string
-DIGIT = 16  # bytes of an anchor
+DIGIT = 32  # bytes of an anchor: long enough not to recur by chance, short enough to stand for many windows
 REACH = DEPTH - DIGIT  # how far before an anchor its windows may start
 BUCKET_BYTES = 16 << 20
 _PIECE = 1 << 20
 _ODD = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_STEP = 1 << 14
+_IN_DIGIT = np.arange(0, DIGIT, 8)
+_IN_CONTEXT = np.append(np.arange(-REACH, DEPTH - 8, 8), DEPTH - 8)
+_IN_WINDOW = np.append(np.arange(0, DEPTH - 8, 8), DEPTH - 8)
 
 REPEATED, OPEN, WINDOW = 1, 2, 3  # kinds of what a bucket is told
 
@@ -43,14 +47,12 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every run of ``width`` keys, by prefix and suffix minima of blocks."""
-    n = len(keys)
-    padded = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = keys
-    blocks = padded.reshape(-1, width)
-    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
-    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(suffix[: n - width + 1], prefix[width - 1 : n])
+    """Minimum of every run of ``width`` keys, by runs of doubling length."""
+    run, have = keys, 1
+    while 2 * have <= width:
+        run = np.minimum(run[:-have], run[have:])
+        have *= 2
+    return run if have == width else np.minimum(run[: len(keys) - width + 1], run[width - have :])
 
 
 class Bytes:
@@ -61,38 +63,58 @@ class Bytes:
         self._data = np.frombuffer(bytes(DEPTH) + raw + bytes(DEPTH + 8), dtype=np.uint8)
         self._words = _words(self._data)
 
+        self._ahead: np.ndarray | None = None
+
+    def ahead(self) -> np.ndarray:
+        """For each window, how many bytes after its start its anchor lies."""
+        if self._ahead is None:
+            windows = max(0, self.n - DEPTH + 1)
+            self._ahead = np.empty(windows, dtype=np.uint8)
+            for start in range(0, windows, _PIECE):
+                stop = min(windows, start + _PIECE)
+                low, high = DEPTH + start, DEPTH + stop + REACH
+                mixed = self._words[low:high] * _ODD[0]
+                for j in range(1, DIGIT // 8):
+                    mixed += self._words[low + 8 * j : high + 8 * j] * _ODD[j]
+                    mixed ^= mixed >> np.uint64(29)
+                mixed *= _ODD[60]
+                mixed &= np.uint64(0xFFFFFFFF00000000)
+                mixed |= np.arange(len(mixed), dtype=np.uint64)
+                least = _least(mixed, REACH + 1) & np.uint64(0xFFFFFFFF)
+                self._ahead[start:stop] = least - np.arange(stop - start, dtype=np.uint64)
+        return self._ahead
+
     def anchors(self) -> np.ndarray:
-        """For each window, where its anchor starts."""
-        windows = self.n - DEPTH + 1
-        out = np.empty(max(0, windows), dtype=np.int64)
-        for start in range(0, windows, _PIECE):
-            stop = min(windows, start + _PIECE)
-            at = slice(DEPTH + start, DEPTH + stop + REACH)
-            mixed = mix64(self._words[at] * _ODD[0] + self._words[at.start + 8 : at.stop + 8] * _ODD[1])
-            keys = (mixed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(mixed), dtype=np.uint64)
-            out[start:stop] = start + (_least(keys, REACH + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return out
-
-    def _digest(self, offsets: list[int], places: np.ndarray, salt: int) -> np.ndarray:
-        got = np.full(len(places), np.uint64(salt))
-        for j, o in enumerate(offsets):
-            got = mix64((got + self._words[places + (DEPTH + o)]) * _ODD[2 + j])
-        return got
+        """For each window, where its anchor starts; never before that of the window ahead of it."""
+        ahead = self.ahead()
+        return ahead + np.arange(len(ahead))
+
+    def _digest(self, offsets: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
+        """Hash of the words at some offsets from each place, in steps that bound the memory."""
+        out = np.empty(len(places), dtype=np.uint64)
+        for start in range(0, len(places), _STEP):
+            some = places[start : start + _STEP]
+            got = self._words[some[:, None] + (offsets + DEPTH)]
+            got *= _ODD[2 : 2 + len(offsets)]
+            got ^= got >> np.uint64(31)
+            got *= _ODD[30 : 30 + len(offsets)]
+            out[start : start + _STEP] = got.sum(axis=1, dtype=np.uint64)
+        return mix64(out + np.uint64(salt))
 
     def digits(self, places: np.ndarray) -> np.ndarray:
         """Hash of the ``DIGIT`` bytes from each place."""
-        return self._digest([0, 8], places, 1)
+        return self._digest(_IN_DIGIT, places, 1)
 
     def contexts(self, places: np.ndarray) -> np.ndarray:
         """Hash of all bytes that windows around an anchor can cover, and of how far they reach."""
         reach = np.minimum(places, REACH) * 1000 + np.minimum(self.n - places, DEPTH)
-        got = self._digest([*range(-REACH, DEPTH - 8, 8), DEPTH - 8], places, 2)
+        got = self._digest(_IN_CONTEXT, places, 2)
         # bytes behind the reach are zeros of the frame, so equal reaches and bytes have equal hashes
-        return mix64(got + reach.astype(np.uint64) * _ODD[60])
+        return mix64(got + reach.astype(np.uint64) * _ODD[61])
 
     def windows(self, places: np.ndarray) -> np.ndarray:
         """Hash of the ``DEPTH`` bytes from each place."""
-        return self._digest([*range(0, DEPTH - 8, 8), DEPTH - 8], places, 3)
+        return self._digest(_IN_WINDOW, places, 3)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -112,7 +134,7 @@ class Bucket:
             if d.n < DEPTH:
                 continue
             at = d.anchors()
-            own = np.unique(at)
+            own = at[np.append(True, at[1:] != at[:-1])]
             doc.append(np.full(len(own), i))
             place.append(own)
             digit.append(d.digits(own))
