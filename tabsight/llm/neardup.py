@@ -185,16 +185,23 @@ def _star(lists: DataFrame) -> DataFrame:
 
 
 def _families(lists: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(family, node, component, few): the members of all lists with the same largest component.
+    """(family, node, component, few): who may link with another component, by the family they may meet in.
 
-    Only lists that hold several components count; ``few`` marks members outside the largest.
+    Only lists that hold several components count.  A family is named by the largest component
+    of a list; ``few`` marks members outside of it.  A member takes part if some list holds one
+    of the other side that fits it in size and sketch; the semi joins give out no pairs.
     """
     labelled = lists.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tallies = labelled.groupBy("token", "component").agg(F.count("*").alias("members"))
     mixed = tallies.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("members", "component")).alias("top"))
     mixed = mixed.filter("kinds > 1").select("token", F.col("top.component").alias("family"))
-    return labelled.join(mixed, "token").select(
-        "family", "node", "component", (F.col("component") != F.col("family")).alias("few")).distinct()
+    mine = materialize(labelled.join(mixed, "token").select("token", "family", "node", "component", "n", "sketch"), "lists")
+    mine = mine.withColumn("few", F.col("component") != F.col("family"))
+    other = mine.select("token", F.col("component").alias("c"), F.col("n").alias("m"), F.col("sketch").alias("s"), F.col("few").alias("f"))
+    fits = (mine["token"] == other["token"]) & (F.col("component") != F.col("c")) & _may_match(F.col("n"), F.col("m"), F.col("sketch"), F.col("s"))
+    meets = mine.filter("few").join(other, fits, "left_semi").unionByName(
+        mine.filter("not few").join(other.filter("f"), fits, "left_semi"))
+    return meets.select("family", "node", "component", "few").distinct()
 
 
 def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
