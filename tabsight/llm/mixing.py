@@ -117,6 +117,13 @@ def shuffle_globally(copies: DataFrame, order: str = "shuffle_key") -> DataFrame
         F.col(order), F.col(row)).sortWithinPartitions(order, row).drop(row)
 
 
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED) -> DataFrame:
+    """The mixed corpus with the columns of ``docs``, in global shuffle order."""
+    added = {n: fresh(docs, n) for n in ("copy", "rate", "shuffle_key")}
+    copies = replicate(docs, weights=weights, seed=seed, copy=added["copy"], rate=added["rate"], order=added["shuffle_key"])
+    return shuffle_globally(copies, added["shuffle_key"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source, copy, rate, position): the mixed corpus as references, in shuffled order.
 

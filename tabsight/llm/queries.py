@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsight.llm import ann, decontaminate, extraction, mixing, neardup, sharding, substrings, wavelet
+import corpus_pipeline
+from tabsight.llm import ann, decontaminate, extraction, mixing, neardup, sharding, substrings, toxicity, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -51,11 +57,13 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_nearest": op2_nearest,
     "op3_benchmark_leaks": op3_benchmark_leaks,
+    "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_wavelet_ids": op7_wavelet_ids,
     "op8_repeated_substrings": op8_repeated_substrings,
     "op9_main_text": op9_main_text,
     "op10_shards": op10_shards,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import fresh, text_bytes
+from tabsight.llm.common import text_bytes
 from tabsight.operators.ordered import rank_within
 
 SHARDS = 40
@@ -54,15 +54,22 @@ def assign_shards(
 
 
 def with_slots(records: DataFrame, shard: str, order_by: Sequence[str], slot: str = "slot") -> DataFrame:
-    """Add each record's place in its shard, gapless from 0 in the order given.
+    """Add each record's place in its shard, gapless from 0 in the order given; a column of that name is replaced.
 
     Rows are range-partitioned by (shard, order, row id) and written once in that order, so
     neither a large shard nor a repeated key fills one task, and a lost executor costs a
     re-read.  Rows equal in the whole order are numbered in any order among themselves.
     """
-    row = fresh(records, "_row")
-    ranked = rank_within(records.withColumn(row, F.monotonically_increasing_id()), [shard], [*order_by, row])
-    return ranked.withColumn(slot, F.col("rank") - 1).drop("rank", "_n", row)
+    kept = [c for c in records.columns if c.lower() != slot.lower()]
+    whole = records.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("record"), F.col(f"`{shard}`").alias("shard"))
+    whole = whole.withColumn("row", F.monotonically_increasing_id())
+    ranked = rank_within(whole, ["shard"], [*[F.col(f"record.`{c}`") for c in order_by], "row"])
+    return ranked.select("record.*", (F.col("rank") - 1).alias(slot))
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Every column of ``docs`` with ``shard`` and ``slot``, by the rendezvous law of ``doc_id``."""
+    return with_slots(assign_shards(docs, "doc_id", shards), "shard", ["doc_id"])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
