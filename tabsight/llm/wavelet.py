@@ -14,6 +14,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from tabsight.llm.common import fresh, materialize, tables, total_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 PARTITION_BYTES = 16 << 20  # text per task
 _MAGIC = b"WVM1"
 _BLOCK = 512  # bits per rank count
@@ -33,16 +34,23 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 _AT_ONCE = 32
 
 
+@lru_cache(maxsize=1)
+def _library(path: str):
+    """The tokenizer of a file, loaded once per Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Packed token ids of whole texts by the tokenizers library, without special tokens."""
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
-        self._library = Tokenizer.from_file(path)
+        self._library = _library(path)
         self.bits = max(END_ID, self._library.get_vocab_size() - 1).bit_length()
         self.kind, self._code = (np.dtype("<u2"), "H") if self.bits <= 16 else (np.dtype("<u4"), "I")
 
