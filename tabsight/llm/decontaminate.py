@@ -69,7 +69,8 @@ def aligned_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     count = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     texts = docs.select(F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
     texts = texts.select("key", F.size("w").alias("n"), shingles("w").alias("hashes"))
-    each = texts.select("key", "n", F.posexplode("hashes").alias("pos", "hash"))
+    # the outer form: else the optimizer filters on the size of the hashes first, and computes them in that filter
+    each = texts.select("key", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
     places = own.select("hash", "m", "q").distinct()
     met = each.join(F.broadcast(places) if count <= BROADCAST_SHINGLES else places, "hash")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n") - F.col("m")))
@@ -91,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = texts.join(places, "key").select("doc_id", "text_key", "places", words(F.col("text")).alias("w"))
     held = held.select("doc_id", "text_key", "places", F.size("w").alias("n"), shingles("w").alias("hashes"))
     # each window takes its own slice along, so a long text is not copied for every window
-    cut = held.select("doc_id", "text_key", F.inline(F.expr(
+    cut = held.select("doc_id", "text_key", F.inline_outer(F.expr(
         "transform(places, p -> named_struct('start', p.start, 'm', p.m, 'n_words', least(p.m, n), "
         f"'hashes', slice(hashes, p.start + 1, least(p.m, n) - {SHINGLE - 1})))")))
     windows = materialize(cut.select("*", fingerprint("hashes").alias("print")).withColumn("window", F.monotonically_increasing_id()), "prints")
@@ -134,8 +135,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 LEAK_SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS (SELECT doc_id, len(w) AS n, pos, array_to_string(w[pos + 1 : pos + {SHINGLE}], ' ') AS s
        FROM (SELECT doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS pos FROM d)),
 bs AS (SELECT item_id, len(w) AS m, q, array_to_string(w[q + 1 : q + {SHINGLE}], ' ') AS s
