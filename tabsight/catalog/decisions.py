@@ -288,7 +288,7 @@ def recs_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = threshold_flags(spark, sf_dir).agg(F.count("*").alias("total"))
     ranked = rules.prioritize(all_recommendations(spark, sf_dir))
-    return rules.key_findings(total, _pairs(spark, sf_dir), _trends(spark, sf_dir), ranked)
+    return rules.key_findings(total, _pairs(spark, sf_dir), _trends(spark, sf_dir), ranked, limit=10)
 
 
 # ---------------------------------------------------------------- scenarios and ranking

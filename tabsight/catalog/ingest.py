@@ -38,6 +38,23 @@ def csv_scan_na(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "csv_scan_text",
+    """
+    SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM documents
+    UNION ALL SELECT -1, count(*), '' FROM documents""",
+)
+def csv_scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with quotes and line breaks to CSV and back; row -1 is the preflight's record count."""
+    path = scratch_path(spark, "texts-csv")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.csv(
+        path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = csv.read_csv(spark, path).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+    counted = csv.preflight(spark, path).agg(F.sum("data_rows").alias("chars"))
+    return back.unionByName(counted.select(F.lit(-1).cast("bigint").alias("doc_id"), "chars", F.lit("").alias("digest")))
+
+
 @register(
     "csv_encoding_census",
     """
@@ -313,6 +330,28 @@ def coerce_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.select("event_id", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+@register(
+    "coerce_temporal_iso",
+    """
+    SELECT event_id, strftime(CASE event_type WHEN 'click' THEN date_trunc('second', ts) WHEN 'view' THEN ts - INTERVAL 2 HOUR
+                                              WHEN 'purchase' THEN ts + INTERVAL 330 MINUTE WHEN 'signup' THEN date_trunc('minute', ts)
+                                              ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') AS parsed
+    FROM events""",
+)
+def coerce_temporal_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds with Z, fractions with offsets, minutes only, fractions alone."""
+    kind = F.col("event_type")
+    shape = lambda f: F.date_format("ts", f)
+    full = shape("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = (
+        F.when(kind == "click", shape("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == "view", F.concat(full, F.lit("+02:00")))
+        .when(kind == "purchase", F.concat(shape("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("-0530"))).when(kind == "signup", shape("yyyy-MM-dd HH:mm"))
+        .otherwise(full)
+    )
+    frame = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return frame.select("event_id", F.date_format(clean.coerce_temporal(F.col("text")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed"))
+
+
 @register(
     "coerce_boolean",
     """

@@ -13,6 +13,8 @@ from tabsight.sources.dictionary import ColumnRule
 # the shape of a number in text.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yyyy")
 NUMBER_PATTERN = r"^-?\d+\.?\d*$"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
+ISO_OFFSET = r"[T ]\d{1,2}:\d{2}\S*\s?(?:Z|UTC|[+-]\d{2}:?\d{2})$"
 
 
 def coerce_numeric(c: Column) -> Column:
@@ -21,9 +23,17 @@ def coerce_numeric(c: Column) -> Column:
 
 
 def coerce_temporal(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Text to timestamp by the first format that parses, else null."""
+    """Text to timestamp, else null: ISO shapes with any fraction first, then the first format that parses.
+
+    A time with an offset (or Z) becomes the same instant in UTC; others are taken as written.
+    """
     text = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    iso = F.when(text.rlike(ISO_DATE), text)
+    # +0200 is read as +02:00
+    spelled = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), spelled.try_cast("timestamp").cast("timestamp_ntz"))
+    plain = F.when(text.rlike(ISO_OFFSET), instant).otherwise(iso.try_cast("timestamp_ntz"))
+    return F.coalesce(plain, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
 def coerce_boolean(c: Column) -> Column:

@@ -19,6 +19,7 @@ from tabsight.operators.quantiles import melt
 MIN_ROWS = 8
 DAGOSTINO_MIN_ROWS = 20
 SHAPIRO_MAX_ROWS = 5000
+TOO_LARGE = "more than 5000 values"
 
 # Polynomial coefficients of Royston (1995), algorithm AS R94, constant term first.
 _TAIL_1 = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -114,15 +115,16 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 
 
 def shapiro_by_group(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys…, column, n, statistic, p_value) for groups of 8 to 5000 values.
+    """(keys…, column, n, statistic, p_value, reason) for groups of at least 8 values.
 
-    Group sizes are counted first and larger groups are left out before any rows are
-    gathered, as the test is not defined for them, so a task never holds more than 5000 values.
+    The test is not defined above 5000 values: such a group has its row with the reason and
+    without a statistic.  Group sizes are counted before any rows are gathered, so a task
+    never holds more than 5000 values.
     """
     scope = [*keys, "column"]
     cells = melt(df, keys, columns)
-    sizes = cells.groupBy(*scope).agg(F.count("*").alias("n")).filter(F.col("n").between(MIN_ROWS, SHAPIRO_MAX_ROWS))
-    rows = cells.join(sizes.select(*scope), scope, "left_semi")
+    sizes = cells.groupBy(*scope).agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_ROWS)
+    rows = cells.join(sizes.filter(F.col("n") <= SHAPIRO_MAX_ROWS).select(*scope), scope, "left_semi")
     fields = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in scope) + ", n bigint, statistic double, p_value double"
 
@@ -130,4 +132,8 @@ def shapiro_by_group(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
         w, p = shapiro_wilk(pdf["value"].to_numpy())
         return pd.DataFrame([[*key, len(pdf), w, p]], columns=[*scope, "n", "statistic", "p_value"])
 
-    return spread(rows, *scope).groupBy(*scope).applyInPandas(kernel, schema)
+    tested = spread(rows, *scope).groupBy(*scope).applyInPandas(kernel, schema).withColumn("reason", F.lit(None).cast("string"))
+    none = F.lit(None).cast("double")
+    untested = sizes.filter(F.col("n") > SHAPIRO_MAX_ROWS).select(
+        *scope, "n", none.alias("statistic"), none.alias("p_value"), F.lit(TOO_LARGE).alias("reason"))
+    return tested.unionByName(untested)

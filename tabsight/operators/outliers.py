@@ -28,7 +28,6 @@ FOREST_MIN_ROWS = 10
 LOF_MIN_ROWS = 20
 TREES = 100
 TREE_ROWS = 256
-POOL_ROWS = 50_000
 SEED = 42
 
 
@@ -138,20 +137,19 @@ def isolation_steps(sample: np.ndarray, rng: np.random.Generator, depth_limit: i
 def _tree_samples(df: DataFrame, ids: Sequence[str], column: str, n: int, trees: int) -> DataFrame:
     """(tree, value): for each tree the ``TREE_ROWS`` rows with the smallest (id, tree) hash.
 
-    Only a hashed pool of bounded expected size is considered, so a large table is scanned
-    once and almost all rows leave at the first test; a second hash test per tree keeps
-    about four times the rows the tree needs.
+    Every row draws for every tree inside the scan; only draws that can be among the smallest
+    leave it: about four times the rows a tree needs are expected to pass, of which a tree
+    keeps the smallest.
     """
     slots = 1 << 40
     data = df.select(*ids, number(df, column).alias("value")).filter(F.col("value").isNotNull())
-    if n > POOL_ROWS:
-        keep = int(slots * (POOL_ROWS / n))
-        data = data.filter(F.pmod(F.xxhash64(*ids, F.lit(SEED)), F.lit(slots)) < keep)
-    drawn = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("draw", F.pmod(F.xxhash64(*ids, F.col("tree"), F.lit(SEED)), F.lit(slots)))
-    share = 4 * TREE_ROWS / min(n, POOL_ROWS)
-    if share < 1:
-        drawn = drawn.filter(F.col("draw") < int(slots * share))
+    share = 4 * TREE_ROWS / max(1, n)
+    limit = int(slots * share) if share < 1 else slots
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64(*ids, t, F.lit(SEED)), F.lit(slots)).alias("draw")),
+    )
+    drawn = data.select(*ids, "value", F.inline(F.filter(draws, lambda d: d["draw"] < limit)))
     order = W.partitionBy("tree").orderBy("draw", *ids)
     return drawn.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= TREE_ROWS).select("tree", "value")
 

@@ -112,6 +112,9 @@ def local_front(points: np.ndarray, chunk: int = 512) -> np.ndarray:
 def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITERIA, step: int = FRONT_STEP) -> DataFrame:
     """Entities no other entity dominates; equal entities stay together.
 
+    An entity with a null or NaN criterion is not comparable: it is not on the front and beats
+    nothing.
+
     Batches first drop what they dominate themselves.  Then, round by round, the ``step``
     best remaining rows in (sum, values) order are settled against each other: whatever
     dominates a row sorts before it, so the undominated ones are final, and the remaining
@@ -119,6 +122,8 @@ def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITE
     """
     names = list(criteria)
     data = scores.select(entity, *[F.col(c).cast("double").alias(c) for c in names])
+    for c in names:
+        data = data.filter(F.col(c).isNotNull() & ~F.isnan(c))
     schema = data.schema
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsight.functions.moments import variation
 from tabsight.operators.correlation import STRONG, strong_pairs
@@ -20,7 +20,6 @@ OUTLIER_PERCENT = 5
 STRONG_FOR_ACTION = 0.8
 TREND_FOR_ACTION = 0.7
 HIGH_VARIATION = 0.5
-MAX_FINDINGS = 10
 
 # Texts of the rules, as printf templates.
 OUTLIER_TITLE = "Investigate %s Anomalies"
@@ -280,10 +279,9 @@ def risk_distribution(assessed: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum("risk_score").alias("s")
     )
     full = levels.join(counts, "level", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    totals = full.agg(F.sum("s").alias("total_score"), F.sum("n").alias("total"))
-    total_score, total = totals.first()
-    overall = (total_score or 0.0) / total if total else 0.0
-    return full.select("severity", "level", F.col("n").alias("recommendations"), F.lit(float(overall)).alias("overall_risk_score"))
+    every = W.partitionBy()  # five rows
+    overall = F.coalesce(F.sum("s").over(every) / F.nullif(F.sum("n").over(every), F.lit(0)), F.lit(0.0))
+    return full.select("severity", "level", F.col("n").alias("recommendations"), overall.alias("overall_risk_score"))
 
 
 def high_risk(assessed: DataFrame) -> DataFrame:
@@ -319,9 +317,9 @@ def by_priority(prioritized: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def key_findings(
-    flags_total: DataFrame, pairs: DataFrame, trends: DataFrame, prioritized: DataFrame, limit: int = MAX_FINDINGS
+    flags_total: DataFrame, pairs: DataFrame, trends: DataFrame, prioritized: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """(seq, finding): counts of each analysis as sentences, the first ten.
+    """(seq, finding): counts of each analysis as sentences, all of them or the first ``limit``.
 
     ``flags_total`` is one row with ``total``; ``trends`` has (column, trend_direction).
     """
@@ -342,4 +340,5 @@ def key_findings(
         F.format_string(FINDINGS["actions"], F.col("n")).alias("finding"),
     )
     rows = outliers.unionByName(strong).unionByName(moving).unionByName(urgent)
-    return rows.orderBy("section", "item").limit(limit).select("section", "item", "finding")
+    ordered = rows.orderBy("section", "item").select("section", "item", "finding")
+    return ordered if limit is None else ordered.limit(limit)

@@ -11,7 +11,6 @@ from tabsight.operators import correlation, outliers, stats, timeseries
 
 ANALYSES = ("descriptive", "correlation", "outliers", "aggregation", "timeseries")
 DEFAULT_ANALYSES = ("descriptive", "correlation")
-DEFAULT_COLUMNS = 10
 MIN_SERIES_ROWS = 3
 
 
@@ -100,16 +99,17 @@ def analyze(
     analyses: Sequence[str | Mapping] | None = None,
     columns: Sequence[str] | None = None,
     date_column: str | None = None,
+    limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy long tables by analysis name.
+    """Long tables by analysis name; planning them may count and bound things in eager jobs.
 
     An entry of ``analyses`` is a name or a mapping with ``type`` and optional ``columns`` and
     ``methods``; unknown names are ignored.  Without analyses the default is descriptive and
-    correlation on the first ten numeric columns.
+    correlation on all numeric columns, or the first ``limit``.
     """
     if not analyses:
         analyses = DEFAULT_ANALYSES
-        columns = columns or [c for c in numeric_columns(df) if c not in ids][:DEFAULT_COLUMNS]
+        columns = columns or [c for c in numeric_columns(df) if c not in ids][:limit]
     results: dict[str, DataFrame] = {}
     for entry in analyses:
         spec = {"type": entry} if isinstance(entry, str) else dict(entry)

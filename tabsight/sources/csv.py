@@ -33,34 +33,49 @@ def nulls_from_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS + PANDA
     )
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV as text columns with null tokens applied; types follow from inference and coercion."""
+def scan_csv(
+    spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", encoding: str = "UTF-8", multi_line: bool = False,
+) -> DataFrame:
+    """Header CSV as text columns with null tokens applied; types follow from inference and coercion.
+
+    A quote inside a quoted field is doubled.  ``multi_line`` reads fields that hold line
+    breaks, at the price of one task per file.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.csv(paths, header=True, sep=delimiter, encoding=encoding, inferSchema=False)
+    raw = spark.read.csv(
+        paths, header=True, sep=delimiter, encoding=encoding, inferSchema=False, escape='"', multiLine=multi_line)
     return nulls_from_tokens(raw)
 
 
+def _open_quote(line):
+    """Whether a line leaves a quoted field open (or closes one): an odd number of quotes."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
 def encoding_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(file, lines, invalid_lines, encoding): UTF-8 unless some line is not valid UTF-8.
+    """(file, lines, invalid_lines, multi_line, encoding): UTF-8 unless some line is not valid UTF-8.
+
+    ``multi_line`` tells whether some quoted field holds a line break.
 
     The text source hands lines on as raw bytes, so the check runs on splits of a file and
     never needs a whole file in one row.
     """
     paths = [path] if isinstance(path, str) else list(path)
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"), _open_quote(F.col("value")).alias("open")
     )
-    per_file = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(~F.col("valid")).alias("invalid_lines"))
+    per_file = lines.groupBy("file").agg(
+        F.count("*").alias("lines"), F.count_if(~F.col("valid")).alias("invalid_lines"), F.bool_or("open").alias("multi_line"))
     return per_file.withColumn("encoding", F.when(F.col("invalid_lines") == 0, "UTF-8").otherwise(FALLBACK_ENCODING))
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",") -> DataFrame:
-    """Scan with the encoding each file needs; the groups are united by column name."""
-    census = encoding_census(spark, path).select("file", "encoding").collect()  # one row per file
-    by_encoding: dict[str, list[str]] = {}
+    """Scan with the encoding and line mode each file needs; the groups are united by column name."""
+    census = encoding_census(spark, path).select("file", "encoding", "multi_line").collect()  # one row per file
+    by_kind: dict[tuple[str, bool], list[str]] = {}
     for r in census:
-        by_encoding.setdefault(r["encoding"], []).append(unquote(r["file"]))
-    frames = [scan_csv(spark, files, delimiter, encoding) for encoding, files in sorted(by_encoding.items())]
+        by_kind.setdefault((r["encoding"], bool(r["multi_line"])), []).append(unquote(r["file"]))
+    frames = [scan_csv(spark, files, delimiter, encoding, lines) for (encoding, lines), files in sorted(by_kind.items())]
     out = frames[0]
     for other in frames[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
@@ -96,7 +111,11 @@ def _file_key(column):
 
 
 def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",") -> DataFrame:
-    """Structural check, one row per file: size, columns, data rows, errors and warnings."""
+    """Structural check, one row per file: size, columns, data rows, errors and warnings.
+
+    In a file whose quoted fields hold line breaks, records are counted instead of lines, and
+    rows are not checked for extra fields.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     schema = "file string, bytes bigint, columns bigint, data_rows bigint, errors array<string>, warnings array<string>"
     listed = {p: list_files(spark, p) for p in paths}
@@ -116,12 +135,21 @@ def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = "
         F.col("value"),
         _separators(F.col("value"), delimiter).alias("separators"),
     )
-    lines = lines.filter(F.trim("value") != "")
+    lines = lines.filter(F.trim("value") != "").withColumn("open", _open_quote(F.col("value")))
     shape = lines.groupBy("key").agg(
         F.count("*").alias("lines"),
+        F.bool_or("open").alias("multi_line"),
         F.min_by("separators", F.struct("block", "position")).alias("header_separators"),
         F.max("separators").alias("widest"),
     )
+    broken = [r["file"] for r in files.join(shape.filter("multi_line"), "key", "left_semi").select("file").collect()]
+    if broken:  # lines are no records there: the reader that knows quotes counts records and fields
+        whole = spark.read.csv([unquote(f) for f in broken], sep=delimiter, escape='"', multiLine=True)
+        filled = F.size(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), 1) for c in whole.columns])))
+        records = whole.select(_file_key("_metadata.file_path").alias("key"), filled.alias("filled")).filter("filled > 0")
+        records = records.groupBy("key").agg(F.count("*").alias("records"))
+        shape = shape.join(records, "key", "left").withColumn("lines", F.coalesce("records", "lines"))
+        shape = shape.withColumn("widest", F.when(~F.col("multi_line"), F.col("widest")))
     joined = files.join(shape, "key", "left")
     columns = F.col("header_separators") + 1
     suffix = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))

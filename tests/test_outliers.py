@@ -85,11 +85,11 @@ def test_forest_is_deterministic_and_finds_extremes(planted):
     assert top <= _ids(flags, "isolation_forest")
 
 
-def test_pool_sampling_on_larger_tables(planted, monkeypatch):
-    pdf, df = planted
-    monkeypatch.setattr(outliers, "POOL_ROWS", 1200)
-    scores = outliers.forest_scores(df, ["id"], "v").toPandas().set_index("id")["score"]
-    assert set(scores.nlargest(30).index) >= set(pdf["id"].iloc[-2:])
+def test_trees_draw_from_the_whole_table(spark):
+    df = spark.range(60_000).select("id", F.randn(4).alias("v"))
+    drawn = outliers._tree_samples(df, ["id"], "v", 60_000, 40).toPandas()
+    assert (drawn.groupby("tree").size() == outliers.TREE_ROWS).all()
+    assert drawn["value"].nunique() > 0.9 * 60_000 * (1 - (1 - outliers.TREE_ROWS / 60_000) ** 40)  # nearly no value twice
 
 
 def test_summary_keeps_methods_without_flags_and_consensus_counts(spark):

@@ -84,6 +84,14 @@ def test_pareto_front_in_rounds(spark, step):
     assert front == set(np.flatnonzero(~dominated))
 
 
+@pytest.mark.parametrize("step", [2, 50])
+def test_incomparable_rows_are_never_on_the_front(spark, step):
+    rows = [(i, float(i), float(-i)) for i in range(6)] + [(100, None, 9.0), (101, float("nan"), 9.0)]
+    df = spark.createDataFrame(rows, "e int, a double, b double")
+    assert {r["e"] for r in ranking.pareto_front(df, "e", ["a", "b"], step=step).collect()} == set(range(6))
+    assert not any(r["pareto_efficient"] for r in ranking.dominance_split(df, "e", ["a", "b"]).collect() if r["e"] > 99)
+
+
 def test_all_on_the_front(spark):
     df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(300)], "e int, a double, b double")
     assert ranking.pareto_front(df, "e", ["a", "b"], step=40).count() == 300

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as driver
 from tabsight.plans import analyses, workflow
+from tabsight.sources import csv
 from tests import oracle
 
 SMALL = "/root/testdata/sf0.001"
@@ -101,3 +102,22 @@ def test_query_matches_sql(spark, con, name):
     got = driver.queries()[name](spark, SMALL).toPandas()
     verdict = oracle.compare(got, con.execute(driver.oracle_sql()[name]).df())
     assert not verdict or verdict.startswith("~"), verdict
+
+
+def test_quoted_line_breaks_and_doubled_quotes(spark, tmp_path):
+    f = tmp_path / "q.csv"
+    f.write_text('id,text,v\n1,"say ""hi"", ok",3\n2,"two\nlines",4\n3,plain,5\n')
+    rows = [tuple(r) for r in csv.read_csv(spark, str(f)).orderBy("id").collect()]
+    assert rows == [("1", 'say "hi", ok', "3"), ("2", "two\nlines", "4"), ("3", "plain", "5")]
+    checked = csv.preflight(spark, str(f)).first()
+    assert (checked["columns"], checked["data_rows"], checked["errors"]) == (3, 3, [])
+    g = tmp_path / "plain.csv"
+    g.write_text('id,text\n1,"a ""b"""\n')
+    assert not csv.encoding_census(spark, str(g)).first()["multi_line"]
+
+
+def test_dates_written_by_spark_survive_the_workflow(spark, tmp_path):
+    path = str(tmp_path / "dates")
+    spark.sql("SELECT id, timestamp_ntz'2024-01-31 10:00:00.5' + make_dt_interval(CAST(id AS INT)) AS day, id * 1.5 AS v FROM range(40)").coalesce(1).write.csv(path, header=True)
+    table = workflow.collect(spark, path).table
+    assert dict(table.dtypes)["day"] == "timestamp_ntz" and table.filter("day is null").count() == 0
