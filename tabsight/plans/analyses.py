@@ -93,6 +93,12 @@ def series(df: DataFrame, columns: Sequence[str], ids: Sequence[str], date_colum
     return out
 
 
+def failure(df: DataFrame, kind: str, error: Exception) -> DataFrame:
+    """The row that stands for an analysis that could not be planned: stat ``error``, the message as item."""
+    message = f"{type(error).__name__}: {str(error)[:300]}"
+    return df.sparkSession.createDataFrame([(kind, message, "error", None)], "analysis string, item string, stat string, value double")
+
+
 def analyze(
     df: DataFrame,
     ids: Sequence[str],
@@ -104,7 +110,8 @@ def analyze(
     """Long tables by analysis name; planning them may count and bound things in eager jobs.
 
     An entry of ``analyses`` is a name or a mapping with ``type`` and optional ``columns`` and
-    ``methods``; unknown names are ignored.  Without analyses the default is descriptive and
+    ``methods``; unknown names are ignored; an analysis that fails while it is planned gives one
+    row that says so, and the others go on.  Without analyses the default is descriptive and
     correlation on all numeric columns, or the first ``limit``.
     """
     if not analyses:
@@ -117,18 +124,21 @@ def analyze(
         names = numeric_columns(df, wanted) if wanted else [c for c in numeric_columns(df) if c not in ids]
         methods = {"methods": spec["methods"]} if spec.get("methods") else {}
         kind = spec.get("type")
-        if kind == "descriptive":
-            results[kind] = descriptive(df, names)
-        elif kind == "correlation" and len(names) > 1:
-            results[kind] = correlations(df, names, **methods)
-        elif kind == "outliers":
-            results[kind] = outlier_counts(df, names, ids, **methods)
-        elif kind == "aggregation":
-            results[kind] = aggregation(df, names)
-        elif kind == "timeseries":
-            table = series(df, names, ids, date_column)
-            if table is not None:
-                results[kind] = table
+        try:
+            if kind == "descriptive":
+                results[kind] = descriptive(df, names)
+            elif kind == "correlation" and len(names) > 1:
+                results[kind] = correlations(df, names, **methods)
+            elif kind == "outliers":
+                results[kind] = outlier_counts(df, names, ids, **methods)
+            elif kind == "aggregation":
+                results[kind] = aggregation(df, names)
+            elif kind == "timeseries":
+                table = series(df, names, ids, date_column)
+                if table is not None:
+                    results[kind] = table
+        except Exception as error:  # noqa: BLE001  (one analysis must not lose the others)
+            results[kind] = failure(df, kind, error)
     return results
 
 

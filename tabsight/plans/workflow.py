@@ -52,9 +52,11 @@ def collect(spark: SparkSession, path: str, data_dictionary: str | None = None,
     columnar table, so that the passes over it do not parse CSV again.
     """
     checked = csv.preflight(spark, path, delimiter)
-    broken = checked.filter(F.size("errors") > 0).select("file", "errors").limit(5).collect()
+    bad = checked.filter(F.size("errors") > 0).select("file", "errors")
+    broken = bad.limit(5).collect()
     if broken:
-        raise ValueError("; ".join(f"{r['file']}: {', '.join(r['errors'])}" for r in broken))
+        named = "; ".join(f"{r['file']}: {', '.join(r['errors'])}" for r in broken)
+        raise ValueError(named if len(broken) < 5 else f"{bad.count()} files have errors, among them {named}")
     raw = materialize(csv.read_csv(spark, path, delimiter), "scanned")
     types = profile.detect_types(clean.general_normalize(raw))
     rules_by_column, listed, issues = {}, None, None

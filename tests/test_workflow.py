@@ -121,3 +121,11 @@ def test_dates_written_by_spark_survive_the_workflow(spark, tmp_path):
     spark.sql("SELECT id, timestamp_ntz'2024-01-31 10:00:00.5' + make_dt_interval(CAST(id AS INT)) AS day, id * 1.5 AS v FROM range(40)").coalesce(1).write.csv(path, header=True)
     table = workflow.collect(spark, path).table
     assert dict(table.dtypes)["day"] == "timestamp_ntz" and table.filter("day is null").count() == 0
+
+
+def test_a_failing_analysis_leaves_the_others(spark, monkeypatch):
+    df = spark.range(30).selectExpr("id", "id * 2.0 AS v")
+    monkeypatch.setattr(analyses, "aggregation", lambda *a: 1 / 0)
+    got = analyses.unite(analyses.analyze(df, ["id"], ["descriptive", "aggregation"])).collect()
+    assert {r["analysis"] for r in got} == {"descriptive", "aggregation"}
+    assert [r["item"][:17] for r in got if r["stat"] == "error"] == ["ZeroDivisionError"]
