@@ -8,7 +8,10 @@ may still be repeated:
    share theirs, so one row stands for some thirty-five windows.  Anchors seen once are done.
 2. The second digit is everything that the windows of an anchor can cover.  Where all
    occurrences agree in it, all their windows are equal, and all but the earliest are repeats.
-3. What is left differs somewhere inside: those windows are sorted through all ``DEPTH`` bytes,
+3. The third digit is one half of that: windows that start up to ``SPLIT`` bytes before their
+   anchor hold the same bytes after it, the others the same bytes before it.  Where a half
+   occurs once, its windows are done.
+4. What is left differs somewhere inside: those windows are sorted through all ``DEPTH`` bytes,
    and equal groups are exactly the repeated windows.
 
 Documents lie in ranges of doc_id in a bucketed table, so that each pass reads them in place.
@@ -30,15 +33,18 @@ from tabsight.llm.common import forget, fresh, materialize, mix64, parts, scratc
 DEPTH = 100  # bytes of a repeated string
 DIGIT = 32  # bytes of an anchor: long enough not to recur by chance, short enough to stand for many windows
 REACH = DEPTH - DIGIT  # how far before an anchor its windows may start
-BUCKET_BYTES = 16 << 20
+SPLIT = REACH // 2
+BUCKET_BYTES = 8 << 20
 _PIECE = 1 << 20
 _ODD = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _STEP = 1 << 14
 _IN_DIGIT = np.arange(0, DIGIT, 8)
 _IN_CONTEXT = np.append(np.arange(-REACH, DEPTH - 8, 8), DEPTH - 8)
 _IN_WINDOW = np.append(np.arange(0, DEPTH - 8, 8), DEPTH - 8)
+_IN_AFTER = np.append(np.arange(0, DEPTH - SPLIT - 8, 8), DEPTH - SPLIT - 8)
+_IN_BEFORE = np.append(np.arange(-SPLIT - 1, DIGIT - 8, 8), DIGIT - 8)
 
-REPEATED, OPEN, WINDOW = 1, 2, 3  # kinds of what a bucket is told
+REPEATED, OPEN, WINDOW, HALF = 1, 2, 3, 4  # kinds of what a bucket is told
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -112,6 +118,10 @@ class Bytes:
         # bytes behind the reach are zeros of the frame, so equal reaches and bytes have equal hashes
         return mix64(got + reach.astype(np.uint64) * _ODD[61])
 
+    def halves(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of what all windows starting well before an anchor hold, and of what the others do."""
+        return self._digest(_IN_BEFORE, places, 4), self._digest(_IN_AFTER, places, 5)
+
     def windows(self, places: np.ndarray) -> np.ndarray:
         """Hash of the ``DEPTH`` bytes from each place."""
         return self._digest(_IN_WINDOW, places, 3)
@@ -164,17 +174,34 @@ class Bucket:
             wanted |= self.kinds > 1
         return np.sort(self.by[self.new_context & wanted[self.group]]) if len(self.by) else self.by
 
-    def expand(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, digit, window hash) of the windows of some anchors, in document order."""
+    def halves(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The half digests of some anchors (ascending)."""
+        before, after = np.empty(len(anchors), dtype=np.uint64), np.empty(len(anchors), dtype=np.uint64)
+        doc = self.doc[anchors]
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+        for low, high in zip(starts, np.append(starts[1:], len(doc))):
+            before[low:high], after[low:high] = self.docs[doc[low]].halves(self.place[anchors[low:high]])
+        return before, after
+
+    def expand(self, anchors: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, digit, window hash) of the windows of some anchors (ascending), in document order.
+
+        ``before`` and ``after`` tell for each anchor which of its halves is looked at.
+        """
         doc, start, digit, whole = [], [], [], []
-        for i in np.unique(self.doc[anchors]):
-            mine = anchors[self.doc[anchors] == i] if len(anchors) < 64 else anchors[np.searchsorted(self.doc[anchors], i) : np.searchsorted(self.doc[anchors], i, "right")]
+        owner = self.doc[anchors]
+        for i in np.unique(owner):
+            low, high = np.searchsorted(owner, i), np.searchsorted(owner, i, "right")
+            mine = anchors[low:high]
             d = self.docs[i]
             at = d.anchors()
             chosen = np.zeros(d.n, dtype=bool)
             chosen[self.place[mine]] = True
             windows = np.flatnonzero(chosen[at])
             which = np.searchsorted(self.place[mine], at[windows])
+            near = at[windows] - windows <= SPLIT
+            wanted = np.where(near, after[low:high][which], before[low:high][which])
+            windows, which = windows[wanted], which[wanted]
             doc.append(np.full(len(windows), i))
             start.append(windows)
             digit.append(self.digit[mine][which])
@@ -255,12 +282,54 @@ def _send_digits(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": np.full(len(digit), pdf["bucket"].iloc[0], dtype=np.int32), "a": _signed(digit), "b": _signed(context)})
 
 
+def _send_halves(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    none = pd.DataFrame({"bucket": np.empty(0, np.int32), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    if not len(pdf) or not len(told):
+        return none
+    bucket = Bucket(pdf)
+    anchors = bucket.first_anchors(_unsigned(told, "a"), several=False)
+    digit, half = np.tile(bucket.digit[anchors], 2), np.concatenate(bucket.halves(anchors))
+    by, new = _first_of(half, digit)
+    keep = by[new]
+    return pd.DataFrame({"bucket": np.full(len(keep), pdf["bucket"].iloc[0], dtype=np.int32), "a": _signed(digit[keep]), "b": _signed(half[keep])})
+
+
+def _compare_halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Halves that several buckets have."""
+    pdf = _sorted_partition(batches)
+    if pdf is None:
+        return
+    digit, half, bucket = _unsigned(pdf, "a"), _unsigned(pdf, "b"), pdf["bucket"].to_numpy(np.int64)
+    by, new = _first_of(half, digit)
+    group = np.cumsum(new) - 1
+    tell = by[np.bincount(group)[group] > 1]
+    yield pd.DataFrame({"bucket": bucket[tell].astype(np.int32), "kind": np.full(len(tell), HALF, dtype=np.int32), "a": _signed(digit[tell]), "b": _signed(half[tell])})
+
+
+def _open_halves(bucket: Bucket, told: pd.DataFrame, several: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, before, after): first anchors that are open, and which halves occur again.
+
+    Halves told from other buckets count, and with ``several`` those that occur twice in this one.
+    """
+    kind = told["kind"].to_numpy() if len(told) else np.empty(0, dtype=np.int64)
+    a = _unsigned(told, "a") if len(told) else np.empty(0, dtype=np.uint64)
+    b = _unsigned(told, "b") if len(told) else np.empty(0, dtype=np.uint64)
+    anchors = bucket.first_anchors(a[kind == OPEN], several)
+    digit, half = np.tile(bucket.digit[anchors], 2), np.concatenate(bucket.halves(anchors))
+    again = _in_pairs(half, digit, b[kind == HALF], a[kind == HALF])
+    if several and len(half):
+        by, new = _first_of(half, digit)
+        group = np.cumsum(new) - 1
+        again[by] |= np.bincount(group)[group] > 1
+    return anchors, again[: len(anchors)], again[len(anchors) :]
+
+
 def _send_windows(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     none = pd.DataFrame({"bucket": np.empty(0, np.int32), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     if not len(pdf) or not len(told):
         return none
     bucket = Bucket(pdf)
-    _, _, digit, whole = bucket.expand(bucket.first_anchors(_unsigned(told, "a"), several=False))
+    _, _, digit, whole = bucket.expand(*_open_halves(bucket, told, several=False))
     by, new = _first_of(whole, digit)
     keep = by[new]
     return pd.DataFrame({"bucket": np.full(len(keep), pdf["bucket"].iloc[0], dtype=np.int32), "a": _signed(digit[keep]), "b": _signed(whole[keep])})
@@ -285,7 +354,7 @@ def removed_starts(bucket: Bucket, told: pd.DataFrame) -> list[np.ndarray]:
             chosen = np.zeros(d.n, dtype=bool)
             chosen[bucket.place[mine][again[mine]]] = True
             out[i] |= chosen[d.anchors()]
-    doc, start, digit, whole = bucket.expand(bucket.first_anchors(a[kind == OPEN], several=True))
+    doc, start, digit, whole = bucket.expand(*_open_halves(bucket, told, several=True))
     if len(doc):
         by, new = _first_of(whole, digit)
         gone = np.zeros(len(doc), dtype=bool)
@@ -347,9 +416,12 @@ def dedup_substrings(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     digits = by_bucket.applyInPandas(_send_digits, _DIGESTS).repartition(width, "a")
     told = materialize(digits.mapInPandas(_compare_digits, _TOLD), "digits")
     open_anchors = told.filter(F.col("kind") == OPEN)
-    windows = by_bucket.cogroup(open_anchors.groupBy("bucket")).applyInPandas(_send_windows, _DIGESTS).repartition(width, "b")
+    halves = by_bucket.cogroup(open_anchors.groupBy("bucket")).applyInPandas(_send_halves, _DIGESTS).repartition(width, "b")
+    again = materialize(halves.mapInPandas(_compare_halves, _TOLD), "halves")
+    asked = open_anchors.unionByName(again)
+    windows = by_bucket.cogroup(asked.groupBy("bucket")).applyInPandas(_send_windows, _DIGESTS).repartition(width, "b")
     repeated = materialize(windows.mapInPandas(_compare_windows, _TOLD), "windows")
-    everything = told.unionByName(repeated)
+    everything = told.unionByName(again).unionByName(repeated)
     done = by_bucket.cogroup(everything.groupBy("bucket")).applyInPandas(
         _settle, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     result = materialize(done, "settled")
