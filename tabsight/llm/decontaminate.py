@@ -101,7 +101,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = index.withColumn("mask", F.explode(F.split(F.lit(_MASKS), ",").cast("array<int>")))
     index = index.select("item", "m", "item_print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     asked = windows.select("window", "m", "print", F.inline(_blocks("print")))
-    found = asked.join(index, ["m", "block", "value"]).filter(
+    # the index has some ten thousand rows per item, which the planner cannot see: no side is broadcast
+    found = asked.hint("merge").join(index, ["m", "block", "value"]).filter(
         F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("window", "item").distinct()
     found = materialize(found, "candidates")
 
