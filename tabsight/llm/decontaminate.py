@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash fingerprints of item-sized windows, in DataFrame operations only.
 
-1. A window without any shingle of the benchmark cannot be similar to an item, so the hashed
-   shingles of all texts are first met with the benchmark's; what remains names the windows:
-   as long as the item, and placed so that the common shingle lies where the item has it.
+1. A window with few shingles of the benchmark cannot be similar to an item, so the hashed
+   shingles of all texts are first met with the benchmark's; where they stand names the windows:
+   as long as the item, at every start from which enough of them are inside, in any order.
 2. Windows and items get 64-bit SimHash fingerprints, every shingle weighing as often as it
    occurs.  Fingerprints within ``RADIUS`` bits differ in at most a quarter of that in one of
    four blocks, so the index of items under all block values within that distance finds each
@@ -63,8 +63,14 @@ def prepare_items(benchmark: DataFrame) -> DataFrame:
     return materialize(rows.select("*", fingerprint("hashes").alias("print")).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def aligned_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, places): per text hash, the (start, m) of windows that share a shingle with an item of m words in its place."""
+def item_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, places): per text hash, the (start, m, aligned) of windows that can be similar to an item of m words.
+
+    Of W and M shingles at least SIMILAR * (W + M) / (1 + SIMILAR) have to be common, so a window
+    with fewer places that hold a shingle of such items cannot be similar to one; all others are
+    named, whatever the order of their shingles.  ``aligned`` are those with a common shingle where
+    the item has it.
+    """
     own = items.select("m", F.posexplode("hashes").alias("q", "hash"))
     count = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     texts = docs.select(F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
@@ -74,8 +80,16 @@ def aligned_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     places = own.select("hash", "m", "q").distinct()
     met = each.join(F.broadcast(places) if count <= BROADCAST_SHINGLES else places, "hash")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n") - F.col("m")))
-    windows = met.select("key", start.alias("start"), "m").distinct()
-    return windows.groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("places"))
+    hits = met.groupBy("key", "n", "m").agg(F.sort_array(F.collect_set("pos")).alias("hits"), F.collect_set(start).alias("aligned"))
+    hits = hits.withColumn("room", F.least("m", "n") - (SHINGLE - 1))
+    need = F.ceil(F.lit(SIMILAR) * (F.col("room") + F.col("m") - (SHINGLE - 1)) / F.lit(1 + SIMILAR) - F.lit(1e-9)).cast("int")
+    # the i-th hit is the first in a window that reaches the needed number of hits: from so early to that hit it may start
+    starts = F.expr(
+        "array_distinct(flatten(transform(filter(sequence(0, greatest(0, size(hits) - need)), i -> get(hits, i + need - 1) - get(hits, i) < room), i -> "
+        "sequence(least(greatest(0, get(hits, i + need - 1) - room + 1), greatest(0, n - m)), least(get(hits, i), greatest(0, n - m))))))")
+    named = hits.withColumn("need", need).filter(F.size("hits") >= F.col("need")).withColumn("starts", starts)
+    named = named.select("key", F.expr("transform(starts, s -> struct(s AS start, m, array_contains(aligned, s) AS aligned))").alias("places"))
+    return named.filter(F.size("places") > 0).groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -86,14 +100,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents or items there are no rows.  Other columns are ignored.
     """
     items = prepare_items(benchmark)
-    places = materialize(aligned_windows(docs, items), "windows")
+    places = materialize(item_windows(docs, items), "windows")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_key"),
                         F.xxhash64("text").alias("key"), "text")
     held = texts.join(places, "key").select("doc_id", "text_key", "places", words(F.col("text")).alias("w"))
     held = held.select("doc_id", "text_key", "places", F.size("w").alias("n"), shingles("w").alias("hashes"))
     # each window takes its own slice along, so a long text is not copied for every window
     cut = held.select("doc_id", "text_key", F.inline_outer(F.expr(
-        "transform(places, p -> named_struct('start', p.start, 'm', p.m, 'n_words', least(p.m, n), "
+        "transform(places, p -> named_struct('start', p.start, 'm', p.m, 'aligned', p.aligned, 'n_words', least(p.m, n), "
         f"'hashes', slice(hashes, p.start + 1, least(p.m, n) - {SHINGLE - 1})))")))
     windows = materialize(cut.select("*", fingerprint("hashes").alias("print")).withColumn("window", F.monotonically_increasing_id()), "prints")
 
@@ -110,12 +124,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.count("*").alias("c"))
     item_bags = items.select("item", F.explode("hashes").alias("hash")).groupBy("item", "hash").agg(F.count("*").alias("ic"))
     both = bags.join(item_bags, ["item", "hash"]).groupBy("window", "item").agg(F.sum(F.least("c", "ic")).alias("both"))
-    whole = both.join(windows.select("window", "doc_id", "text_key", "start", "n_words", F.size("hashes").alias("size")), "window").join(
+    whole = both.join(windows.select("window", "doc_id", "text_key", "start", "aligned", "n_words", F.size("hashes").alias("size")), "window").join(
         items.select("item", "item_id", F.size("hashes").alias("item_size")), "item")
     similarity = F.col("both") / (F.col("size") + F.col("item_size") - F.col("both"))
-    alike = whole.select("doc_id", "text_key", "item_id", F.col("start").alias("start_word"), "n_words", similarity.alias("similarity")).filter(
+    alike = whole.select("doc_id", "text_key", "item_id", F.col("start").alias("start_word"), "aligned", "n_words", similarity.alias("similarity")).filter(
         F.col("similarity") >= SIMILAR)
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("start"), "n_words")).alias("best")
+    # of equally similar windows one is preferred that has a shingle where the item has it
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start_word")).alias("start"), "n_words")).alias("best")
     return alike.groupBy("doc_id", "text_key", "item_id").agg(best).select(
         "doc_id", "text_key", "item_id", (-F.col("best.start")).alias("start_word"), F.col("best.n_words").alias("n_words"),
         F.round("best.similarity", 9).alias("similarity"))

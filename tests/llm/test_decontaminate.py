@@ -83,3 +83,16 @@ def test_blocks_find_every_print_within_the_radius(different):
         for bit in rng.sample(range(64), different):
             b ^= 1 << bit
         assert any((a >> 16 * k ^ b >> 16 * k) & 0xFFFF in masks for k in range(4))
+
+
+def test_parts_of_an_item_in_another_order(spark, make_docs):
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    parts = [text(60) for _ in range(12)]
+    items = [(i, " ".join(w)) for i, w in enumerate(parts)]
+    docs = []
+    for i, w in enumerate(parts):
+        docs.append((2 * i, " ".join(text(150) + w[30:] + w[:30] + text(150))))
+        docs.append((2 * i + 1, " ".join(text(150) + w[12:] + w[:12] + text(20))))
+    want, got = brute(docs, items), run(spark, make_docs(docs), items)
+    assert set(want) == {(d, d // 2) for d in range(24)} and got == want
