@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabsight.llm import ann, decontaminate, extraction, langid, mixing, neardup, passages, sharding, substrings, toxicity, wavelet
+from tabsight.llm import ann, decontaminate, extraction, langid, mixing, neardup, passages, sharding, substrings, toxicity, wavelet, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.label_documents(docs, langid.train(docs))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op8_repeated_substrings": op8_repeated_substrings,
     "op9_main_text": op9_main_text,
     "op10_shards": op10_shards,
+    "op11_whitened": op11_whitened,
     "op13_language": op13_language,
     "pipeline": corpus_pipeline.run,
 }
