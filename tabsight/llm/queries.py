@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tabsight.llm import ann, decontaminate, extraction, langid, mixing, neardup, passages, sharding, substrings, toxicity, wavelet, whitening
+from tabsight.llm import ann, decontaminate, extraction, langid, merkle, mixing, neardup, passages, sharding, substrings, toxicity, wavelet, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.label_documents(docs, langid.train(docs))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op9_main_text": op9_main_text,
     "op10_shards": op10_shards,
     "op11_whitened": op11_whitened,
+    "op12_manifest": op12_manifest,
     "op13_language": op13_language,
     "pipeline": corpus_pipeline.run,
 }
