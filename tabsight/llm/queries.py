@@ -89,4 +89,5 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
     "op3_benchmark_leaks": decontaminate.LEAK_SQL,
+    "op12_manifest": merkle.MANIFEST_SQL,
 }
