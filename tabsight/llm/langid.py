@@ -277,23 +277,21 @@ def excerpts(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """(excerpt, starts, lang): at most ``per_language`` excerpts of each language outside the held-out fold.
 
     A document offers ``PER_DOCUMENT`` stretches at places given by hashes; which of them are taken is
-    decided by hashes too.  Stretches, not whole texts, are shuffled: a first count per language lets
-    only about twice the wanted number through.
+    decided by hashes too.  Documents are counted by language first (one number per language, as the
+    network has), so the scan lets only about twice the wanted number of stretches through.
     """
-    text, lang = F.col("text"), F.col("lang")
-    rows = docs.select("doc_id", "text", "lang").filter(
-        (fold(F.col("doc_id")) != HELD_OUT) & lang.isNotNull() & text.rlike(r"\p{L}"))
-    counts = rows.groupBy(lang.alias("lang")).agg((2 * per_language / (PER_DOCUMENT * F.count("*"))).alias("share"))
+    lang = F.col("lang")
+    rows = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id")) != HELD_OUT) & lang.isNotNull())
+    shares = [(r["lang"], 2 * per_language / (PER_DOCUMENT * r["count"])) for r in rows.groupBy("lang").count().collect()]
+    few = docs.sparkSession.createDataFrame([(name, max(share, 2.0**-20)) for name, share in shares], "lang string, share double")
     places = F.explode(F.array(*[F.lit(i) for i in range(PER_DOCUMENT)])).alias("nth")
-    key = F.xxhash64("doc_id", "text")
-    many = rows.select("text", "lang", key.alias("key"), places).select(
-        "text", "lang", F.xxhash64("key", "nth").alias("key"))
+    many = rows.filter(F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("doc_id", "text").alias("key"), places)
+    many = many.select("text", "lang", F.xxhash64("key", "nth").alias("key")).join(F.broadcast(few), "lang")
     # rank of a stretch in [0, 1), then where it starts
-    many = many.withColumn("draw", F.pmod("key", F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    taken = many.join(counts, "lang").filter(F.col("draw") < F.greatest(F.col("share"), F.lit(64 / (1 << 20))))
+    many = many.withColumn("draw", F.pmod("key", F.lit(1 << 20)) / F.lit(float(1 << 20))).filter(F.col("draw") < F.col("share"))
     start = F.pmod(F.shiftrightunsigned("key", 20), F.greatest(F.length("text") - (STEPS - 1), F.lit(1))) + 1
-    taken = taken.withColumn("start", start.cast("int"))
-    taken = taken.select("lang", "key", "draw", (F.col("start") == 1).alias("starts"), F.expr(f"substring(text, start, {STEPS})").alias("excerpt"))
+    taken = many.withColumn("start", start.cast("int")).select(
+        "lang", "key", "draw", (F.col("start") == 1).alias("starts"), F.expr(f"substring(text, start, {STEPS})").alias("excerpt"))
     order = W.partitionBy("lang").orderBy("draw", "key", "excerpt")
     return taken.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("excerpt", "starts", "lang")
 
