@@ -55,35 +55,48 @@ def csv_scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.unionByName(counted.select(F.lit(-1).cast("bigint").alias("doc_id"), "chars", F.lit("").alias("digest")))
 
 
+_LATIN = r"[\x00-\xff]*"  # French documents whose text Latin 1 can hold are written in it
+
+
+def _latin_sql(text: str) -> str:
+    return f"lang = 'fr' AND regexp_full_match({text}, '[\\x00-\\x{{ff}}]*', 's')"
+
+
+def _encoded_texts(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Whole texts as CSV, one folder in ISO-8859-1 and one in UTF-8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    latin = (F.col("lang") == "fr") & F.col("text").rlike(f"(?s)^{_LATIN}$")
+    paths = [scratch_path(spark, "latin-csv"), scratch_path(spark, "utf8-csv")]
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.filter(latin).write.csv(paths[0], encoding="ISO-8859-1", **options)
+    docs.filter(~latin).write.csv(paths[1], **options)
+    return paths
+
+
 @register(
     "csv_encoding_census",
-    """
-    SELECT CASE WHEN lang = 'fr' THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding, count(*) AS rows
+    f"""
+    SELECT CASE WHEN {_latin_sql('text')} THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding,
+           sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS rows
     FROM documents GROUP BY 1""",
 )
 def csv_encoding_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.lit("déjà vu").alias("note"))
-    french = F.col("lang") == "fr"
-    latin, unicode_ = scratch_path(spark, "latin-csv"), scratch_path(spark, "utf8-csv")
-    docs.filter(french).write.csv(latin, header=True, encoding="ISO-8859-1")
-    docs.filter(~french).write.csv(unicode_, header=True)
-    census = csv.encoding_census(spark, [latin, unicode_])
+    """Lines of the files by the encoding found in them, without the header lines."""
+    census = csv.encoding_census(spark, _encoded_texts(spark, sf_dir))
     return census.groupBy("encoding").agg((F.sum("lines") - F.count("*")).alias("rows"))  # one header line per file
 
 
 @register(
     "csv_encoding_fallback",
     """
-    SELECT lang, count(*) AS rows, count(*) AS intact FROM documents GROUP BY lang""",
+    SELECT lang, count(*) AS rows, count(DISTINCT md5(text)) AS texts, sum(length(text))::BIGINT AS chars, min(md5(text)) AS least_digest
+    FROM documents GROUP BY lang""",
 )
 def csv_encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit("déjà vu").alias("note"))
-    french = F.col("lang") == "fr"
-    latin, unicode_ = scratch_path(spark, "latin-csv"), scratch_path(spark, "utf8-csv")
-    docs.filter(french).write.csv(latin, header=True, encoding="ISO-8859-1")
-    docs.filter(~french).write.csv(unicode_, header=True)
-    back = csv.read_csv(spark, [latin, unicode_])
-    return back.groupBy("lang").agg(F.count("*").alias("rows"), F.count_if(F.col("note") == "déjà vu").alias("intact"))
+    back = csv.read_csv(spark, _encoded_texts(spark, sf_dir))
+    return back.groupBy("lang").agg(
+        F.count("*").alias("rows"), F.count_distinct(F.md5("text")).alias("texts"), F.sum(F.length("text")).alias("chars"),
+        F.min(F.md5("text")).alias("least_digest"))
 
 
 @register(

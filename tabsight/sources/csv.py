@@ -7,6 +7,8 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabsight.sources import quoted
+
 # The null spellings of the scan, and those a pandas reader adds by default.
 NULL_TOKENS = ("", "NA", "N/A", "NULL", "null", "None", "none", "-", "?")
 PANDAS_NULL_TOKENS = (
@@ -39,7 +41,7 @@ def scan_csv(
     """Header CSV as text columns with null tokens applied; types follow from inference and coercion.
 
     A quote inside a quoted field is doubled.  ``multi_line`` reads fields that hold line
-    breaks, at the price of one task per file.
+    breaks, at the price of one task per file; ``read_csv`` reads them in many tasks.
     """
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.csv(
@@ -75,13 +77,31 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",
     by_kind: dict[tuple[str, bool], list[str]] = {}
     for r in census:
         by_kind.setdefault((r["encoding"], bool(r["multi_line"])), []).append(unquote(r["file"]))
-    frames = [scan_csv(spark, files, delimiter, encoding, lines) for (encoding, lines), files in sorted(by_kind.items())]
+    frames: list[DataFrame] = []
+    for (encoding, breaks), files in sorted(by_kind.items()):
+        frames += _scan_breaks(spark, files, delimiter, encoding) if breaks else [scan_csv(spark, files, delimiter, encoding)]
     out = frames[0]
     for other in frames[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
     return out
 
 
+def _lone_returns(spark: SparkSession, files: Sequence[str]) -> set[str]:
+    """The files in which some carriage return has no line feed after it."""
+    lines = spark.read.option("lineSep", "\n").text(list(files)).filter(F.col("value").rlike(r"(?s)\r(?!\z)"))
+    return {unquote(r["file"]) for r in lines.select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
+
+
+def _scan_breaks(spark: SparkSession, files: Sequence[str], delimiter: str, encoding: str) -> list[DataFrame]:
+    """Files with quoted line breaks: split among tasks, but for those whose line ends only the reader of whole files knows."""
+    if not quoted.splittable(delimiter, encoding):
+        return [scan_csv(spark, files, delimiter, encoding, True)]
+    odd = _lone_returns(spark, files)
+    even = [f for f in files if f not in odd]
+    frames = [nulls_from_tokens(quoted.scan_quoted(spark, even, delimiter, encoding))] if even else []
+    return frames + ([scan_csv(spark, sorted(odd), delimiter, encoding, True)] if odd else [])
+
+
 def _separators(line, delimiter: str):
     """Delimiters outside quotes."""
     bare = F.regexp_replace(line, r'"[^"]*"', "")
@@ -113,8 +133,7 @@ def _file_key(column):
 def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",") -> DataFrame:
     """Structural check, one row per file: size, columns, data rows, errors and warnings.
 
-    In a file whose quoted fields hold line breaks, records are counted instead of lines, and
-    rows are not checked for extra fields.
+    In a file whose quoted fields hold line breaks, records stand for lines.
     """
     paths = [path] if isinstance(path, str) else list(path)
     schema = "file string, bytes bigint, columns bigint, data_rows bigint, errors array<string>, warnings array<string>"
@@ -143,13 +162,14 @@ def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = "
         F.max("separators").alias("widest"),
     )
     broken = [r["file"] for r in files.join(shape.filter("multi_line"), "key", "left_semi").select("file").collect()]
-    if broken:  # lines are no records there: the reader that knows quotes counts records and fields
-        whole = spark.read.csv([unquote(f) for f in broken], sep=delimiter, escape='"', multiLine=True)
-        filled = F.size(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), 1) for c in whole.columns])))
-        records = whole.select(_file_key("_metadata.file_path").alias("key"), filled.alias("filled")).filter("filled > 0")
-        records = records.groupBy("key").agg(F.count("*").alias("records"))
+    if broken and quoted.splittable(delimiter, "UTF-8"):  # lines are no records there
+        records = quoted.split_records(spark, [unquote(f) for f in broken], delimiter)
+        text = quoted.record_text("ISO-8859-1")  # any bytes; delimiters and quotes are ASCII
+        records = records.select(_file_key("file").alias("key"), "first", text.alias("text")).filter(F.trim("text") != "")
+        records = records.withColumn("separators", _separators(F.col("text"), delimiter)).groupBy("key").agg(
+            F.count("*").alias("records"), F.max(F.when(F.col("first"), F.col("separators"))).alias("of_header"), F.max("separators").alias("most"))
         shape = shape.join(records, "key", "left").withColumn("lines", F.coalesce("records", "lines"))
-        shape = shape.withColumn("widest", F.when(~F.col("multi_line"), F.col("widest")))
+        shape = shape.withColumn("header_separators", F.coalesce("of_header", "header_separators")).withColumn("widest", F.coalesce("most", "widest"))
     joined = files.join(shape, "key", "left")
     columns = F.col("header_separators") + 1
     suffix = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
