@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabsight.catalog.registry import long_sql, register, table
 from tabsight.catalog.tables import GAPPY_SQL, LINE_COLUMNS, gappy_events
 from tabsight.functions.columns import rounded, select_numeric
-from tabsight.operators import clean, profile, stats, validate
+from tabsight.operators import clean, keys, profile, stats, validate
 from tabsight.operators.profile import DATE_PATTERNS, FALSE_TOKENS, TRUE_TOKENS
 from tabsight.sources import csv, dictionary, results
 from tabsight.sources.scratch import scratch_path
@@ -490,3 +490,82 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def validation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.verdict(validate.validate(gappy_events(spark, sf_dir), *_event_rules(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- keys
+# every seventh order and some suppliers are taken out of the referenced tables; some line items have no supplier
+_LINE_KEYS_SQL = """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_suppkey END AS l_suppkey FROM lineitem"""
+_ORDERS_LEFT_SQL = "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0"
+_PAIRS_LEFT_SQL = "SELECT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_linenumber <= 2"
+LINE_DICTIONARY = json.dumps(
+    {
+        "columns": {c: {"data_type": "numerical"} for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")},
+        "primary_keys": ["l_orderkey", "l_suppkey"],
+        "foreign_keys": [
+            {"columns": ["l_orderkey"], "table": "orders", "references": ["o_orderkey"]},
+            {"columns": ["l_partkey", "l_suppkey"], "table": "pairs", "references": ["part", "supplier"]},
+            {"columns": ["l_partkey"], "table": "nowhere", "references": ["p_partkey"]},
+        ],
+    }
+)
+
+
+def _line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = F.when(F.col("l_linenumber") != 6, F.col("l_suppkey")).alias("l_suppkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", supplier)
+
+
+def _referenced(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    return {
+        "orders": table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0").select("o_orderkey"),
+        "pairs": lines.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")),
+    }
+
+
+_PK_SQL = f"""
+SELECT l_orderkey, l_suppkey, count(*) AS n FROM ({_LINE_KEYS_SQL}) WHERE l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL
+GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1"""
+_FK_SQL = f"""
+SELECT l_partkey, l_suppkey, count(*) AS n FROM ({_LINE_KEYS_SQL}) l
+WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({_PAIRS_LEFT_SQL}) p WHERE p.part = l.l_partkey AND p.supplier = l.l_suppkey)
+GROUP BY l_partkey, l_suppkey"""
+_FK_ORDERS_SQL = f"""
+SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN ({_ORDERS_LEFT_SQL}) GROUP BY l_orderkey"""
+_KEY_ISSUES_SQL = f"""
+SELECT 'error' AS severity, 'primary_key' AS rule, 'l_orderkey, l_suppkey' AS "column", sum(n)::BIGINT AS n FROM ({_PK_SQL}) HAVING sum(n) > 0
+UNION ALL SELECT 'error', 'primary_key_null', 'l_orderkey, l_suppkey', count(*) FROM ({_LINE_KEYS_SQL}) WHERE l_suppkey IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'error', 'foreign_key', 'l_orderkey', sum(n)::BIGINT FROM ({_FK_ORDERS_SQL}) HAVING sum(n) > 0
+UNION ALL SELECT 'error', 'foreign_key', 'l_partkey, l_suppkey', sum(n)::BIGINT FROM ({_FK_SQL}) HAVING sum(n) > 0
+UNION ALL SELECT 'warning', 'referenced_table_missing', 'l_partkey', 1"""
+
+
+@register("pk_duplicates", _PK_SQL)
+def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.pk_duplicates(_line_keys(spark, sf_dir), dictionary.keys_of(spark, LINE_DICTIONARY).primary)
+
+
+@register("fk_orphans", _FK_SQL)
+def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = dictionary.keys_of(spark, LINE_DICTIONARY).foreign[1]
+    return keys.fk_orphans(_line_keys(spark, sf_dir), key.columns, _referenced(spark, sf_dir)[key.table], key.references)
+
+
+@register("key_issues", _KEY_ISSUES_SQL)
+def key_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.check_keys(_line_keys(spark, sf_dir), dictionary.keys_of(spark, LINE_DICTIONARY), _referenced(spark, sf_dir))
+
+
+@register(
+    "validation_verdict_keys",
+    f"""
+    SELECT count(*) FILTER (WHERE severity = 'error') = 0 AS is_valid, count(*) FILTER (WHERE severity = 'error') AS errors,
+           count(*) FILTER (WHERE severity = 'warning') AS warnings FROM ({_KEY_ISSUES_SQL})""",
+)
+def validation_verdict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over all rules, keys included; every column is in the dictionary and in order."""
+    listed = dictionary.parse_dictionary(spark, LINE_DICTIONARY)
+    found = validate.validate(
+        _line_keys(spark, sf_dir), listed, dictionary.rules_of(listed), dictionary.keys_of(spark, LINE_DICTIONARY), _referenced(spark, sf_dir))
+    return validate.verdict(found)

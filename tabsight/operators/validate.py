@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsight.functions.columns import present
 from tabsight.operators.clean import coerce_numeric
-from tabsight.sources.dictionary import ColumnRule
+from tabsight.operators.keys import check_keys
+from tabsight.sources.dictionary import ColumnRule, Keys
 
 _ISSUE = "severity string, rule string, column string, n bigint"
 
@@ -92,13 +93,17 @@ def check_domain(df: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
     )
 
 
-def validate(df: DataFrame, dictionary: DataFrame, rules: Mapping[str, ColumnRule]) -> DataFrame:
-    """All issues, one row each."""
-    return (
+def validate(
+    df: DataFrame, dictionary: DataFrame, rules: Mapping[str, ColumnRule], keys: Keys | None = None,
+    tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """All issues, one row each; ``keys`` are checked too where given, against the ``tables`` they refer to."""
+    issues = (
         check_columns(df, dictionary)
         .unionByName(_counted(df, _null_checks(df, rules) + _range_checks(df, rules)))
         .unionByName(check_domain(df, rules))
     )
+    return issues.unionByName(check_keys(df, keys, tables)) if keys else issues
 
 
 def verdict(issues: DataFrame) -> DataFrame:

@@ -45,9 +45,14 @@ def _typed(table: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return table.select(*out)
 
 
-def collect(spark: SparkSession, path: str, data_dictionary: str | None = None, delimiter: str = ",") -> Collected:
+def collect(
+    spark: SparkSession, path: str, data_dictionary: str | None = None, delimiter: str = ",",
+    tables: Mapping[str, DataFrame] | None = None,
+) -> Collected:
     """Preflight, scan, infer, profile, validate and normalise a CSV table.
 
+    Keys of the dictionary are checked, foreign ones against ``tables`` by name.
+
     Raises ValueError when the preflight finds errors.  The scanned text is written once as a
     columnar table, so that the passes over it do not parse CSV again.
     """
@@ -63,7 +68,7 @@ def collect(spark: SparkSession, path: str, data_dictionary: str | None = None,
     if data_dictionary:
         listed = dictionary.parse_dictionary(spark, data_dictionary, types)
         rules_by_column = dictionary.rules_of(listed)
-        issues = validate.validate(raw, listed, rules_by_column)
+        issues = validate.validate(raw, listed, rules_by_column, dictionary.keys_of(spark, data_dictionary), tables)
     found = {r["column"]: r["data_type"] for r in types.collect()}
     table = _typed(clean.normalize(raw, rules_by_column), {c: t for c, t in found.items() if c not in rules_by_column})
     missing = profile.missing_report(raw)

@@ -13,6 +13,7 @@ _COLUMN = (
     "categorical_values:array<string>,is_nullable:boolean>"
 )
 _DICTIONARY = f"struct<columns:map<string,{_COLUMN}>,primary_keys:array<string>>"
+_KEYS = "struct<primary_keys:array<string>,foreign_keys:array<struct<columns:array<string>,table:string,references:array<string>>>>"
 
 
 @dataclass(frozen=True)
@@ -76,3 +77,36 @@ def rules_of(columns: DataFrame) -> Mapping[str, ColumnRule]:
             tuple(r["categorical_values"] or ()), r["is_nullable"],
         )
     return rules
+
+
+@dataclass(frozen=True)
+class ForeignKey:
+    """Columns whose values must be in ``references`` of ``table``."""
+
+    columns: tuple[str, ...]
+    table: str
+    references: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Keys:
+    """The keys of a dictionary."""
+
+    primary: tuple[str, ...] = ()
+    foreign: tuple[ForeignKey, ...] = ()
+
+
+def keys_of(spark: SparkSession, text: str) -> Keys:
+    """``primary_keys`` and ``foreign_keys`` of JSON text.
+
+    A foreign key is an object with ``columns``, ``table`` and ``references`` (by default the same names); entries
+    without a table, without columns or with another number of references are left out.
+    """
+    row = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", _KEYS).alias("d")).first()["d"]
+    foreign = []
+    for k in (row["foreign_keys"] if row else None) or []:
+        columns = tuple(c for c in (k["columns"] if k else None) or () if c)
+        references = tuple((k["references"] if k else None) or columns)
+        if columns and k["table"] and len(columns) == len(references):
+            foreign.append(ForeignKey(columns, k["table"], references))
+    return Keys(tuple(c for c in (row["primary_keys"] if row else None) or () if c), tuple(foreign))
