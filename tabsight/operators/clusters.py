@@ -95,7 +95,7 @@ def _round(points: DataFrame, centres: np.ndarray) -> dict[int, tuple[int, int,
     cells = partial.select("centre", "n", "inertia", F.posexplode("sums").alias("axis", "s"))
     per_axis = cells.groupBy("centre", "axis").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     out: dict[int, tuple[int, int, list[int]]] = {}
-    for r in per_axis.orderBy("centre", "axis").collect():  # centres x columns rows
+    for r in sorted(per_axis.collect(), key=lambda r: (r["centre"], r["axis"])):  # centres x columns rows
         out.setdefault(r["centre"], (r["n"], int(r["inertia"]), []))[2].append(int(r["s"]))
     return out
 
@@ -168,7 +168,7 @@ def cluster(scaled: Scaled, k: int, seed: int = 0, rounds: int = ROUNDS, start:
         rows = [(at, i, found.get(i, (0,))[0], found.get(i, (0, 0))[1], [int(c) for c in centres[i]]) for i in range(len(centres))]
         state = materialize(
             spark.createDataFrame([(a, b, n, str(s), p) for a, b, n, s, p in rows], "round int, centre int, n bigint, inertia string, point array<bigint>")
-            .withColumn("inertia", F.col("inertia").cast("decimal(38,0)")), "centres")
+            .withColumn("inertia", F.col("inertia").cast("decimal(38,0)")).coalesce(1), "centres")
         history = state if history is None else history.unionByName(state)
         # half a step up from the exact mean
         moved = np.array([[(2 * s + n) // (2 * n) for s in found[i][2]] if (n := rows[i][2]) else centres[i] for i in range(len(centres))],
