@@ -41,6 +41,17 @@ def tables(size: int, per_table: int, least: int = 1) -> int:
     return max(least, -(-size // per_table))
 
 
+def whole_id(doc_id: Column) -> list[Column]:
+    """``doc_id`` and ``nameless`` for a pandas kernel: a null beside them would turn 64-bit ids into doubles."""
+    number = doc_id.cast("long")
+    return [F.coalesce(number, F.lit(0).cast("long")).alias("doc_id"), number.isNull().alias("nameless")]
+
+
+def named_id() -> Column:
+    """The id that ``whole_id`` has split."""
+    return F.when(~F.col("nameless"), F.col("doc_id"))
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete written intermediate tables that nothing reads any more."""
     for df in frames:

@@ -18,12 +18,12 @@ from tabsight.operators.ordered import number_rows
 
 SEED = 17
 TEMPERATURE = 0.7  # a source of n bytes weighs n ** 0.7: small sources are repeated, large ones thinned
-MAX_RATE = 256.0
+DRAW_RATE = 256.0  # largest mean of one draw; a higher rate is the sum of several draws
 
 
-def drawn(key: Column, salt: str) -> Column:
+def drawn(key: Column, salt: str | Column) -> Column:
     """A number in (0, 1) from 52 bits of md5(salt:key)."""
-    digest = F.md5(F.concat(F.lit(f"{salt}:"), key).cast("binary"))
+    digest = F.md5(F.concat(F.lit(salt) if isinstance(salt, str) else salt, F.lit(":"), key).cast("binary"))
     number = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double")
     return (number + F.lit(0.5)) / F.lit(float(1 << 52))
 
@@ -49,8 +49,7 @@ def source_rates(
 
     With ``weights``, a source's share is its weight over the sum, and unlisted sources get
     nothing; else its bytes to the power of ``temperature``.  ``size`` is the wanted number of
-    bytes, by default what there is.  A source without any bytes has rate 1, and no rate
-    exceeds ``MAX_RATE``.
+    bytes, by default what there is.  A source without any bytes has rate 1.
     """
     label = F.col(f"`{source}`").cast("string")
     sizes = docs.select(label.alias("source"), text_bytes(F.col(f"`{text}`")).alias("b")).groupBy("source").agg(
@@ -68,7 +67,7 @@ def source_rates(
     all_weight, all_bytes = float(sums["all_weight"] or 0.0), float(sums["all_bytes"] or 0.0)
     wanted = all_bytes if size is None else float(size)
     share = F.col("weight") / F.lit(all_weight) if all_weight > 0 else F.lit(0.0)
-    rate = F.when(F.col("bytes") > 0, F.least(share * F.lit(wanted) / F.col("bytes"), F.lit(MAX_RATE))).otherwise(F.lit(1.0))
+    rate = F.when(F.col("bytes") > 0, share * F.lit(wanted) / F.col("bytes")).otherwise(F.lit(1.0))
     return weighed.select("source", "bytes", share.alias("share"), rate.alias("rate"))
 
 
@@ -89,20 +88,25 @@ def replicate(
     """
     rates = materialize(source_rates(docs, source, text, weights, size), "rates")
     name, label = fresh(docs, "_key"), fresh(docs, "_source")
+    draws = F.greatest(F.ceil(F.col("rate") / DRAW_RATE), F.lit(1))
     steps = rates.select(F.struct(F.lit(1).alias("k"), "source").alias(label), F.col("rate").alias(fresh(docs, "_rate")),
-                         poisson_steps(F.col("rate")).alias(fresh(docs, "_steps")))
+                         draws.alias(fresh(docs, "_draws")), poisson_steps(F.col("rate") / draws).alias(fresh(docs, "_steps")))
     base = docs.drop(copy, rate, order)
     keyed = base.withColumns({
         name: F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")),
         label: F.struct(F.lit(1).alias("k"), F.col(f"`{source}`").cast("string").alias("source")),
     })
     met = keyed.join(steps, keyed[label].eqNullSafe(steps[label])).drop(steps[label])
-    u = drawn(F.col(name), f"count{seed}")
-    count = F.size(F.filter(fresh_col(docs, "_steps"), lambda c: c < u))
+    below = lambda u: F.size(F.filter(fresh_col(docs, "_steps"), lambda c: c < u))
+    # sums of Poisson numbers are Poisson numbers of the summed mean
+    more = F.aggregate(
+        F.sequence(F.lit(1).cast("bigint"), fresh_col(docs, "_draws") - 1), F.lit(0),
+        lambda n, i: n + below(drawn(F.col(name), F.concat(F.lit(f"count{seed}."), i.cast("string")))))
+    count = below(drawn(F.col(name), f"count{seed}")) + F.when(fresh_col(docs, "_draws") > 1, more).otherwise(F.lit(0))
     made = met.withColumn(copy, F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
     shuffled = F.md5(F.concat(F.lit(f"order{seed}:"), F.col(name), F.lit(":"), F.col(copy).cast("string")).cast("binary"))
     return made.withColumns({rate: fresh_col(docs, "_rate"), order: shuffled}).drop(
-        name, label, fresh(docs, "_rate"), fresh(docs, "_steps")
+        name, label, fresh(docs, "_rate"), fresh(docs, "_draws"), fresh(docs, "_steps")
     )
 
 
@@ -139,11 +143,12 @@ def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None,
     )
 
 
-_TOP = math.ceil(MAX_RATE + 12 * math.sqrt(MAX_RATE) + 40)
+# one draw for each document: holds while no rate exceeds DRAW_RATE
+_TOP = math.ceil(DRAW_RATE + 12 * math.sqrt(DRAW_RATE) + 40)
 MIX_SQL = f"""
 WITH sizes AS (SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS DOUBLE) AS b FROM documents GROUP BY source),
 weighed AS (SELECT source, b, CASE WHEN b > 0 THEN pow(b, {TEMPERATURE}) ELSE 0 END AS w FROM sizes),
-rates AS (SELECT source, CASE WHEN b > 0 THEN least(w / (SELECT sum(w) FROM weighed) * (SELECT sum(b) FROM weighed) / b, {MAX_RATE})
+rates AS (SELECT source, CASE WHEN b > 0 THEN w / (SELECT sum(w) FROM weighed) * (SELECT sum(b) FROM weighed) / b
                               ELSE 1.0 END AS rate FROM weighed),
 terms AS (SELECT source, rate, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) ELSE CAST(k = 0 AS INT) END AS p
           FROM rates CROSS JOIN (SELECT unnest(range(0, {_TOP} + 1)) AS k) ks WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsight.llm.common import forget, fresh, materialize, parts
+from tabsight.llm.common import forget, fresh, materialize, named_id, parts, whole_id
 from tabsight.llm.graph import components
 from tabsight.llm.words import WordHashes, shingle_set
 
@@ -71,15 +71,16 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low.append(None)
                 signatures.append(None)
         yield pd.DataFrame({
-            "doc_id": pdf["doc_id"], "h": pdf["h"], "n": np.asarray(n, dtype=np.int64),
+            "doc_id": pdf["doc_id"], "nameless": pdf["nameless"], "h": pdf["h"], "n": np.asarray(n, dtype=np.int64),
             "k1": pd.array(high, dtype="Int64"), "k2": pd.array(low, dtype="Int64"), "sig": signatures,
         })
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n, k1, k2, sig): set size, set key and signature per row; h is a hash of the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInPandas(_describe, "doc_id long, h long, n long, k1 long, k2 long, sig array<int>")
+    rows = docs.select(*whole_id(F.col("doc_id")), F.xxhash64("text").alias("h"), "text")
+    found = rows.mapInPandas(_describe, "doc_id long, nameless boolean, h long, n long, k1 long, k2 long, sig array<int>")
+    return found.withColumn("doc_id", named_id()).drop("nameless")
 
 
 def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.llm.common import forget, fresh, materialize, mix64, parts, scratch_path, tables, total_bytes
+from tabsight.llm.common import forget, fresh, materialize, mix64, named_id, parts, scratch_path, tables, total_bytes, whole_id
 
 DEPTH = 100  # bytes of a repeated string
 DIGIT = 32  # bytes of an anchor: long enough not to recur by chance, short enough to stand for many windows
@@ -135,7 +135,7 @@ class Bucket:
     """The documents of one bucket in order, with the anchors of all of them."""
 
     def __init__(self, pdf: pd.DataFrame) -> None:
-        order = np.lexsort((pdf["uid"].to_numpy(np.int64), pdf["doc_id"].fillna(0).to_numpy(np.int64), pdf["doc_id"].notna().to_numpy()))
+        order = np.lexsort((pdf["uid"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), ~pdf["nameless"].to_numpy(bool)))
         self.rows = pdf.iloc[order]
         raw = ((t or "").encode("utf-8", "surrogatepass") for t in self.rows["text"])
         self.docs = [Bytes(r) for r in raw]
@@ -231,7 +231,8 @@ def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFra
     spark, row = docs.sparkSession, fresh(docs, "uid")
     n = tables(total_bytes(docs, "text"), bucket_bytes)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.monotonically_increasing_id())
-    placed = narrow.repartitionByRange(n, "doc_id", "uid").withColumn("bucket", F.spark_partition_id())
+    placed = narrow.repartitionByRange(n, "doc_id", "uid").withColumn("bucket", F.spark_partition_id()).select(
+        *whole_id(F.col("doc_id")), "text", "uid", "bucket")
     path = scratch_path(spark, "texts")
     name = "t" + path.rsplit("-", 1)[-1]
     placed.write.bucketBy(n, "bucket").option("path", path).saveAsTable(name)
@@ -381,7 +382,7 @@ def _in_pairs(w: np.ndarray, d: np.ndarray, listed_w: np.ndarray, listed_d: np.n
 
 def _settle(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf):
-        return pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
+        return pd.DataFrame({"doc_id": [], "nameless": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
     bucket = Bucket(pdf)
     rows = []
     for text, gone in zip(bucket.rows["text"], removed_starts(bucket, told)):
@@ -397,7 +398,8 @@ def _settle(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
         rows.append((len(raw), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest()))
     out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    out.insert(0, "doc_id", pd.array(bucket.rows["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), dtype="Int64"))
+    out.insert(0, "doc_id", bucket.rows["doc_id"].to_numpy())
+    out.insert(1, "nameless", bucket.rows["nameless"].to_numpy())
     return out
 
 
@@ -423,8 +425,8 @@ def dedup_substrings(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     repeated = materialize(windows.mapInPandas(_compare_windows, _TOLD), "windows")
     everything = told.unionByName(again).unionByName(repeated)
     done = by_bucket.cogroup(everything.groupBy("bucket")).applyInPandas(
-        _settle, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    result = materialize(done, "settled")
+        _settle, "doc_id long, nameless boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    result = materialize(done.withColumn("doc_id", named_id()).drop("nameless"), "settled")
     _drop(spark, name, texts)
     return result
 

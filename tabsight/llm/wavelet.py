@@ -22,7 +22,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.llm.common import fresh, materialize, tables, total_bytes
+from tabsight.llm.common import fresh, materialize, named_id, tables, total_bytes, whole_id
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -190,7 +190,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
     row = fresh(docs, "_row")
     n = tables(total_bytes(docs, "text"), PARTITION_BYTES)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(row, F.monotonically_increasing_id())
-    ordered = narrow.repartitionByRange(n, "doc_id", row).sortWithinPartitions("doc_id", row).select("doc_id", "text")
+    ordered = narrow.repartitionByRange(n, "doc_id", row).sortWithinPartitions("doc_id", row).select(*whole_id(F.col("doc_id")), "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, before = Encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -211,8 +211,8 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
             for start in range(0, len(pdf), 64):
                 some = pdf.iloc[start : start + 64]
                 found = encoder.encode([t or "" for t in some["text"]])
-                for name, ids in zip(some["doc_id"].array, found):
-                    names.append(None if pd.isna(name) else int(name))
+                for name, nameless, ids in zip(some["doc_id"].tolist(), some["nameless"].tolist(), found):
+                    names.append(None if nameless else name)
                     packed.append(ids + end)
                     held += len(packed[-1]) // encoder.kind.itemsize
                     if held >= shard_tokens:
@@ -239,13 +239,14 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 raw = shard.decode().astype("<u4").tobytes()
                 at = shard.starts
                 yield pd.DataFrame({
-                    "doc_id": pd.array(np.where(shard.nameless, 0, shard.doc_ids), dtype="Int64").copy() if not shard.nameless.any()
-                    else pd.array([None if m else d for d, m in zip(shard.doc_ids.tolist(), shard.nameless)], dtype="Int64"),
+                    "doc_id": shard.doc_ids, "nameless": shard.nameless,
                     "start": first[int(part)] + int(before) + at[:-1], "n_tokens": np.diff(at),
                     "ids_crc32": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())],
                 })
 
-    return shards.select("part", "before", "file").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = shards.select("part", "before", "file").mapInPandas(
+        decode, "doc_id long, nameless boolean, start long, n_tokens long, ids_crc32 long")
+    return found.withColumn("doc_id", named_id()).drop("nameless")
 
 
 def token_digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
