@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabsight.llm import dom
@@ -30,7 +30,11 @@ BINS = 32
 SHRINK = 0.25
 COLUMN_SHARE, ROW_SHARE = 0.4, 0.7
 MOST_TOKENS = 160
+PROSE = 60  # characters of a block that may hold an article where the trees find none
+NEAR = 2.0  # log odds by which other blocks may be less likely than the likeliest
 
+# Elements that never hold an article.
+NEVER = ("nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "dialog", "svg", "title", "head")
 # Names that page authors commonly give to parts of a page.
 MAIN_NAMES = ("article", "content", "post", "entry", "story", "main", "article-body", "post-content", "entry-content", "story-body", "text", "blog-post", "page-content", "articleBody", "prose")
 SIDE_NAMES = {
@@ -312,6 +316,29 @@ def decode(page: dom.Page, log_odds: np.ndarray) -> np.ndarray:
     return keep
 
 
+def prose(page: dom.Page, log_odds: np.ndarray) -> np.ndarray:
+    """Log odds for a page of which nothing was kept: its most likely blocks of prose now stay.
+
+    Prose are blocks of ``PROSE`` characters and more with few links, outside the elements that never hold an article; the
+    likeliest one stays, what is nearly as likely, and all elements around them.
+    """
+    outside = np.zeros(len(page.tag), dtype=bool)
+    for i in range(1, len(page.tag)):
+        outside[i] = outside[page.parent[i]] or page.tag[i] in NEVER
+    own = np.array(page.own)
+    likely = ~outside & (own >= PROSE) & (2 * np.array(page.linked) <= own)
+    if not likely.any():
+        return log_odds
+    chosen = likely & (log_odds >= log_odds[likely].max() - NEAR)
+    raised = log_odds.copy()
+    for i in np.flatnonzero(chosen):
+        raised[i] = max(raised[i], 1.0)
+        while i > 0 and page.parent[i] >= 0:
+            i = page.parent[i]
+            raised[i] = max(raised[i], 0.0)
+    return raised
+
+
 def extract(sources: Sequence[str | None], trees: Trees) -> list[str]:
     """The main text of each page."""
     pages = [dom.parse(s) for s in sources]
@@ -321,14 +348,20 @@ def extract(sources: Sequence[str | None], trees: Trees) -> list[str]:
     odds = trees.log_odds(np.concatenate(rows))
     out, at = [], 0
     for page, r in zip(pages, rows):
-        out.append(dom.text_of(page, decode(page, odds[at : at + len(r)])))
+        own = odds[at : at + len(r)]
+        text = dom.text_of(page, decode(page, own))
+        out.append(text or dom.text_of(page, decode(page, prose(page, own))))
         at += len(r)
     return out
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted on at most ``sample`` pages, chosen by a hash of their html."""
-    chosen = pages.filter("html is not null").select("html").orderBy(F.xxhash64("html"), F.col("html")).limit(sample)
+    some = pages.filter("html is not null").select("html")
+    share = 2 * sample / max(1, some.count())
+    if share < 1:  # so that no task sorts and sends more than it must
+        some = some.filter(F.xxhash64("html") < F.lit(int(share * 2.0**64) - (1 << 63)))
+    chosen = some.orderBy(F.xxhash64("html"), F.col("html")).limit(sample)
     return fit([r["html"] for r in chosen.toPandas().to_dict("records")])
 
 
@@ -340,13 +373,14 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """
     fitted = trees or train(pages)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), 128):
-                some = pdf.iloc[start : start + 128]
-                texts = extract(some["html"].tolist(), fitted)
-                yield pd.DataFrame({"page_id": some["page_id"].array, "url": some["url"].array, "text": texts,
-                                    "n_chars": np.array([len(t) for t in texts], dtype=np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                some = batch.slice(start, 128)
+                texts = extract(some.column(2).to_pylist(), fitted)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -80,3 +80,26 @@ def test_parts_that_are_not_the_article(trees):
             "<footer><p>&copy; 2024 Site</p></footer></body>")
     want = "Title " + " ".join(f"Paragraph {i} tells a longer part of the story, with several words. It goes on." for i in range(5))
     assert one(trees, page) == want
+
+
+PROSE = "The council met on Tuesday to talk about the bridge, and most of its members agreed. Work will begin in spring. "
+UNKNOWN = [
+    (f"<body><table><tr><td><font size=2>{PROSE * 3}</font></td></tr></table></body>", PROSE * 3),
+    (f"<body><div class=k><h2>Bridge</h2><p>{PROSE}</p><pre>a  b</pre><table><tr><td>1</td></tr></table></div></body>", PROSE),
+    (f"<body><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul><div><div>{PROSE * 2}</div></div><div>© 2020</div></body>", PROSE * 2),
+    (f"<center><b>Bridge</b><br>{PROSE * 2}<br>{PROSE}</center>", PROSE * 2),
+    (f"<body><blockquote>{PROSE * 2}</blockquote><address>Town hall</address></body>", PROSE * 2),
+    (f"<table><tr><td width=100><a href=/>a</a><td><p>{PROSE}<p>{PROSE}</table>", PROSE),
+    (f"<section><h1>Bridge</h1>{PROSE * 4}</section>", PROSE * 4),
+    (f"<dl><dt>Bridge</dt><dd>{PROSE * 2}</dd></dl>", PROSE * 2),
+]
+
+
+@pytest.mark.parametrize("source,prose", UNKNOWN)
+def test_prose_of_unknown_layouts_is_never_lost(trees, source, prose):
+    assert " ".join(prose.split()) in one(trees, f"<html><head><title>t</title></head>{source}</html>")
+
+
+def test_pages_without_prose_stay_empty(trees):
+    assert one(trees, "<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav><footer>© 2020 by nobody</footer></body></html>") == ""
+    assert one(trees, f"<html><body><aside>{PROSE * 3}</aside><form>{PROSE}</form></body></html>") == ""
