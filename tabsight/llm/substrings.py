@@ -132,14 +132,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """The documents of one bucket in order, with the anchors of all of them."""
+    """The documents of one bucket in order, with the anchors of all of them.
 
-    def __init__(self, pdf: pd.DataFrame) -> None:
+    ``listed`` leaves only anchors of these digits and, with ``several``, those whose digit occurs more than once in
+    the bucket: all that the passes after the first look at.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, listed: np.ndarray | None = None, several: bool = False) -> None:
         order = np.lexsort((pdf["uid"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), ~pdf["nameless"].to_numpy(bool)))
         self.rows = pdf.iloc[order]
         raw = ((t or "").encode("utf-8", "surrogatepass") for t in self.rows["text"])
         self.docs = [Bytes(r) for r in raw]
-        doc, place, digit, context = [], [], [], []
+        doc, place, digit = [], [], []
         for i, d in enumerate(self.docs):
             if d.n < DEPTH:
                 continue
@@ -148,10 +152,19 @@ class Bucket:
             doc.append(np.full(len(own), i))
             place.append(own)
             digit.append(d.digits(own))
-            context.append(d.contexts(own))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, dtype=kind)
-        self.doc, self.place = join(doc, np.int64), join(place, np.int64)
-        self.digit, self.context = join(digit, np.uint64), join(context, np.uint64)
+        self.doc, self.place, self.digit = join(doc, np.int64), join(place, np.int64), join(digit, np.uint64)
+        if listed is not None:
+            wanted = np.isin(self.digit, listed)
+            if several:
+                by = np.argsort(self.digit, kind="stable")
+                same = self.digit[by][1:] == self.digit[by][:-1]
+                wanted[by[1:][same]] = True
+                wanted[by[:-1][same]] = True
+            self.doc, self.place, self.digit = self.doc[wanted], self.place[wanted], self.digit[wanted]
+        edges = np.searchsorted(self.doc, np.arange(len(self.docs) + 1))
+        self.context = join(
+            [self.docs[i].contexts(self.place[edges[i] : edges[i + 1]]) for i in np.flatnonzero(edges[1:] > edges[:-1])], np.uint64)
         # anchors come in document order, so a stable sort puts the earliest of a group first
         by = np.lexsort((self.context, self.digit))
         self.by = by
@@ -287,7 +300,7 @@ def _send_halves(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     none = pd.DataFrame({"bucket": np.empty(0, np.int32), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     if not len(pdf) or not len(told):
         return none
-    bucket = Bucket(pdf)
+    bucket = Bucket(pdf, _unsigned(told, "a"))
     anchors = bucket.first_anchors(_unsigned(told, "a"), several=False)
     digit, half = np.tile(bucket.digit[anchors], 2), np.concatenate(bucket.halves(anchors))
     by, new = _first_of(half, digit)
@@ -329,7 +342,7 @@ def _send_windows(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     none = pd.DataFrame({"bucket": np.empty(0, np.int32), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     if not len(pdf) or not len(told):
         return none
-    bucket = Bucket(pdf)
+    bucket = Bucket(pdf, _unsigned(told, "a"))
     _, _, digit, whole = bucket.expand(*_open_halves(bucket, told, several=False))
     by, new = _first_of(whole, digit)
     keep = by[new]
@@ -363,8 +376,10 @@ def removed_starts(bucket: Bucket, told: pd.DataFrame) -> list[np.ndarray]:
         listed = kind == WINDOW
         if listed.any():
             gone |= _in_pairs(whole, digit, b[listed], a[listed])
-        for i in np.unique(doc[gone]):
-            out[i][start[gone & (doc == i)]] = True
+        doc, start = doc[gone], start[gone]  # in document order
+        edges = np.searchsorted(doc, np.arange(len(bucket.docs) + 1))
+        for i in np.flatnonzero(edges[1:] > edges[:-1]):
+            out[i][start[edges[i] : edges[i + 1]]] = True
     return out
 
 
@@ -383,7 +398,7 @@ def _in_pairs(w: np.ndarray, d: np.ndarray, listed_w: np.ndarray, listed_d: np.n
 def _settle(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame({"doc_id": [], "nameless": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
-    bucket = Bucket(pdf)
+    bucket = Bucket(pdf, _unsigned(told, "a") if len(told) else np.empty(0, dtype=np.uint64), several=True)
     rows = []
     for text, gone in zip(bucket.rows["text"], removed_starts(bucket, told)):
         raw = (text or "").encode("utf-8", "surrogatepass")
