@@ -64,6 +64,12 @@ def forget(*frames: DataFrame) -> None:
                 target.getFileSystem(conf).delete(target, True)
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage,
+    which a driver with little to do may not do for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise unsigned 64-bit values so that every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.llm.common import forget, fresh, materialize, mix64, named_id, parts, scratch_path, tables, total_bytes, whole_id
+from tabsight.llm.common import clean_shuffles, forget, fresh, materialize, mix64, named_id, parts, scratch_path, tables, total_bytes, whole_id
 
 DEPTH = 100  # bytes of a repeated string
 DIGIT = 32  # bytes of an anchor: long enough not to recur by chance, short enough to stand for many windows
@@ -428,16 +428,20 @@ def dedup_substrings(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     """
     spark = docs.sparkSession
     texts, name = bucketed(docs, bucket_bytes)
+    clean_shuffles(spark)
     width = max(parts(spark), tables(total_bytes(docs, "text"), bucket_bytes))
     by_bucket = texts.groupBy("bucket")
     digits = by_bucket.applyInPandas(_send_digits, _DIGESTS).repartition(width, "a")
     told = materialize(digits.mapInPandas(_compare_digits, _TOLD), "digits")
+    clean_shuffles(spark)
     open_anchors = told.filter(F.col("kind") == OPEN)
     halves = by_bucket.cogroup(open_anchors.groupBy("bucket")).applyInPandas(_send_halves, _DIGESTS).repartition(width, "b")
     again = materialize(halves.mapInPandas(_compare_halves, _TOLD), "halves")
+    clean_shuffles(spark)
     asked = open_anchors.unionByName(again)
     windows = by_bucket.cogroup(asked.groupBy("bucket")).applyInPandas(_send_windows, _DIGESTS).repartition(width, "b")
     repeated = materialize(windows.mapInPandas(_compare_windows, _TOLD), "windows")
+    clean_shuffles(spark)
     everything = told.unionByName(again).unionByName(repeated)
     done = by_bucket.cogroup(everything.groupBy("bucket")).applyInPandas(
         _settle, "doc_id long, nameless boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
