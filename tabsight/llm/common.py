@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -64,10 +65,21 @@ def forget(*frames: DataFrame) -> None:
                 target.getFileSystem(conf).delete(target, True)
 
 
-def clean_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage,
-    which a driver with little to do may not do for long."""
-    spark.sparkContext._jvm.System.gc()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While this holds, a finished step's shuffle files go at once, not when the driver's JVM next collects garbage.
+
+    For steps whose results are written and read back, so that nothing needs their shuffles again.
+    """
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
