@@ -19,6 +19,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabsight.sources.scratch import materialize
@@ -87,16 +89,17 @@ def cumulate(df: DataFrame, order_by: Sequence[str | Column], weight: str) -> Nu
     ranged = ranged.withColumn("_pid", F.spark_partition_id().cast("long"))
     schema = T.StructType([*ranged.schema.fields, T.StructField("_run", T.LongType())])
 
-    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = 0
-        for pdf in batches:
-            through = pdf[weight].cumsum() + carry
-            pdf["_run"] = through - pdf[weight]
-            if len(pdf):
-                carry = int(through.iloc[-1])
-            yield pdf
-
-    frozen = materialize(ranged.mapInPandas(running, schema), "cumulated")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            weights = batch.column(batch.schema.get_field_index(weight)).cast(pa.int64())
+            through = pc.add(pc.cumulative_sum(weights), carry)
+            carry = through[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.subtract(through, weights)], names=[*batch.schema.names, "_run"])
+
+    frozen = materialize(ranged.mapInArrow(running, schema), "cumulated")
     joined, total = _with_offsets(frozen, F.col("_pid"), F.sum(weight))
     return Numbered(joined.withColumn(ORDINAL, F.col("_before") + F.col("_run")).drop("_pid", "_run", "_before"), total)
 

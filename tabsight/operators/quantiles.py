@@ -183,6 +183,11 @@ def _percentile_by_group(df: DataFrame, keys: list[str], columns: list[str], pro
 def _histogram_by_group(df: DataFrame, keys: list[str], columns: list[str], probs: Sequence[float]) -> DataFrame:
     scope = [*keys, "column"]
     counts = melt(df, keys, columns).groupBy(*scope, "value").agg(F.count("*").alias("n"))
+    return quantiles_of_counts(counts, scope, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, scope: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(scope…, q): quantiles of each group from counts ``n`` of its values ``value``; null keys are groups too."""
     placed = cumulate(counts, [*scope, "value"], "n").frame
     spans = placed.groupBy(*scope).agg(F.min(ORDINAL).alias("_start"), F.sum("n").alias("_n"))
     through = F.col(ORDINAL) - F.col("_start") + F.col("n")
@@ -191,7 +196,9 @@ def _histogram_by_group(df: DataFrame, keys: list[str], columns: list[str], prob
         low = F.floor(F.lit(float(q)) * (F.col("_n") - 1))
         picks.append(F.min(F.when(through > low, F.col("value"))).alias(f"_a{i}"))
         picks.append(F.min(F.when(through > F.least(low + 1, F.col("_n") - 1), F.col("value"))).alias(f"_b{i}"))
-    found = placed.join(spans, scope).groupBy(*scope).agg(F.first("_n").alias("_n"), *picks)
+    spans = spans.select(*[F.col(c).alias(f"_of_{c}") for c in scope], "_start", "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in scope]
+    found = placed.join(spans, same).groupBy(*scope).agg(F.first("_n").alias("_n"), *picks)
     values = []
     for i, q in enumerate(probs):
         position = F.lit(float(q)) * (F.col("_n") - 1)
