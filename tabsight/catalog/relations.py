@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabsight.catalog.registry import long_sql, register, table
-from tabsight.functions.columns import rounded
+from tabsight.functions.columns import micros_between, rounded
 from tabsight.operators import clean, cubes, difference, eventlog, intervals
 from tabsight.operators.stats import AGGREGATION_QUANTILES
+from tabsight.streaming import states
+from tabsight.streaming.run import run_available
 
 _GAP_SECONDS = 6 * 3600
 
@@ -25,6 +27,45 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"], _GAP_SECONDS)
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of events as a stream, in one micro-batch: its files need not be in time order."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+@register(
+    "stream_sessions",
+    f"""
+    SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS entries FROM (
+      SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+        SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {_GAP_SECONDS * 1_000_000}
+                       THEN 0 ELSE 1 END AS opens FROM events))
+    GROUP BY user_id, session HAVING epoch_ms(max(ts)) + {_GAP_SECONDS * 1000} < (SELECT epoch_ms(max(ts)) FROM events)""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that a stream over the events has closed."""
+    found = states.session_stream(_event_stream(spark, sf_dir), ["user_id"], "ts", _GAP_SECONDS, "0 seconds")
+    return run_available(found, "stream-sessions")
+
+
+@register(
+    "stream_state_duration",
+    """
+    SELECT user_id, state, round(sum(us) / 1e6::DOUBLE, 3) AS seconds FROM (
+      SELECT user_id, event_type AS state, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS us,
+             lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until
+      FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+      WHERE event_type IS DISTINCT FROM before)
+    WHERE epoch_us(until) <= (SELECT (epoch_ms(max(ts)) - 1) * 1000 FROM events) GROUP BY 1, 2""",
+)
+def stream_state_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds in each state that a stream over the events has seen end."""
+    ended = states.time_in_state(_event_stream(spark, sf_dir), ["user_id"], "event_type", "ts", ["event_id"], "0 seconds")
+    spans = run_available(ended, "stream-states")
+    spent = spans.withColumn("_us", micros_between(F.col("from"), F.col("to")))
+    return spent.groupBy("user_id", "state").agg(rounded(F.sum("_us") / 1e6, 3).alias("seconds"))
+
+
 @register(
     "sliding_windows",
     """

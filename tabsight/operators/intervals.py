@@ -58,7 +58,7 @@ def sessions(
 
 
 def sliding(log: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """(keys…, window_start, window_end, aggregates…) of overlapping windows; also on streams with a watermark.
+    """(keys…, window_start, window_end, aggregates…) of overlapping windows; also on streams with a watermark on ``ts``.
 
     Windows hold their start and not their end, and begin at multiples of ``slide``.  Entries without a time
     are in no window; a window without entries has no row.
