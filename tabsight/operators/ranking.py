@@ -109,16 +109,54 @@ def local_front(points: np.ndarray, chunk: int = 512) -> np.ndarray:
     return kept
 
 
+def _block_fronts(names: list[str]):
+    """What no row of the same partition dominates; the partition holds one block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for pdf in batches:
+            both = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            kept = both.iloc[np.sort(local_front(both[names].to_numpy()))]
+        if kept is not None:
+            yield kept
+
+    return run
+
+
+def _challenged(names: list[str]):
+    """Rows of each block (role 0) that no challenger (role 1, sorted behind them) dominates; one block is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alive: pd.DataFrame | None = None
+        for pdf in batches:
+            for block, part in pdf.groupby("_block", sort=True):
+                if alive is not None and alive["_block"].iat[0] != block:
+                    yield alive
+                    alive = None
+                own, others = part[part["_role"] == 0], part[part["_role"] == 1]
+                if len(own):
+                    alive = own if alive is None else pd.concat([alive, own], ignore_index=True)
+                if len(others) and alive is not None:
+                    beaten = dominated_mask(alive[names].to_numpy(), others[names].to_numpy())
+                    alive = None if beaten.all() else alive[~beaten]
+        if alive is not None:
+            yield alive
+
+    return run
+
+
 def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITERIA, step: int = FRONT_STEP) -> DataFrame:
     """Entities no other entity dominates; equal entities stay together.
 
     An entity with a null or NaN criterion is not comparable: it is not on the front and beats
     nothing.
 
-    Batches first drop what they dominate themselves.  Then, round by round, the ``step``
-    best remaining rows in (sum, values) order are settled against each other: whatever
-    dominates a row sorts before it, so the undominated ones are final, and the remaining
-    rows are filtered by them.  Memory is bounded by ``step`` rows in every round.
+    Batches first drop what they dominate themselves.  What is left is cut into ranges of about
+    ``step`` rows in (sum, values) order, and each range is reduced to its own front in its task.
+    Whatever dominates a row sorts before it, so a range is then compared with the fronts of the
+    better ranges alone, and of these with the rows that reach its least value in every criterion.
+    A task holds one range; the rows that challenge it pass by in batches.  Only the number
+    of rows reaches the driver.
     """
     names = list(criteria)
     data = scores.select(entity, *[F.col(c).cast("double").alias(c) for c in names])
@@ -135,34 +173,23 @@ def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITE
         total = F.col(c) if total is None else total + F.col(c)
     order = [F.desc("_sum"), *[F.desc(c) for c in names], F.col(entity)]
     left = materialize(data.mapInPandas(shrink, schema).withColumn("_sum", total), "front")
-    settled: DataFrame | None = None
-    while True:
-        head = left.orderBy(*order).limit(step).toPandas()  # at most `step` rows
-        if head.empty:
-            break
-        points = head[names].to_numpy()
-        front_rows = head.iloc[np.sort(local_front(points))]
-        found = data.sparkSession.createDataFrame(front_rows[[entity, *names]], schema)
-        last_round = len(head) < step
-        if not last_round:
-            found = materialize(found, "front")  # a long front is not kept on the driver
-        settled = found if settled is None else settled.unionByName(found)
-        if last_round:
-            break
-        front = front_rows[names].to_numpy()
-        last = head.iloc[-1]
-
-        def survive(batches: Iterator[pd.DataFrame], front=front) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[~dominated_mask(pdf[names].to_numpy(), front)]
-
-        later = None  # rows strictly after the last settled one in the sort order
-        for field, descending in reversed([("_sum", True), *[(c, True) for c in names], (entity, False)]):
-            value = F.lit(last[field].item() if hasattr(last[field], "item") else last[field])
-            beyond = F.col(field) < value if descending else F.col(field) > value
-            later = beyond if later is None else beyond | ((F.col(field) == value) & later)
-        left = materialize(left.filter(later).mapInPandas(survive, left.schema), "front")
-    return settled if settled is not None else data.limit(0)
+    blocks = -(-left.count() // step)
+    if blocks <= 1:
+        return left.drop("_sum").repartition(1).mapInPandas(_block_fronts(names), schema)
+    ranged = left.repartitionByRange(blocks, *order).drop("_sum").withColumn("_block", F.spark_partition_id())
+    fronts = materialize(ranged.mapInPandas(_block_fronts(names), ranged.schema), "front")
+    least = fronts.groupBy("_block").agg(*[F.min(c).alias(f"_least{i}") for i, c in enumerate(names)])
+    later = fronts.filter(F.col("_block") < blocks - 1).withColumn(
+        "_block", F.explode(F.sequence(F.col("_block") + 1, F.lit(blocks - 1)))
+    )
+    reach = None
+    for i, c in enumerate(names):
+        as_good = F.col(c) >= F.col(f"_least{i}")
+        reach = as_good if reach is None else reach & as_good
+    challengers = later.join(least, "_block").filter(reach).select(*fronts.columns, F.lit(1).alias("_role"))
+    met = fronts.withColumn("_role", F.lit(0)).unionByName(challengers)
+    met = met.repartition(blocks, "_block").sortWithinPartitions("_block", "_role")
+    return materialize(met.mapInPandas(_challenged(names), met.schema).select(entity, *names), "front")
 
 
 def dominance_split(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITERIA) -> DataFrame:
