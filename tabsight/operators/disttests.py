@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.functions.columns import number
 from tabsight.functions.moments import dagostino_k2
-from tabsight.operators.ordered import spread
+from tabsight.functions.tails import ks_p_value, normal_cdf
+from tabsight.operators.ordered import ORDINAL, cumulate, spread
 from tabsight.operators.quantiles import melt
 
 MIN_ROWS = 8
@@ -31,21 +31,30 @@ _LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 _GAMMA = (-2.273, 0.459)
 
 
-def ks_normal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, statistic, p_value) against the normal with the column's mean and sample std."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest  # here, because workers import this module too
-
-    out = df.sparkSession.createDataFrame([], "column string, statistic double, p_value double")
-    for c in columns:
-        data = df.select(number(df, c).alias("x")).filter(F.col("x").isNotNull())
-        n, mean, std = data.agg(F.count("x"), F.avg("x"), F.stddev_samp("x")).first()
-        if n < MIN_ROWS or not std:
-            continue
-        tested = KolmogorovSmirnovTest.test(data, "x", "norm", mean, std)
-        out = out.unionByName(
-            tested.select(F.lit(c).alias("column"), F.col("statistic"), F.col("pValue").alias("p_value"))
-        )
-    return out
+def ks_normal(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys…, column, statistic, p_value) against the normal with the mean and sample std of the column (and group).
+
+    Groups below eight values, or whose values do not vary or are not all finite, have no row; a null key is a
+    group.  Values are counted and their counts cumulated over one global order, so neither a column nor
+    a hot group is held in one task.
+    """
+    scope = [*keys, "column"]
+    cells = melt(df, keys, columns)
+    moments = cells.groupBy(*scope).agg(
+        F.count("*").alias("_n"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"), F.max(F.abs("value")).alias("_most")
+    ).filter((F.col("_n") >= MIN_ROWS) & (F.col("_std") > 0) & (F.col("_most") < F.lit(float("inf")))).drop("_most")
+    counts = cells.groupBy(*scope, "value").agg(F.count("*").alias("n"))
+    placed = cumulate(counts, [*scope, "value"], "n").frame
+    starts = placed.groupBy(*scope).agg(F.min(ORDINAL).alias("_start"))
+    known = starts.join(moments, [starts[c].eqNullSafe(moments[c]) for c in scope])
+    known = known.select(*[starts[c].alias(f"_of_{c}") for c in scope], "_start", "_n", "_mean", "_std")
+    met = placed.join(known, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in scope])
+    met = met.withColumn("_cdf", normal_cdf((F.col("value") - F.col("_mean")) / F.col("_std")))
+    before = (F.col(ORDINAL) - F.col("_start")) / F.col("_n")
+    through = (F.col(ORDINAL) - F.col("_start") + F.col("n")) / F.col("_n")
+    gap = F.greatest(through - F.col("_cdf"), F.col("_cdf") - before)
+    found = met.groupBy(*scope).agg(F.max(gap).alias("statistic"), F.first("_n").alias("_n"))
+    return found.select(*scope, "statistic", ks_p_value("statistic", "_n").alias("p_value"))
 
 
 def dagostino(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
