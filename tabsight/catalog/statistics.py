@@ -245,6 +245,34 @@ def corr_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corr(correlation.correlations(_lines(spark, sf_dir), _KENDALL_COLUMNS, ["kendall"]))
 
 
+def _kendall_grid(source: str, a: str, b: str, few: str) -> str:
+    """Tau-b where ``few`` has few values: discordant and concordant weight of each cell from two running sums over a grid."""
+    many = b if few == a else a
+    return f"""
+    SELECT 'kendall' AS method, '{a}' AS col1, '{b}' AS col2, round((con - dis) / sqrt((n0 - n1) * (n0 - n2)), 6) AS corr FROM (
+      WITH c AS (SELECT {few} AS x, {many} AS y, CAST(count(*) AS DOUBLE) AS w FROM {source}
+                 WHERE {few} IS NOT NULL AND {many} IS NOT NULL GROUP BY 1, 2),
+      grid AS (SELECT x, y, coalesce(w, 0) AS w FROM (SELECT DISTINCT x FROM c) CROSS JOIN (SELECT DISTINCT y FROM c) LEFT JOIN c USING (x, y)),
+      up AS (SELECT x, y, w, sum(w) OVER (PARTITION BY x ORDER BY y) AS below, sum(w) OVER (PARTITION BY x) AS all_x FROM grid),
+      met AS (SELECT w, sum(below - w) OVER (PARTITION BY y ORDER BY x) - (below - w) AS less,
+                     sum(all_x - below) OVER (PARTITION BY y ORDER BY x) - (all_x - below) AS more FROM up)
+      SELECT (SELECT sum(w * less) FROM met) AS con, (SELECT sum(w * more) FROM met) AS dis,
+             (SELECT sum(w) * (sum(w) - 1) / 2 FROM c) AS n0,
+             (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(w) AS t FROM c GROUP BY x)) AS n1,
+             (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(w) AS t FROM c GROUP BY y)) AS n2)"""
+
+
+@register(
+    "corr_kendall_all",
+    " UNION ALL ".join(
+        _kendall_grid("lineitem", a, b, b if a == "l_extendedprice" else a) for a, b in combinations(LINE_COLUMNS, 2)
+    ),
+)
+def corr_kendall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the line items, that of many values too, whose pairs are counted block by block."""
+    return _corr(correlation.correlations(_lines(spark, sf_dir), LINE_COLUMNS, ["kendall"]))
+
+
 @register("corr_kendall_parts", _kendall_sql("part", ("p_size", "p_retailprice")))
 def corr_kendall_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corr(correlation.correlations(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ["kendall"]))
