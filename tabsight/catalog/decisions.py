@@ -6,14 +6,14 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.catalog.registry import long_sql, register, table
-from tabsight.catalog.series import all_events, trend_sql
+from tabsight.catalog.registry import SQL, long_sql, register, table
+from tabsight.catalog.series import _DAILY, all_events, trend_sql
 from tabsight.catalog.statistics import (
     ALL_FLAGS_SQL, SUMMARY_SQL, _GAP_COLUMNS, _kendall_sql, _pairs_sql, _pearson_one, _spearman_one, outlier_summary,
     threshold_flags,
 )
 from tabsight.catalog.tables import (
-    AMOUNTS, AMOUNTS_SQL, ENTITY_SQL, LINE_COLUMNS, amounts, entities,
+    AMOUNTS, AMOUNTS_SQL, ENTITY_SQL, LINE_COLUMNS, amounts, daily_orders, entities,
 )
 from tabsight.functions.columns import rounded
 from tabsight.operators import correlation, ranking, rules, stats
@@ -480,6 +480,51 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return united.withColumn("value", rounded("value", 4))
 
 
+def _series_part(analysis: str, item: str, stats_: tuple[str, ...], sql: str) -> str:
+    """One part of a series run as (analysis, item, stat, value); ``item`` names the column besides the series', if any."""
+    name = f"'total | ' || {item}" if item else "'total'"
+    values = ", ".join(f'CAST("{s}" AS DOUBLE) AS "{s}"' for s in stats_)
+    listed = ", ".join(f'"{s}"' for s in stats_)
+    return f"""SELECT 'timeseries.{analysis}' AS analysis, item, stat, round(value, 4) AS value FROM (
+      SELECT {name} AS item, {values} FROM ({sql})) UNPIVOT INCLUDE NULLS (value FOR stat IN ({listed}))"""
+
+
+def _daily_calendar_sql(labels, slot: str, least: int) -> str:
+    slots = ", ".join(f"({i}::BIGINT, '{label}')" for i, label in enumerate(labels))
+    return f"""SELECT label, avg(v) AS mean, stddev_samp(v) AS std, count(v) AS count FROM (VALUES {slots}) c(slot, label)
+      LEFT JOIN (SELECT {slot} - 1 AS slot, v FROM {_DAILY}) d USING (slot) WHERE (SELECT count(*) FROM {_DAILY}) >= {least} GROUP BY slot, label"""
+
+
+@register(
+    "full_run_series",
+    " UNION ALL ".join(
+        [
+            _series_part("trend", "trend_direction", ("slope", "intercept", "r_squared", "std_error", "trend_strength"), SQL["linear_trend"]),
+            _series_part("moving_average", '"window"', ("current_value", "change_from_start"), SQL["moving_average_summary"]),
+            _series_part("growth", "", ("mean", "std", "min", "max"), SQL["growth_pop"]),
+            _series_part("growth_yoy", "", ("mean", "std", "current"), SQL["growth_yoy"]),
+            _series_part("seasonal_strength", "period", ("strength",), SQL["seasonal_strength"]),
+            _series_part("day_of_week", "label", ("mean", "std", "count"), _daily_calendar_sql(ts.WEEKDAYS, "isodow(ts)", 14)),
+            _series_part("month", "label", ("mean", "std", "count"), _daily_calendar_sql(ts.MONTHS, "month(ts)", 24)),
+            _series_part(
+                "basic", "", ("observations", "range_days"),
+                f"SELECT count(*) AS observations, date_diff('day', min(ts), max(ts)) AS range_days FROM {_DAILY}",
+            ),
+            _series_part(
+                "volatility", "", ("volatility", "annualized_volatility", "value_at_risk_5pct", "value_at_risk_1pct"), SQL["volatility"]
+            ),
+            _series_part("drawdown", "", ("max_drawdown",), SQL["max_drawdown"]),
+            _series_part("momentum", "step", ("momentum",), SQL["momentum"]),
+            _series_part("autocorrelation", "lag", ("autocorr",), SQL["autocorrelation"]),
+        ]
+    ),
+)
+def full_run_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve parts of a series run, over the daily totals of all orders."""
+    results = analyses.full_run(daily_orders(spark, sf_dir), ["day"], ["total"], analyses=["timeseries"])
+    return analyses.unite(results).filter(F.col("stat") != "p_value").withColumn("value", rounded("value", 4))
+
+
 @register("full_run_all")
 def full_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every analysis with its default methods, forest and Kendall included."""
