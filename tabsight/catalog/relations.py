@@ -149,3 +149,36 @@ def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(kind == "error", "   ").when(kind == "view", " view").otherwise(kind)
     raw = table(spark, sf_dir, "events").select("user_id", "value", label.alias("label"))
     return difference.table_diff(raw, clean.general_normalize(raw))
+
+
+@register(
+    "after_errors",
+    """
+    SELECT e.user_id, e.event_id, e.event_type, x.event_id AS error_id FROM events e JOIN events x
+    ON e.user_id IS NOT DISTINCT FROM x.user_id AND x.event_type = 'error' AND e.ts >= x.ts AND e.ts < x.ts + INTERVAL 12 HOUR""",
+)
+def after_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with what its user did in the twelve hours from it on."""
+    events = table(spark, sf_dir, "events")
+    errors = events.filter(F.col("event_type") == "error").select(
+        "user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("opened"), (F.col("ts") + F.expr("INTERVAL 12 HOUR")).alias("closed")
+    )
+    met = intervals.interval_join(events.select("user_id", "event_id", "event_type", "ts"), errors, ["user_id"], "ts", "opened", "closed")
+    return met.select("user_id", "event_id", "event_type", "error_id")
+
+
+@register(
+    "open_orders",
+    """
+    SELECT d.day, count(*) AS items, round(sum(l.l_quantity), 2) AS quantity
+    FROM (SELECT DISTINCT l_shipdate AS day FROM lineitem) d JOIN lineitem l
+    ON l.l_shipdate <= d.day AND d.day < l.l_shipdate + INTERVAL 30 DAY GROUP BY 1""",
+)
+def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is on its way each day, with thirty days for every shipment: no key, equal spans counted before the join."""
+    lines = table(spark, sf_dir, "lineitem")
+    days = lines.select(F.col("l_shipdate").alias("day")).distinct()
+    sent = lines.groupBy(F.col("l_shipdate").alias("sent")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    sent = sent.withColumn("until", (F.col("sent") + F.expr("INTERVAL 30 DAY")).cast(sent.schema["sent"].dataType))
+    met = intervals.interval_join(days, sent, [], "day", "sent", "until")
+    return met.groupBy("day").agg(F.sum("n").alias("items"), rounded(F.sum("q"), 2).alias("quantity"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabsight.functions.columns import micros_between
 from tabsight.operators.ordered import BLOCK, ORDINAL, block_window, blocks, number_rows
@@ -111,3 +111,68 @@ def as_of(
     else:
         joined = joined.withColumn("_match", match)
     return joined.select("_left.*", *[F.col(f"_match.`{c}`").alias(c) for c in (*values, "matched_at")])
+
+
+def _units(df: DataFrame, column: str) -> Column:
+    """The column as whole units: microseconds, days or the integer itself."""
+    kind, col = df.schema[column].dataType, F.col(f"`{column}`")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(kind, T.TimestampNTZType):
+        return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return col.cast("bigint")
+    raise ValueError(f"{column} is neither a time nor an integer")
+
+
+def interval_join(
+    points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, grain: int | None = None
+) -> DataFrame:
+    """Every pair of a point and a span of equal keys with start <= at < end: (point columns…, other span columns…).
+
+    Time is cut into cells of ``grain`` units, and cells into nodes of 1, 2, 4, … cells.  A span becomes the few
+    nodes that cover it, at most two of each size, and a point the nodes of all sizes around it, so both grow with
+    the logarithm of the longest span and a pair meets in exactly one node: an equi-join, however long the spans
+    and however hot a key.  Only pairs in the cells at a span's edges are compared in vain; without
+    ``grain`` a cell is about an eighth of the mean span.
+
+    Null keys equal each other.  Null times and spans that end no later than they start have no partner; repeated
+    rows are pairs of their own; an empty side gives no rows.  The three times must be of one type.
+    """
+    keys = list(keys)
+    if len({points.schema[at].dataType, spans.schema[start].dataType, spans.schema[end].dataType}) > 1:
+        raise ValueError("the times differ in type")
+    clash = sorted({c.lower() for c in points.columns} & {c.lower() for c in spans.columns if c not in keys})
+    if clash:
+        raise ValueError(f"both sides have the columns {clash}")
+    own = [c for c in spans.columns if c not in keys]
+    sides = spans.select(
+        F.struct(*[F.col(f"`{c}`") for c in keys]).alias("_k") if keys else F.lit(0).alias("_k"),
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_span"), _units(spans, start).alias("_s"), _units(spans, end).alias("_e"),
+    ).filter(F.col("_s") < F.col("_e"))
+    dots = points.select(
+        F.struct(*[F.col(f"`{c}`") for c in keys]).alias("_k") if keys else F.lit(0).alias("_k"),
+        F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_point"), _units(points, at).alias("_t"),
+    ).filter(F.col("_t").isNotNull())
+    length = F.col("_e") - F.col("_s")
+    mean, longest = sides.agg(F.avg(length), F.max(length)).first()  # two numbers
+    cell = max(1, int(grain) if grain else int((mean or 0) // 8))
+    levels = max(1, ((longest or 1) // cell + 2).bit_length())
+    low, high = "shiftright(_a + shiftleft(1L, l) - 1, l)", "shiftright(_b, l)"
+    nodes = F.expr(f"""filter(flatten(transform(sequence(0, {levels - 1}), l -> array(
+        if({low} < {high} and {low} & 1 = 1, named_struct('level', l, 'node', {low}), null),
+        if({low} < {high} and {high} & 1 = 1, named_struct('level', l, 'node', {high} - 1), null)))), n -> n is not null)""")
+    covered = sides.withColumns({
+        "_a": F.expr(f"(_s - pmod(_s, {cell}L)) div {cell}L"), "_b": F.expr(f"(_e - 1 - pmod(_e - 1, {cell}L)) div {cell}L + 1"),
+    }).select("_k", "_span", "_s", "_e", F.inline(nodes))
+    around = dots.withColumn("_c", F.expr(f"(_t - pmod(_t, {cell}L)) div {cell}L")).select(
+        F.col("_k").alias("_pk"), "_point", "_t",
+        F.expr(f"inline(transform(sequence(0, {levels - 1}), l -> named_struct('_level', l, '_node', shiftright(_c, l))))"),
+    )
+    met = around.join(
+        covered,
+        F.col("_pk").eqNullSafe(F.col("_k")) & (F.col("_level") == F.col("level")) & (F.col("_node") == F.col("node")),
+    ).filter((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e")))
+    return met.select("_point.*", "_span.*")

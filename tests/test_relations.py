@@ -167,3 +167,40 @@ def test_cube_with_null_keys(spark):
     assert {r["grouping_id"] for r in only.collect()} == {2} and only.count() == 3
     with pytest.raises(ValueError):
         cubes.grouping_stats(df, ["a"], ["v"], [("c",)])
+
+
+@pytest.mark.parametrize("grain", [None, 1, 7, 10_000])
+@pytest.mark.parametrize("keys", [["who"], []])
+def test_interval_join(spark, keys, grain):
+    rng = random.Random(5)
+    who = lambda: rng.choice([1, 1, 1, 2, None, (1 << 60) + 1])
+    points = [(i, who(), rng.randrange(-500, 3000)) for i in range(500)] + [(900, 1, None), (901, 1, 40), (901, 1, 40)]
+    spans = []
+    for i in range(120):
+        s = rng.randrange(-600, 3000)
+        spans.append((i, who(), s, s + rng.choice([-3, 0, 1, 2, 17, 250, 5000])))
+    spans += [(500, 1, None, 7), (501, 1, 7, None), (502, 1, 39, 41), (502, 1, 39, 41)]
+    left = spark.createDataFrame(points, "id long, who long, t long").repartition(4)
+    right = spark.createDataFrame(spans, "span long, who long, s long, e long").repartition(3)
+    if not keys:
+        right = right.drop("who")
+    got = Counter(tuple(r) for r in intervals.interval_join(left, right, keys, "t", "s", "e", grain).select("id", "span", "t", "s", "e").collect())
+    want = Counter(
+        (i, j, t, s, e) for i, a, t in points for j, b, s, e in spans
+        if None not in (t, s, e) and s <= t < e and (a == b or not keys)
+    )
+    assert got == want
+
+
+def test_interval_join_of_times_and_odd_sides(spark):
+    left = spark.createDataFrame([(1, at(0)), (2, at(59)), (3, at(60)), (4, None)], "id long, t timestamp_ntz")
+    right = spark.createDataFrame([("a", at(0), at(60)), ("b", at(60), at(60)), ("c", at(-5), at(86_400 * 4000))], "name string, s timestamp_ntz, e timestamp_ntz")
+    got = {(r["id"], r["name"]) for r in intervals.interval_join(left, right, [], "t", "s", "e").collect()}
+    assert got == {(1, "a"), (2, "a"), (1, "c"), (2, "c"), (3, "c")}
+    assert intervals.interval_join(left.limit(0), right, [], "t", "s", "e").count() == 0
+    assert intervals.interval_join(left, right.limit(0), [], "t", "s", "e").columns == ["id", "t", "name", "s", "e"]
+    assert intervals.interval_join(left, right.limit(0), [], "t", "s", "e").count() == 0
+    with pytest.raises(ValueError):
+        intervals.interval_join(left.withColumnRenamed("id", "Name"), right, [], "t", "s", "e")
+    with pytest.raises(ValueError):
+        intervals.interval_join(left.withColumn("t", F.col("t").cast("date")), right, [], "t", "s", "e")
