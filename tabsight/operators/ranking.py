@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabsight.operators.ordered import rank_within
 from tabsight.sources.scratch import materialize
@@ -159,10 +159,15 @@ def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITE
     of rows reaches the driver.
     """
     names = list(criteria)
-    data = scores.select(entity, *[F.col(c).cast("double").alias(c) for c in names])
+    kind = scores.schema[entity].dataType
+    ids = F.col(entity)
+    if isinstance(kind, T.IntegralType):  # beside a null pandas would hold whole numbers as doubles
+        ids = F.coalesce(ids, F.lit(0).cast(kind))
+    data = scores.select(ids.alias(entity), F.col(entity).isNull().alias("_none"), *[F.col(c).cast("double").alias(c) for c in names])
     for c in names:
         data = data.filter(F.col(c).isNotNull() & ~F.isnan(c))
     schema = data.schema
+    result = [F.when(~F.col("_none"), F.col(entity)).alias(entity), *names]
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,7 +180,7 @@ def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITE
     left = materialize(data.mapInPandas(shrink, schema).withColumn("_sum", total), "front")
     blocks = -(-left.count() // step)
     if blocks <= 1:
-        return left.drop("_sum").repartition(1).mapInPandas(_block_fronts(names), schema)
+        return left.drop("_sum").repartition(1).mapInPandas(_block_fronts(names), schema).select(*result)
     ranged = left.repartitionByRange(blocks, *order).drop("_sum").withColumn("_block", F.spark_partition_id())
     fronts = materialize(ranged.mapInPandas(_block_fronts(names), ranged.schema), "front")
     least = fronts.groupBy("_block").agg(*[F.min(c).alias(f"_least{i}") for i, c in enumerate(names)])
@@ -189,7 +194,7 @@ def pareto_front(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITE
     challengers = later.join(least, "_block").filter(reach).select(*fronts.columns, F.lit(1).alias("_role"))
     met = fronts.withColumn("_role", F.lit(0)).unionByName(challengers)
     met = met.repartition(blocks, "_block").sortWithinPartitions("_block", "_role")
-    return materialize(met.mapInPandas(_challenged(names), met.schema).select(entity, *names), "front")
+    return materialize(met.mapInPandas(_challenged(names), met.schema).select(*result), "front")
 
 
 def dominance_split(scores: DataFrame, entity: str, criteria: Sequence[str] = CRITERIA) -> DataFrame:

@@ -92,6 +92,15 @@ def test_incomparable_rows_are_never_on_the_front(spark, step):
     assert not any(r["pareto_efficient"] for r in ranking.dominance_split(df, "e", ["a", "b"]).collect() if r["e"] > 99)
 
 
+@pytest.mark.parametrize("step", [2, 50])
+def test_front_keeps_large_ids_beside_a_null_one(spark, step):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, -(1 << 60) - 1, 0]
+    df = spark.createDataFrame([(e, float(i), float(-i)) for i, e in enumerate(ids)], "e long, a double, b double").repartition(1)
+    got = ranking.pareto_front(df, "e", ["a", "b"], step=step)
+    assert {(r["e"], r["a"]) for r in got.collect()} == {(e, float(i)) for i, e in enumerate(ids)}
+    assert got.columns == ["e", "a", "b"]
+
+
 def test_all_on_the_front(spark):
     df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(300)], "e int, a double, b double")
     assert ranking.pareto_front(df, "e", ["a", "b"], step=40).count() == 300
