@@ -8,7 +8,7 @@ rows nor on partitioning nor on the number of merges: a merged state has the bit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,6 +43,12 @@ def _exact_sums(terms: DataFrame, scope: Sequence[str]) -> DataFrame:
     return banded.withColumn("digits", digits).groupBy(*scope, "band").agg(F.sum("digits").alias("digits"))
 
 
+def _terms(rows: DataFrame, parts: Sequence[str], products: Iterable[tuple[str, Column]]) -> DataFrame:
+    """(parts…, column, other, power, term): the products of each row's values."""
+    cells = F.array(*[F.struct(F.lit(p).alias("power"), t.alias("term")) for p, t in products])
+    return rows.select(*parts, "column", "other", F.inline(cells))
+
+
 def _finite(df: DataFrame, column: str) -> Column:
     """The value as a double with one zero; null where it is missing or infinite."""
     value = number(df, column)
@@ -50,7 +56,7 @@ def _finite(df: DataFrame, column: str) -> Column:
 
 
 def summarize(df: DataFrame, columns: Sequence[str] | None = None, parts: Sequence[str] = (), pairs: bool = True) -> DataFrame:
-    """The state of the numeric columns for each combination of ``parts``, from two scans.
+    """The state of the numeric columns for each combination of ``parts``, from two scans (three with ``pairs``).
 
     Cells are melted and partially aggregated in the scan stage, so a part that holds most rows is one row per
     task, column and band in the shuffle.  Null and NaN are missing; infinite values are counted in
@@ -79,18 +85,19 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None, parts: Sequen
             F.hll_sketch_agg(F.when(F.col("finite").isNotNull(), F.xxhash64("finite")), F.lit(HLL_K)).alias("hll"),
         )
     )
-    terms = []
-    for c in names:
-        x = finite[c]
-        terms += [(c, "", p, t) for p, t in zip(POWERS, (x, x * x, x * x * x, x * x * x * x), strict=True)]
-    for c, d in combinations(names, 2) if pairs else ():
-        x, y = F.when(finite[d].isNotNull(), finite[c]), F.when(finite[c].isNotNull(), finite[d])
-        one = F.when(x.isNotNull(), F.lit(1.0))
-        terms += [(c, d, p, t) for p, t in zip(CROSS, (one, x, y, x * x, y * y, x * y), strict=True)]
-    melted = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(d).alias("other"), F.lit(p).alias("power"), t.alias("term")) for c, d, p, t in terms
-    ])
-    long = df.select(*parts, F.inline(melted)).filter(F.col("term").isNotNull())
+    # values first, their products from plain columns after that: one array of all products outgrows what the JVM compiles
+    single = F.array(*[F.struct(F.lit(c).alias("column"), finite[c].alias("finite")) for c in names])
+    x = F.col("finite")
+    rows = df.select(*parts, F.inline(single)).filter(x.isNotNull()).withColumn("other", F.lit(""))
+    long = _terms(rows, parts, zip(POWERS, (x, x * x, x * x * x, x * x * x * x), strict=True))
+    if pairs and len(names) > 1:
+        double = F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(d).alias("other"), finite[c].alias("finite"), finite[d].alias("value"))
+            for c, d in combinations(names, 2)
+        ])
+        y = F.col("value")
+        rows = df.select(*parts, F.inline(double)).filter(x.isNotNull() & y.isNotNull())
+        long = long.unionByName(_terms(rows, parts, zip(CROSS, (F.lit(1.0), x, y, x * x, y * y, x * y), strict=True)))
     sums = _exact_sums(long, [*parts, "column", "other", "power"])
     return values.unionByName(sums, allowMissingColumns=True).select(*parts, *OWN)
 
