@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+_TOGETHER = 10_000  # entries handed to the state in one call
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,13 +28,13 @@ class _TimeInState(StatefulProcessor):
     def __init__(self, state_type: T.DataType, ids: Sequence[T.StructField], entity: Sequence[str]) -> None:
         self.keys = len(entity)
         self.out = Row(*entity, "state", "_from", "_to")
-        self.pending_key = T.StructType([T.StructField("at", T.LongType()), *ids])
-        self.pending_value = T.StructType([T.StructField("state", state_type)])
+        kinds = {"at": T.LongType(), **{f"id{i}": f.dataType for i, f in enumerate(ids)}, "state": state_type}
+        self.pending_schema = T.StructType([T.StructField(c, T.ArrayType(kind)) for c, kind in kinds.items()])
         self.open_schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("state", state_type)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", self.pending_key, self.pending_value)
+        self.pending = handle.getListState("pending", self.pending_schema)
         self.open = handle.getValueState("open", self.open_schema)
         self.alarm = handle.getValueState("alarm", "ms long")
 
@@ -48,36 +49,44 @@ class _TimeInState(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.alarm.update((ms,))
 
+    def _wait(self, arrived: list[tuple]) -> None:
+        """Entries go to the state together, one list per field: a call, and a row of the state, cost more than an entry."""
+        self.pending.appendValue(tuple(map(list, zip(*arrived, strict=True))))
+        self._wake(min(entry[0] for entry in arrived))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         """Rows are (entity…, time, micros, state, ids…)."""
-        earliest = None
+        arrived = []
         for row in rows:
             at, state, *ids = tuple(row)[self.keys + 1 :]
-            self.pending.updateValue((at, *ids), (state,))
-            earliest = at if earliest is None else min(earliest, at)
-        if earliest is not None:
-            self._wake(earliest)
+            arrived.append((at, *ids, state))
+            if len(arrived) == _TOGETHER:
+                self._wait(arrived)
+                arrived = []
+        if arrived:
+            self._wait(arrived)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.alarm.clear()
         passed = (timerValues.getCurrentWatermarkInMs() - 1) * 1000
-        waiting = [(tuple(k), v[0]) for k, v in self.pending.iterator()]
-        ready = [w for w in waiting if w[0][0] <= passed]
+        # of entries that repeat the last one counts
+        waiting = {entry[:-1]: entry[-1] for some in self.pending.get() for entry in zip(*some, strict=True)}
+        ready = [w for w in waiting.items() if w[0][0] <= passed]
         ready.sort(key=lambda w: [(part is not None, part) for part in w[0]])
         held = tuple(self.open.get()) if self.open.exists() else None
         closed = []
         for place, state in ready:
-            self.pending.removeKey(place)
             if held is None or held[1] != state:
                 if held is not None:
                     closed.append(self.out(*key, held[1], held[0], place[0]))
                 held = (place[0], state)
         if ready:
             self.open.update(held)
-        left = [place[0] for place, _ in waiting if place[0] > passed]
-        if left:
-            self._wake(min(left))
+        left = [(*place, state) for place, state in waiting.items() if place[0] > passed]
+        self.pending.clear()
+        for start in range(0, len(left), _TOGETHER):
+            self._wait(left[start : start + _TOGETHER])
         return iter(closed)
 
     def close(self) -> None:

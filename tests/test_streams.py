@@ -91,3 +91,67 @@ def test_sliding_windows_on_a_stream(spark, tmp_path, batches):
     want = build(spark.createDataFrame(rows, SCHEMA))
     got = got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
     assert Counter(map(tuple, got.filter("who <> 9").collect())) == Counter(map(tuple, want.collect()))
+
+
+class _Kept:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def appendValue(self, row):
+        self.calls.append(1)
+        self.rows.append(row)
+
+    def update(self, row):
+        self.calls.append(1)
+        self.rows = [row]
+
+    def get(self):
+        self.calls.append(1)
+        return iter(self.rows) if len(self.rows) and isinstance(self.rows[0][0], list) else self.rows[0]
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.calls = []
+
+    def getListState(self, name, schema):
+        return _Kept(self.calls)
+
+    def getValueState(self, name, schema):
+        return _Kept(self.calls)
+
+    def registerTimer(self, ms):
+        self.calls.append(1)
+
+    def deleteTimer(self, ms):
+        self.calls.append(1)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_entries_of_an_entity():
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    def settled(n):
+        handle, processor = _Handle(), states._TimeInState(T.StringType(), [T.StructField("id", T.LongType())], ["who"])
+        processor.init(handle)
+        rows = [(7, None, 1_000_000 * i, "ab"[i // 3 % 2] if i % 5 else None, i) for i in range(n)]
+        mixed = rows[::2] + rows[1::2] + rows[:4]  # some come twice
+        processor.handleInputRows((7,), iter(mixed[: n // 2]), None)
+        processor.handleInputRows((7,), iter(mixed[n // 2 :]), None)
+        out = []
+        for seconds in (n // 2, n + 1):
+            out += processor.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda s=seconds: s * 1000), None)
+        changes = [r for i, r in enumerate(rows) if not i or r[3] != rows[i - 1][3]]
+        assert [tuple(r) for r in out] == [(7, a[3], a[2], b[2]) for a, b in zip(changes, changes[1:])]
+        return len(handle.calls)
+
+    assert settled(2000) == settled(200) < 20
