@@ -123,9 +123,15 @@ def _record_errors() -> Column:
 
 
 def validate_records(log: DataFrame, json: str) -> DataFrame:
-    """Add ``errors`` and ``is_valid``; each record is parsed once before the checks."""
-    parsed = log.withColumn("_doc", F.try_parse_json(json)).withColumn("_keys", F.json_object_keys(json))
-    parsed = parsed.withColumn("_single", is_json_value(F.col(json)))
+    """Add ``errors`` and ``is_valid``; each record is parsed once before the checks.
+
+    The parsed record is a generated row: a filter on the result would else be moved below the
+    parsing, which it would repeat for each check.
+    """
+    once = F.struct(
+        F.try_parse_json(json).alias("_doc"), F.json_object_keys(json).alias("_keys"), is_json_value(F.col(json)).alias("_single")
+    )
+    parsed = log.select("*", F.inline(F.array(once)))
     checked = parsed.withColumn("errors", _record_errors()).drop("_doc", "_keys", "_single")
     return checked.withColumn("is_valid", F.size("errors") == 0)
 

@@ -46,6 +46,14 @@ def test_decode_encode_round_trip(spark):
     assert again == GOOD
 
 
+def test_a_filter_on_validity_parses_a_record_once(spark):
+    df = spark.createDataFrame([(1, json.dumps(GOOD)), (2, "oops"), (3, None)], "i int, json string")
+    valid = eventlog.validate_records(df, "json").filter("is_valid")
+    plan = valid._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1
+    assert [r["i"] for r in valid.collect()] == [1]
+
+
 def test_split_on_a_stream(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
