@@ -110,3 +110,31 @@ def test_repartitioning_changes_nothing(numbers):
     for c in a.columns:
         for u, v in zip(a[c], b[c]):
             assert u == v or math.isclose(u, v, rel_tol=1e-9)
+
+
+def test_counts_of_values_keep_their_partitions(spark):
+    """Merged by compressed bytes, all values of a group met in few tasks."""
+    df = spark.range(4000).select(F.lit("a").alias("g"), (F.col("id") % 2000).cast("double").alias("x"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = quantiles.value_counts(quantiles.melt(df, ["g"], ["x"]), ["g", "column"])
+    assert len(counts.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == before
+    assert counts.count() == 2000 and {r["n"] for r in counts.collect()} == {2}
+    got = quantiles.grouped_quantiles(df, ["g"], ["x"], [0.5], direct_rows=10).first()
+    assert got["q"] == [999.5]
+
+
+def test_large_groups_are_counted_in_many_tasks(spark, monkeypatch):
+    """A join by key put each large group whole into one task."""
+    seen = []
+    monkeypatch.setattr(quantiles, "_histogram_by_group", lambda rows, keys, columns, probs: seen.append(rows) or real(rows, keys, columns, probs))
+    df = spark.range(9000).select(F.when(F.col("id") % 9 > 0, "a").otherwise("b").alias("g"), (F.col("id") % 100).cast("double").alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["g"]: r["q"] for r in quantiles.grouped_quantiles(df, ["g"], ["x"], [0.5], direct_rows=2000).collect()}
+        assert len(got) == 2 and seen[0].withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+real = quantiles._histogram_by_group
