@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.operators.quantiles import melt, quantiles_of_counts
+from tabsight.operators.quantiles import melt, partitions_apart, quantiles_of_counts, value_counts
 from tabsight.operators.stats import AGGREGATION_QUANTILES
 from tabsight.sources.scratch import materialize
 
@@ -52,8 +52,7 @@ def grouping_stats(
         raise ValueError(f"levels name other keys: {unknown}")
     levels = list(dict.fromkeys(tuple(k for k in keys if k in s) for s in levels))
     types = {k: df.schema[k].dataType for k in keys}
-    cells = melt(df, keys, columns).groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
-    cells = materialize(cells, "cells")
+    cells = value_counts(melt(df, keys, columns), [*keys, "column"])
     places = [
         F.struct(
             F.lit(level_id(keys, kept)).alias("grouping_id"),
@@ -63,7 +62,8 @@ def grouping_stats(
     ]
     scope = ["grouping_id", *keys, "column"]
     spread = cells.select("column", "value", "n", F.inline(F.array(*places)))
-    counts = materialize(spread.groupBy(*scope, "value").agg(F.sum("n").alias("n")), "levels")
+    with partitions_apart(df.sparkSession):
+        counts = materialize(spread.groupBy(*scope, "value").agg(F.sum("n").alias("n")), "levels")
     scalars = counts.groupBy(*scope).agg(
         F.sum("n").alias("count"), F.sum(F.col("value") * F.col("n")).alias("sum"),
         F.min("value").alias("min"), F.max("value").alias("max"),

@@ -137,4 +137,12 @@ def test_large_groups_are_counted_in_many_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_quantiles_of_few_groups_do_not_shuffle_their_values(spark):
+    """Joined by group with its place in the order, all values of a group met in one task."""
+    counts = spark.range(6000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+    got = quantiles.quantiles_of_counts(counts, ["g"], [0.5])
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["g"]: r["q"] for r in got.collect()} == {0: [2999.0], 1: [3000.0]}
+
+
 real = quantiles._histogram_by_group
