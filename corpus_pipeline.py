@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier does not reject; it is fitted on a bounded sample of labelled rows."""
+    """Documents the classifier does not reject; it is fitted on all labelled rows outside its fold."""
     return toxicity.keep_clean(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
