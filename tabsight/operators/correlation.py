@@ -7,6 +7,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tabsight.functions.columns import numeric_columns, select_numeric
@@ -18,6 +20,8 @@ from tabsight.sources.scratch import materialize
 METHODS = ("pearson", "spearman", "kendall")
 STRONG = 0.7
 POINTS_PER_GROUP = 50_000  # more distinct points are counted block by block, in many tasks
+POINTS_PER_RANGE = 500_000  # points that a range of values holds on average
+POINTS_PER_VALUE = 200_000  # a value with more points is not kept in one range
 _PAIR_SCHEMA = "method string, col1 string, col2 string, corr double"
 
 
@@ -152,8 +156,12 @@ def discordant_pairs(points: DataFrame, size: int, per_group: int = POINTS_PER_G
     third is the same problem on the much smaller grid of block pairs, so the loop repeats
     until a grid fits one group.
     """
+    return _count_blocks(points, size, size, 1, 1, per_group)
+
+
+def _count_blocks(points: DataFrame, a_values: int, b_values: int, per_a: int, per_b: int, per_group: int) -> float:
+    """The loop of ``discordant_pairs``: at most ``per_a`` points share one of ``a_values`` values of a, and so for b."""
     total = 0.0
-    a_values, b_values, per_a, per_b = size, size, 1, 1
     while True:
         if min(a_values * per_a, b_values * per_b) <= per_group:
             whole = points.withColumn("one", F.lit(1))
@@ -168,18 +176,60 @@ def discordant_pairs(points: DataFrame, size: int, per_group: int = POINTS_PER_G
         per_a, per_b = b_values, a_values
 
 
-def _tie_counts(points: DataFrame) -> tuple[float, float, float, float]:
-    """(all pairs, pairs tied in x, tied in y, tied in both) of weighted distinct (x, y), in one job."""
+def _count_ranges(points: DataFrame, a: str, b: str, ranges: int) -> tuple[float, DataFrame]:
+    """Discordant weight of the pairs within each range of a, and the points (range, b, w) that hold the other pairs.
+
+    Equal values of a are in one range, so points of two ranges differ in a as their ranges do.
+    """
+    schema = "d double, rng int, b double, w double"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False), x.column(2).to_numpy(zero_copy_only=False))
+               for x in batches if x.num_rows]
+        if not got:
+            return
+        xs, ys, ws = (np.concatenate(c) for c in zip(*got))
+        values, place = np.unique(ys, return_inverse=True)
+        weights = np.bincount(place, weights=ws)
+        d = np.zeros(len(values))
+        d[0] = discordant_weight(xs, place, ws)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(d), pa.array(np.full(len(values), TaskContext.get().partitionId(), dtype=np.int32)), pa.array(values.astype(float)), pa.array(weights)],
+            names=["d", "rng", "b", "w"])
+
+    rows = points.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col("w").cast("double").alias("w"))
+    counted = materialize(rows.repartitionByRange(ranges, "a").mapInArrow(kernel, schema), "ranges")
+    return counted.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0], counted.select("rng", "b", "w")
+
+
+def _discordant_by_values(cells: DataFrame, a: str, b: str, distinct: int, per_range: int, per_group: int) -> float:
+    """Discordant weight of distinct cells of which few share a value of a.
+
+    Pairs are counted within ranges of a, then, in different ranges of a, within ranges of b, where a value
+    has one point per range of a; the others lie on the grid of both ranges.
+    """
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = lambda n: max(1, min(tasks, -(-n // per_group)), -(-n // per_range))
+    wide = ranges(distinct)
+    inside, rest = _count_ranges(cells, a, b, wide)
+    tall = ranges(rest.count())
+    across, grid = _count_ranges(rest, "b", "rng", tall)
+    # a grid point: (range of b, range of a as a number)
+    points = grid.select(F.col("b").cast("long").alias("a"), F.col("rng").cast("long").alias("b"), "w")
+    return inside + across + _count_blocks(points, tall, wide, wide, tall, per_group)
+
+
+def _tie_counts(cells: DataFrame) -> tuple[float, float, float, float, int, int]:
+    """(all pairs, pairs tied in x, in y, in both, most cells of an x, of a y) of distinct (x, y) with weights, in one job."""
     pairs = F.sum("w").cast("double") * (F.sum("w").cast("double") - 1) / 2
-    parts = [
-        points.groupBy(*keys).agg(pairs.alias("p")).agg(F.sum("p").alias("p")).select(F.lit(i).alias("i"), "p")
-        for i, keys in enumerate(([], ["x"], ["y"], ["x", "y"]))
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    found = {r["i"]: r["p"] or 0.0 for r in union.collect()}  # four numbers
-    return found[0], found[1], found[2], found[3]
+    own = F.sum(F.col("w").cast("double") * (F.col("w").cast("double") - 1) / 2)
+    union = cells.agg(pairs.alias("p"), F.lit(0).cast("long").alias("most")).select(F.lit(0).alias("i"), "p", "most")
+    for i, key in ((1, "x"), (2, "y")):
+        tied = cells.groupBy(key).agg(pairs.alias("p"), F.count("*").alias("n")).agg(F.sum("p").alias("p"), F.max("n").alias("most"))
+        union = union.unionByName(tied.select(F.lit(i).alias("i"), "p", "most"))
+    union = union.unionByName(cells.agg(own.alias("p"), F.lit(0).cast("long").alias("most")).select(F.lit(3).alias("i"), "p", "most"))
+    found = {r["i"]: r for r in union.collect()}  # four rows
+    return *(found[i]["p"] or 0.0 for i in range(4)), found[1]["most"] or 0, found[2]["most"] or 0
 
 
 def _tau_b(all_pairs: float, n1: float, n2: float, n3: float, discordant: float) -> float | None:
@@ -187,12 +237,15 @@ def _tau_b(all_pairs: float, n1: float, n2: float, n3: float, discordant: float)
     return (all_pairs - n1 - n2 + n3 - 2 * discordant) / scale if scale else None
 
 
-def kendall(df: DataFrame, columns: Sequence[str], per_group: int = POINTS_PER_GROUP) -> DataFrame:
+def kendall(
+    df: DataFrame, columns: Sequence[str], per_group: int = POINTS_PER_GROUP, per_range: int = POINTS_PER_RANGE, per_value: int = POINTS_PER_VALUE
+) -> DataFrame:
     """Tau-b per pair of columns.
 
     Rows are reduced to distinct (x, y) with counts.  When these fit one bounded group they
-    are counted there.  Otherwise they are numbered in (x, y) order and again in (y, first
-    number) order: on these two permutations a pair is discordant exactly when x and y
+    are counted there.  Otherwise, where the cells of each value of a column fit one task, they
+    are counted by ranges of values.  Else they are numbered in (x, y) order and again in (y,
+    first number) order: on these two permutations a pair is discordant exactly when x and y
     disagree strictly, and the pairs are counted block by block.
     """
     spark = df.sparkSession
@@ -203,14 +256,18 @@ def kendall(df: DataFrame, columns: Sequence[str], per_group: int = POINTS_PER_G
         distinct = cells.count()
         corr = None
         if distinct:
+            *ties, most_x, most_y = _tie_counts(cells)
             if distinct <= per_group:
                 whole = cells.withColumn("one", F.lit(1))
                 discordant = _count_within(whole, "one", "x", "y").first()["d"]
+            elif min(most_x, most_y) <= per_value:
+                few, other = ("x", "y") if most_x <= most_y else ("y", "x")
+                discordant = _discordant_by_values(cells, few, other, distinct, per_range, per_group)
             else:
                 by_x = number_rows(cells, ["x", "y"])
                 both = number_rows(by_x.frame.withColumnRenamed(ORDINAL, "a"), ["y", "a"])
                 discordant = discordant_pairs(both.frame.select("a", F.col(ORDINAL).alias("b"), "w"), both.total, per_group)
-            corr = _tau_b(*_tie_counts(cells), discordant)
+            corr = _tau_b(*ties, discordant)
         rows.append(("kendall", x, y, corr))
     return spark.createDataFrame(rows, _PAIR_SCHEMA)
 

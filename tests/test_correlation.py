@@ -59,6 +59,29 @@ def test_kendall_by_blocks(frame, per_group):
         assert got[x, y] == pytest.approx(tau_b(both[x].to_numpy(), both[y].to_numpy()))
 
 
+@pytest.mark.parametrize("per_group, per_range", [(40, 1_000), (40, 20)])
+def test_kendall_by_ranges_of_values(frame, monkeypatch, per_group, per_range):
+    """Pairs of columns, with hot values or without, are counted without numbering the cells."""
+
+    def numbered(*args):
+        raise AssertionError("the cells were numbered")
+
+    pdf, df = frame
+    monkeypatch.setattr(correlation, "number_rows", numbered)
+    got = _found(correlation.kendall(df, ["a", "b", "c"], per_group, per_range))
+    for x, y in combinations("abc", 2):
+        both = pdf[[x, y]].dropna()
+        assert got[x, y] == pytest.approx(tau_b(both[x].to_numpy(), both[y].to_numpy()))
+
+
+def test_kendall_with_too_many_cells_for_a_range(frame):
+    pdf, df = frame
+    got = _found(correlation.kendall(df, ["a", "b", "c"], per_group=150, per_value=0))
+    for x, y in combinations("abc", 2):
+        both = pdf[[x, y]].dropna()
+        assert got[x, y] == pytest.approx(tau_b(both[x].to_numpy(), both[y].to_numpy()))
+
+
 def test_discordant_weight_brute_force():
     rng = np.random.default_rng(3)
     a, b, w = rng.integers(0, 9, 80), rng.integers(0, 9, 80), rng.integers(1, 5, 80)
