@@ -2,8 +2,9 @@
 
 Values are scaled to whole numbers between their column's ends, centres are whole numbers too, so distances
 and sums are exact: neither the order of rows nor the number of tasks changes a result.  Points are
-written once; a round is one pass that leaves a count and a sum per centre and task, and its centres
-are written before the next round reads them.
+written once, a column for each axis, and once more in blocks of some thousand points, which a round reads
+without a step for each row; a round is one pass that leaves a count and a sum per centre and task, and
+its centres are written before the next round reads them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsight.functions.columns import number, numeric_columns
 from tabsight.sources.scratch import materialize
@@ -24,32 +25,55 @@ OVERSAMPLE = 2  # seeds drawn in a round, as a multiple of k
 SEED_ROUNDS = 5
 ROUNDS = 20
 _BATCH = 4096
+_BLOCK = 1536  # numbers in a written block
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place and squared distance of each point's nearest centre, the first among equals."""
+    axes = np.ascontiguousarray(points.T)
     place, best = np.zeros(len(points), dtype=np.int64), np.full(len(points), np.iinfo(np.int64).max)
+    d, step = np.empty_like(best), np.empty_like(best)
     for i, c in enumerate(centres):
-        d = ((points - c) ** 2).sum(axis=1)
+        d.fill(0)
+        for axis, at in zip(axes, c):
+            np.subtract(axis, at, out=step)
+            np.multiply(step, step, out=step)
+            np.add(d, step, out=d)
         closer = d < best
-        place[closer], best[closer] = i, d[closer]
+        np.copyto(place, i, where=closer)
+        np.copyto(best, d, where=closer)
     return place, best
 
 
-def _points_of(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    rows = batch.column(column)
-    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+def _points_of(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).T
+
+
+def _totals(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums, by place, of a batch of whole numbers that are not negative."""
+    low = np.bincount(place, values & 0xFFFFFF, size).astype(np.int64)
+    return (np.bincount(place, values >> 24, size).astype(np.int64) << 24) + low
 
 
 @dataclass(frozen=True)
 class Scaled:
-    """Points as whole numbers: (ids…, point), and the ends of each column."""
+    """Points as whole numbers: (ids…, a column for each axis), and the ends of each column."""
 
-    points: DataFrame
+    table: DataFrame
+    blocks: DataFrame  # (block): some points one after the other, as 32-bit whole numbers
     ids: tuple[str, ...]
     columns: tuple[str, ...]
     ends: tuple[tuple[float, float], ...]
 
+    @property
+    def axes(self) -> list[str]:
+        return [f"_p{i}" for i in range(len(self.columns))]
+
+    @property
+    def points(self) -> DataFrame:
+        """(ids…, point)."""
+        return self.table.select(*self.ids, F.array(*self.axes).alias("point"))
+
     def unscaled(self, point: Sequence[int]) -> list[float]:
         return [low + (high - low) * p / GRAIN for p, (low, high) in zip(point, self.ends)]
 
@@ -62,28 +86,48 @@ def scale(df: DataFrame, ids: Sequence[str], columns: Sequence[str] | None = Non
     names = [f"_p{i}" for i in range(len(chosen))]
     got = whole.agg(F.count("*").alias("n"), *[f(n).alias(f"{k}{n}") for n in names for k, f in (("a", F.min), ("b", F.max))]).first()
     ends = tuple((got[f"a{n}"] or 0.0, got[f"b{n}"] or 0.0) for n in names)
-    axes = [
-        F.round((F.col(n) - low) / (high - low) * GRAIN).cast("bigint") if high > low else F.lit(0).cast("bigint")
-        for n, (low, high) in zip(names, ends)
-    ]
-    points = materialize(whole.select(*ids, F.array(*axes).alias("point")), "points")
-    return Scaled(points, tuple(ids), tuple(chosen), ends)
+    def step(n: str, low: float, high: float) -> Column:
+        if high <= low:
+            return F.lit(0).cast("bigint")
+        place = (F.col(n) - low) / (high - low) * GRAIN
+        under = place.cast("bigint")  # not negative; the built-in rounding of doubles goes through decimals
+        return under + F.when(place - under >= 0.5, 1).otherwise(0)
+
+    axes = [step(n, low, high).alias(n) for n, (low, high) in zip(names, ends)]
+    table = materialize(whole.select(*ids, *axes), "points")
+    return Scaled(table, _blocks(table.select(*names)), tuple(ids), tuple(chosen), ends)
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """The points, written as binary rows of some hundred points: small ones, as Spark counts rows to a batch, not bytes."""
+    size = max(1, _BLOCK // max(1, len(points.columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _points_of(batch, range(batch.num_columns)).astype(np.int32)
+                packed = [x[start : start + size].tobytes() for start in range(0, len(x), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["block"])
+
+    return materialize(points.mapInArrow(run, "block binary"), "blocks")
 
 
-def _round(points: DataFrame, centres: np.ndarray) -> dict[int, tuple[int, int, list[int]]]:
+def _round(scaled: Scaled, centres: np.ndarray) -> dict[int, tuple[int, int, list[int]]]:
     """(rows, sum of squared distances, sum of points) of each centre that is nearest to a point; one row per centre and task is shuffled."""
     schema = "centre int, n bigint, inertia decimal(38,0), sums array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, inertia, sums = np.zeros(len(centres), dtype=np.int64), [0] * len(centres), np.zeros(centres.shape, dtype=np.int64)
+        k = len(centres)
+        n, inertia, sums = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=object), np.zeros(centres.shape, dtype=np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, _BATCH):
-                x = _points_of(batch.slice(start, _BATCH), 0)
+            points = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).reshape(-1, centres.shape[1])
+            for start in range(0, len(points), _BATCH):
+                x = points[start : start + _BATCH].astype(np.int64)
                 place, distance = nearest(x, centres)
-                n += np.bincount(place, minlength=len(centres))
-                for i in np.unique(place):
-                    inertia[i] += int(distance[place == i].sum())
-                    sums[i] += x[place == i].sum(axis=0)
+                n += np.bincount(place, minlength=k)
+                inertia += _totals(place, distance, k)
+                for axis in range(centres.shape[1]):
+                    sums[:, axis] += _totals(place, x[:, axis], k)
         some = np.flatnonzero(n)
         if len(some):
             yield pa.RecordBatch.from_arrays(
@@ -91,7 +135,7 @@ def _round(points: DataFrame, centres: np.ndarray) -> dict[int, tuple[int, int,
                  pa.array(list(sums[some]), pa.list_(pa.int64()))],
                 names=["centre", "n", "inertia", "sums"])
 
-    partial = points.select("point").mapInArrow(run, schema)
+    partial = scaled.blocks.mapInArrow(run, schema)
     cells = partial.select("centre", "n", "inertia", F.posexplode("sums").alias("axis", "s"))
     per_axis = cells.groupBy("centre", "axis").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     out: dict[int, tuple[int, int, list[int]]] = {}
@@ -107,30 +151,31 @@ def seeds(scaled: Scaled, k: int, seed: int = 0) -> np.ndarray:
     the squared distance to what was drawn before; the draws, weighted by the rows nearest to them, are then
     thinned to k one by one, each as far and heavy as possible.  Fewer distinct points give fewer centres.
     """
-    points = scaled.points.select("point")
-    draw = lambda i: F.pmod(F.xxhash64("point", F.lit(seed), F.lit(i)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    first = points.select("point", draw(0).alias("u")).orderBy("u", "point").first()
+    draw = lambda i: F.pmod(F.xxhash64(F.array(*scaled.axes), F.lit(seed), F.lit(i)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    first = scaled.table.select(F.array(*scaled.axes).alias("point"), draw(0).alias("u")).orderBy("u", "point").first()
     if first is None:
         return np.zeros((0, len(scaled.columns)), dtype=np.int64)
     taken = np.array([first["point"]], dtype=np.int64)
     for i in range(1, SEED_ROUNDS + 1):
-        spread = sum(v[1] for v in _round(points, taken).values())
+        spread = float(sum(v[1] for v in _round(scaled, taken).values()))
         if not spread:
             break
         wanted = OVERSAMPLE * k
+        # no distance exceeds that of opposite corners: only rows below these odds are looked at one by one
+        odds = wanted * (len(scaled.axes) * GRAIN**2 / spread) * (1 + 1e-9)
 
         def run(batches: Iterator[pa.RecordBatch], taken: np.ndarray = taken) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    distance = nearest(_points_of(batch, 0), taken)[1]
-                    keep = batch.column(1).to_numpy() < wanted * (distance / spread)
-                    yield batch.select([0]).filter(pa.array(keep))
+                    distance = nearest(_points_of(batch, range(taken.shape[1])), taken)[1]
+                    keep = batch.column(taken.shape[1]).to_numpy() < wanted * (distance / spread)
+                    yield batch.select(range(taken.shape[1])).filter(pa.array(keep))
 
         # equal points share their draw, so distinct ones are what is collected: about wanted points
-        drawn = points.select("point", draw(i).alias("u")).mapInArrow(run, "point array<bigint>").distinct()
-        more = [r["point"] for r in drawn.collect()]
+        near = scaled.table.select(*scaled.axes, draw(i).alias("u")).filter(F.col("u") <= odds)
+        more = [list(r) for r in near.mapInArrow(run, scaled.table.select(*scaled.axes).schema).distinct().collect()]
         taken = np.unique(np.concatenate([taken, np.array(more, dtype=np.int64).reshape(-1, taken.shape[1])]), axis=0)
-    counted = _round(points, taken)
+    counted = _round(scaled, taken)
     weights = [counted.get(i, (0,))[0] for i in range(len(taken))]
     chosen = [max(range(len(taken)), key=lambda i: (weights[i], -i))]
     while len(chosen) < min(k, len(taken)):
@@ -160,11 +205,11 @@ def cluster(scaled: Scaled, k: int, seed: int = 0, rounds: int = ROUNDS, start:
 
     ``start`` gives centres to start from, such as those of a written state.
     """
-    spark = scaled.points.sparkSession
+    spark = scaled.table.sparkSession
     centres = seeds(scaled, k, seed) if start is None else np.asarray(start, dtype=np.int64)
     history, at = None, 0
     while True:
-        found = _round(scaled.points, centres) if len(centres) else {}
+        found = _round(scaled, centres) if len(centres) else {}
         rows = [(at, i, found.get(i, (0,))[0], found.get(i, (0, 0))[1], [int(c) for c in centres[i]]) for i in range(len(centres))]
         state = materialize(
             spark.createDataFrame([(a, b, n, str(s), p) for a, b, n, s, p in rows], "round int, centre int, n bigint, inertia string, point array<bigint>")
@@ -181,19 +226,20 @@ def cluster(scaled: Scaled, k: int, seed: int = 0, rounds: int = ROUNDS, start:
 def assign(found: Clustering) -> DataFrame:
     """(ids…, cluster, distance2): the nearest centre of each row, and its squared distance on scaled values."""
     centres, ids = found.centres, list(found.scaled.ids)
-    rows = found.scaled.points
+    rows = found.scaled.table.select(*ids, *found.scaled.axes)
+    width = len(found.scaled.axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                place, distance = nearest(_points_of(batch, len(ids)), centres)
+                place, distance = nearest(_points_of(batch, range(len(ids), len(ids) + width)), centres)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(place, pa.int32()), pa.array(distance / GRAIN**2)], names=[*ids, "cluster", "distance2"])
+                    [*batch.columns[: len(ids)], pa.array(place, pa.int32()), pa.array(distance / GRAIN**2)], names=[*ids, "cluster", "distance2"])
 
     schema = rows.select(*ids, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance2")).schema
     for f in schema.fields:
         f.nullable = True
-    return rows.select(*ids, "point").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def summarize(found: Clustering) -> DataFrame:
@@ -204,7 +250,7 @@ def summarize(found: Clustering) -> DataFrame:
         for i, centre in enumerate(found.centres.tolist())
         for c, v in zip(found.scaled.columns, found.scaled.unscaled(centre))
     ]
-    return found.scaled.points.sparkSession.createDataFrame(
+    return found.scaled.table.sparkSession.createDataFrame(
         rows, "cluster int, n bigint, share double, inertia double, column string, centre double")
 
 

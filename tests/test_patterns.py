@@ -100,3 +100,22 @@ def test_mutual_information_equals_brute_force_with_gaps(spark):
 def test_importance_of_empty_tables(spark):
     assert importance.feature_importance(spark.createDataFrame([], "a double, b string")).count() == 0
     assert importance.feature_importance(spark.createDataFrame([(1.0,)], "a double")).count() == 0
+
+
+def test_rounds_read_packed_points_and_draws_pass_few_rows_on(spark, monkeypatch):
+    rows = [(i, float(i % 997), float(i * 7919 % 1009)) for i in range(12_000)]
+    scaled = clusters.scale(spark.createDataFrame(rows, "id long, x double, y double").repartition(3), ["id"])
+    assert scaled.blocks.count() <= 12_000 // 700 + 6  # a round has no step for each row
+    centres = np.array([[0, 0], [1 << 20, 1 << 19], [1 << 18, 1 << 20]])
+    want = {}
+    for r in scaled.points.collect():
+        d = [sum((int(a) - int(b)) ** 2 for a, b in zip(r.point, c)) for c in centres]
+        n, inertia, sums = want.get(d.index(min(d)), (0, 0, [0, 0]))
+        want[d.index(min(d))] = n + 1, inertia + min(d), [s + p for s, p in zip(sums, r.point)]
+    assert clusters._round(scaled, centres) == want
+
+
+def test_scaled_values_are_rounded_half_up(spark):
+    values = [0.0, 0.5, 1.5, 2.5, 0.49999999999999994, 7.000000001, float(clusters.GRAIN)]
+    scaled = clusters.scale(spark.createDataFrame(list(enumerate(values)), "id long, x double"), ["id"])
+    assert [r.point[0] for r in scaled.points.orderBy("id").collect()] == [0, 1, 2, 3, 0, 7, clusters.GRAIN]
