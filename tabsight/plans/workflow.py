@@ -53,8 +53,8 @@ def collect(
 
     Keys of the dictionary are checked, foreign ones against ``tables`` by name.
 
-    Raises ValueError when the preflight finds errors.  The scanned text is written once as a
-    columnar table, so that the passes over it do not parse CSV again.
+    Raises ValueError when the preflight finds errors.  The scanned text and the normalised table are
+    written once as columnar tables, so that the passes over them do not parse CSV or numbers again.
     """
     checked = csv.preflight(spark, path, delimiter)
     bad = checked.filter(F.size("errors") > 0).select("file", "errors")
@@ -63,14 +63,16 @@ def collect(
         named = "; ".join(f"{r['file']}: {', '.join(r['errors'])}" for r in broken)
         raise ValueError(named if len(broken) < 5 else f"{bad.count()} files have errors, among them {named}")
     raw = materialize(csv.read_csv(spark, path, delimiter), "scanned")
-    types = profile.detect_types(clean.general_normalize(raw))
+    general = materialize(clean.general_normalize(raw), "normalized")
+    types = profile.detect_types(general)
     rules_by_column, listed, issues = {}, None, None
     if data_dictionary:
         listed = dictionary.parse_dictionary(spark, data_dictionary, types)
         rules_by_column = dictionary.rules_of(listed)
         issues = validate.validate(raw, listed, rules_by_column, dictionary.keys_of(spark, data_dictionary), tables)
     found = {r["column"]: r["data_type"] for r in types.collect()}
-    table = _typed(clean.normalize(raw, rules_by_column), {c: t for c, t in found.items() if c not in rules_by_column})
+    normal = clean.normalize(raw, rules_by_column) if rules_by_column else general  # without rules the same
+    table = _typed(normal, {c: t for c, t in found.items() if c not in rules_by_column})
     missing = profile.missing_report(raw)
     return Collected(
         table, checked, types, missing, profile.missing_alerts(missing), profile.data_profile(table), issues, listed

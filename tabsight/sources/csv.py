@@ -8,6 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabsight.sources import quoted
+from tabsight.sources.scratch import materialize
 
 # The null spellings of the scan, and those a pandas reader adds by default.
 NULL_TOKENS = ("", "NA", "N/A", "NULL", "null", "None", "none", "-", "?")
@@ -104,7 +105,7 @@ def _scan_breaks(spark: SparkSession, files: Sequence[str], delimiter: str, enco
 
 def _separators(line, delimiter: str):
     """Delimiters outside quotes."""
-    bare = F.regexp_replace(line, r'"[^"]*"', "")
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, r'"[^"]*"', "")).otherwise(line)
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
 
 
@@ -148,19 +149,27 @@ def preflight(spark: SparkSession, path: str | Sequence[str], delimiter: str = "
     files = files.withColumn("key", _file_key("file"))
 
     lines = spark.read.text(existing).select(
-        _file_key("_metadata.file_path").alias("key"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
         F.col("value"),
         _separators(F.col("value"), delimiter).alias("separators"),
     )
     lines = lines.filter(F.trim("value") != "").withColumn("open", _open_quote(F.col("value")))
-    shape = lines.groupBy("key").agg(
+    # by split first, as a least pair cannot be kept in a hash table; a row per file is written, as it is asked twice
+    splits = lines.groupBy("path", "block").agg(
         F.count("*").alias("lines"),
-        F.bool_or("open").alias("multi_line"),
-        F.min_by("separators", F.struct("block", "position")).alias("header_separators"),
+        F.bool_or("open").alias("open"),
+        F.min("position").alias("position"),
+        F.min_by("separators", "position").alias("separators"),
         F.max("separators").alias("widest"),
     )
+    shape = materialize(splits.groupBy(_file_key("path").alias("key")).agg(
+        F.sum("lines").alias("lines"),
+        F.bool_or("open").alias("multi_line"),
+        F.min_by("separators", F.struct("block", "position")).alias("header_separators"),
+        F.max("widest").alias("widest"),
+    ), "shape")
     broken = [r["file"] for r in files.join(shape.filter("multi_line"), "key", "left_semi").select("file").collect()]
     if broken and quoted.splittable(delimiter, "UTF-8"):  # lines are no records there
         records = quoted.split_records(spark, [unquote(f) for f in broken], delimiter)

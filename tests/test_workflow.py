@@ -129,3 +129,25 @@ def test_a_failing_analysis_leaves_the_others(spark, monkeypatch):
     got = analyses.unite(analyses.analyze(df, ["id"], ["descriptive", "aggregation"])).collect()
     assert {r["analysis"] for r in got} == {"descriptive", "aggregation"}
     assert [r["item"][:17] for r in got if r["stat"] == "error"] == ["ZeroDivisionError"]
+
+
+def test_text_is_not_converted_or_scanned_again(spark, machine_csv):
+    checked = csv.preflight(spark, machine_csv)
+    assert "text" not in checked._jdf.queryExecution().optimizedPlan().toString().lower()  # one row per file is read back
+    got = workflow.collect(spark, machine_csv)
+    plan = got.table.select("row", "wear", "load")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast" not in plan and "trim" not in plan.lower()
+    assert sorted(r["wear"] for r in got.table.select("wear").collect()) == [2.0 * i + 1 for i in range(330)]
+
+
+def test_preflight_takes_the_header_from_the_first_of_many_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n" + "1,2\n" * 400 + '"x,y",2\n' + "\n   \n")
+    (tmp_path / "b.csv").write_text("a,b,c\n" + "1,2\n" * 400 + "1,2,3,4\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = {r["file"].rsplit("/", 1)[1]: r for r in csv.preflight(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (got["a.csv"]["columns"], got["a.csv"]["data_rows"], got["a.csv"]["errors"]) == (2, 401, [])
+    assert (got["b.csv"]["columns"], got["b.csv"]["data_rows"], got["b.csv"]["errors"]) == (3, 401, [csv.WIDE_ROW])
