@@ -10,9 +10,9 @@ may still be repeated:
    occurrences agree in it, all their windows are equal, and all but the earliest are repeats.
 3. The third digit is one half of that: windows that start up to ``SPLIT`` bytes before their
    anchor hold the same bytes after it, the others the same bytes before it.  Where a half
-   occurs once, its windows are done.
-4. What is left differs somewhere inside: those windows are sorted through all ``DEPTH`` bytes,
-   and equal groups are exactly the repeated windows.
+   occurs in one context only, its windows are done; and so are those of a context that came before.
+4. What is left, in the first occurrences of contexts, differs somewhere inside: those windows are sorted
+   through all ``DEPTH`` bytes, and equal groups are exactly the repeated windows.
 
 Documents lie in ranges of doc_id in a bucketed table, so that each pass reads them in place.
 A bucket settles its own repeats and sends each digit once, so a string with very many
@@ -35,16 +35,23 @@ DIGIT = 32  # bytes of an anchor: long enough not to recur by chance, short enou
 REACH = DEPTH - DIGIT  # how far before an anchor its windows may start
 SPLIT = REACH // 2
 BUCKET_BYTES = 8 << 20
-_PIECE = 1 << 20
+_PIECE = 1 << 15  # positions at a time: what is computed of them stays in the processor's cache
 _ODD = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_STEP = 1 << 14
-_IN_DIGIT = np.arange(0, DIGIT, 8)
-_IN_CONTEXT = np.append(np.arange(-REACH, DEPTH - 8, 8), DEPTH - 8)
-_IN_WINDOW = np.append(np.arange(0, DEPTH - 8, 8), DEPTH - 8)
-_IN_AFTER = np.append(np.arange(0, DEPTH - SPLIT - 8, 8), DEPTH - SPLIT - 8)
-_IN_BEFORE = np.append(np.arange(-SPLIT - 1, DIGIT - 8, 8), DIGIT - 8)
+_SHIFT = np.uint64(32)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
-REPEATED, OPEN, WINDOW, HALF = 1, 2, 3, 4  # kinds of what a bucket is told
+
+def _cover(low: int, high: int) -> list[int]:
+    """Where ``DIGIT``-byte strings start that together cover the bytes from low up to high."""
+    return [*range(low, high - DIGIT, DIGIT), high - DIGIT]
+
+
+_IN_CONTEXT = _cover(-REACH, DEPTH)
+_IN_WINDOW = _cover(0, DEPTH)
+_IN_AFTER = _cover(0, DEPTH - SPLIT)
+_IN_BEFORE = _cover(-SPLIT - 1, DIGIT)
+
+REPEATED, OPEN, WINDOW, HALF, CONTEXT = 1, 2, 3, 4, 5  # kinds of what a bucket is told
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -61,70 +68,48 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return run if have == width else np.minimum(run[: len(keys) - width + 1], run[width - have :])
 
 
-class Bytes:
-    """The bytes of a document between zeros, with anchors and digests of its windows."""
-
-    def __init__(self, raw: bytes) -> None:
-        self.n = len(raw)
-        self._data = np.frombuffer(bytes(DEPTH) + raw + bytes(DEPTH + 8), dtype=np.uint8)
-        self._words = _words(self._data)
-
-        self._ahead: np.ndarray | None = None
-
-    def ahead(self) -> np.ndarray:
-        """For each window, how many bytes after its start its anchor lies."""
-        if self._ahead is None:
-            windows = max(0, self.n - DEPTH + 1)
-            self._ahead = np.empty(windows, dtype=np.uint8)
-            for start in range(0, windows, _PIECE):
-                stop = min(windows, start + _PIECE)
-                low, high = DEPTH + start, DEPTH + stop + REACH
-                mixed = self._words[low:high] * _ODD[0]
-                for j in range(1, DIGIT // 8):
-                    mixed += self._words[low + 8 * j : high + 8 * j] * _ODD[j]
-                    mixed ^= mixed >> np.uint64(29)
-                mixed *= _ODD[60]
-                mixed &= np.uint64(0xFFFFFFFF00000000)
-                mixed |= np.arange(len(mixed), dtype=np.uint64)
-                least = _least(mixed, REACH + 1) & np.uint64(0xFFFFFFFF)
-                self._ahead[start:stop] = least - np.arange(stop - start, dtype=np.uint64)
-        return self._ahead
-
-    def anchors(self) -> np.ndarray:
-        """For each window, where its anchor starts; never before that of the window ahead of it."""
-        ahead = self.ahead()
-        return ahead + np.arange(len(ahead))
-
-    def _digest(self, offsets: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
-        """Hash of the words at some offsets from each place, in steps that bound the memory."""
-        out = np.empty(len(places), dtype=np.uint64)
-        for start in range(0, len(places), _STEP):
-            some = places[start : start + _STEP]
-            got = self._words[some[:, None] + (offsets + DEPTH)]
-            got *= _ODD[2 : 2 + len(offsets)]
-            got ^= got >> np.uint64(31)
-            got *= _ODD[30 : 30 + len(offsets)]
-            out[start : start + _STEP] = got.sum(axis=1, dtype=np.uint64)
-        return mix64(out + np.uint64(salt))
-
-    def digits(self, places: np.ndarray) -> np.ndarray:
-        """Hash of the ``DIGIT`` bytes from each place."""
-        return self._digest(_IN_DIGIT, places, 1)
-
-    def contexts(self, places: np.ndarray) -> np.ndarray:
-        """Hash of all bytes that windows around an anchor can cover, and of how far they reach."""
-        reach = np.minimum(places, REACH) * 1000 + np.minimum(self.n - places, DEPTH)
-        got = self._digest(_IN_CONTEXT, places, 2)
-        # bytes behind the reach are zeros of the frame, so equal reaches and bytes have equal hashes
-        return mix64(got + reach.astype(np.uint64) * _ODD[61])
+def _strings(words: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Hash of the ``DIGIT`` bytes from each position from low up to high."""
+    n = high - low
+    w = words[low : high + DIGIT - 8] * _ODD[0]
+    w ^= w >> _SHIFT
+    w *= _ODD[1]
+    w ^= w >> np.uint64(29)
+    out = w[:n] * _ODD[2]
+    for j in range(1, DIGIT // 8):
+        out += w[8 * j : 8 * j + n] * _ODD[2 + j]
+    out ^= out >> _SHIFT
+    out *= _ODD[10]
+    out ^= out >> _SHIFT
+    return out
 
-    def halves(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of what all windows starting well before an anchor hold, and of what the others do."""
-        return self._digest(_IN_BEFORE, places, 4), self._digest(_IN_AFTER, places, 5)
 
-    def windows(self, places: np.ndarray) -> np.ndarray:
-        """Hash of the ``DEPTH`` bytes from each place."""
-        return self._digest(_IN_WINDOW, places, 3)
+def _joined(strings: np.ndarray, places: np.ndarray, offsets: list[int], salt: int) -> np.ndarray:
+    """One hash of the strings at some offsets from each place."""
+    out = np.full(len(places), salt, dtype=np.uint64)
+    for j, offset in enumerate(offsets):
+        out += strings[places + offset] * _ODD[12 + j]
+    return mix64(out)
+
+
+def _grouped(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, mask): rows with the same key and other key stand together, and which rows begin a group.
+
+    The other key hardly ever differs where the key, a hash of more bytes, does not.
+    """
+    by = np.argsort(key)
+    k, o = key[by], other[by]
+    if ((k[1:] == k[:-1]) & (o[1:] != o[:-1])).any():
+        by = np.lexsort((other, key))
+        k, o = key[by], other[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return by, new
+
+
+def _least_of(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The least value of each group, given where the groups begin."""
+    return np.minimum.reduceat(values, heads) if len(heads) else values[:0]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -132,8 +117,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """The documents of one bucket in order, with the anchors of all of them.
+    """The documents of one bucket in order, with their anchors.
 
+    The bytes of all documents lie in one array, with zeros before, between and after them; ``place``
+    counts in it.  Equal neighbouring windows' anchors are one: it is that of the windows ``first`` to ``last``.
     ``listed`` leaves only anchors of these digits and, with ``several``, those whose digit occurs more than once in
     the bucket: all that the passes after the first look at.
     """
@@ -141,104 +128,134 @@ class Bucket:
     def __init__(self, pdf: pd.DataFrame, listed: np.ndarray | None = None, several: bool = False) -> None:
         order = np.lexsort((pdf["uid"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), ~pdf["nameless"].to_numpy(bool)))
         self.rows = pdf.iloc[order]
-        raw = ((t or "").encode("utf-8", "surrogatepass") for t in self.rows["text"])
-        self.docs = [Bytes(r) for r in raw]
-        doc, place, digit = [], [], []
-        for i, d in enumerate(self.docs):
-            if d.n < DEPTH:
-                continue
-            at = d.anchors()
-            own = at[np.append(True, at[1:] != at[:-1])]
-            doc.append(np.full(len(own), i))
-            place.append(own)
-            digit.append(d.digits(own))
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, dtype=kind)
-        self.doc, self.place, self.digit = join(doc, np.int64), join(place, np.int64), join(digit, np.uint64)
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in self.rows["text"]]
+        self.sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes + DEPTH)
+        self.starts = self.ends - self.sizes
+        self.data = np.frombuffer(bytes(DEPTH).join([b"", *raw, bytes(2 * DEPTH + 8)]), dtype=np.uint8)
+        self._words = _words(self.data)
+        self._find_anchors()
         if listed is not None:
             wanted = np.isin(self.digit, listed)
             if several:
-                by = np.argsort(self.digit, kind="stable")
+                by = np.argsort(self.digit)
                 same = self.digit[by][1:] == self.digit[by][:-1]
                 wanted[by[1:][same]] = True
                 wanted[by[:-1][same]] = True
-            self.doc, self.place, self.digit = self.doc[wanted], self.place[wanted], self.digit[wanted]
-        edges = np.searchsorted(self.doc, np.arange(len(self.docs) + 1))
-        self.context = join(
-            [self.docs[i].contexts(self.place[edges[i] : edges[i + 1]]) for i in np.flatnonzero(edges[1:] > edges[:-1])], np.uint64)
-        # anchors come in document order, so a stable sort puts the earliest of a group first
-        by = np.lexsort((self.context, self.digit))
-        self.by = by
-        d, c = self.digit[by], self.context[by]
-        self.new_digit = np.append(True, d[1:] != d[:-1])[: len(by)]
-        self.new_context = (self.new_digit | np.append(True, c[1:] != c[:-1])[: len(by)])
-        self.group = np.cumsum(self.new_digit) - 1 if len(by) else np.empty(0, dtype=np.int64)
-        self.kinds = np.bincount(self.group, self.new_context).astype(np.int64) if len(by) else np.empty(0, dtype=np.int64)
-        self.heads = np.flatnonzero(self.new_digit)
+            self._leave(np.flatnonzero(wanted))
+        by, new = _grouped(self.context, self.digit)
+        heads = np.flatnonzero(new)
+        self.of_context = np.empty(len(by), dtype=np.int64)  # the earliest anchor with the same context
+        earliest = _least_of(by, heads)
+        self.of_context[by] = np.repeat(earliest, np.diff(np.append(heads, len(by))))
+        # earliest anchors of each context, ascending, and how many contexts their digits have here
+        self.heads = np.sort(earliest)
+        _, which, count = np.unique(self.digit[self.heads], return_inverse=True, return_counts=True)
+        self.kinds = count[which]
+
+    def _find_anchors(self) -> None:
+        total = int(self.ends[-1])
+        whole = np.zeros(total, dtype=bool)  # where windows start
+        for low, high in zip(self.starts.tolist(), (self.ends - DEPTH + 1).tolist()):
+            whole[low : max(low, high)] = True
+        found: list[tuple[np.ndarray, ...]] = []
+        last = -1
+        for start in range(DEPTH, total, _PIECE):
+            windows = np.flatnonzero(whole[start : start + _PIECE])
+            if not len(windows):
+                continue
+            n = int(windows[-1]) + 1
+            low = start - REACH
+            strings = _strings(self._words, low, start + n + 2 * REACH + 1)
+            key = strings[REACH : 2 * REACH + n] & _HIGH
+            key |= np.arange(len(key), dtype=np.uint64)
+            at = (_least(key, REACH + 1) & ~_HIGH).astype(np.int64)[windows]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = at[1:] != at[:-1]
+            new[0] = at[0] + start != last
+            last = int(at[-1]) + start
+            at, windows = at[new] + REACH, windows[new]
+            found.append((at + low, windows + start, strings[at], *(
+                _joined(strings, at, offsets, salt) for offsets, salt in ((_IN_CONTEXT, 2), (_IN_BEFORE, 4), (_IN_AFTER, 5)))))
+        kinds = (np.int64, np.int64, *[np.uint64] * 4)
+        self.place, self.first, self.digit, self.context, self.before, self.after = (
+            np.concatenate(x) if found else np.empty(0, dtype=k) for x, k in zip(zip(*found) if found else kinds, kinds))
+        doc = np.searchsorted(self.starts, self.place, "right") - 1
+        self.last = np.minimum(np.append(self.first[1:], total) - 1, self.ends[doc] - DEPTH)
+        reach = np.minimum(self.place - self.starts[doc], REACH) * 1000 + np.minimum(self.ends[doc] - self.place, DEPTH)
+        # bytes behind the reach are zeros of the frame, so equal reaches and bytes have equal hashes
+        self.context = mix64(self.context + reach.astype(np.uint64) * _ODD[61])
+
+    def _leave(self, rows: np.ndarray) -> None:
+        for name in ("place", "first", "last", "digit", "context", "before", "after"):
+            setattr(self, name, getattr(self, name)[rows])
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct anchor once: its digit, and its context or 0 where the bucket has several."""
-        first = self.by[self.heads]
-        return self.digit[first], np.where(self.kinds == 1, self.context[first], np.uint64(0))
+        alone = self.kinds == 1
+        first = self.heads[alone]
+        many = np.unique(self.digit[self.heads[~alone]])
+        return np.append(self.digit[first], many), np.append(self.context[first], np.zeros(len(many), dtype=np.uint64))
 
     def first_anchors(self, digits: np.ndarray, several: bool) -> np.ndarray:
         """First occurrences (one per context) of anchors listed in ``digits`` or, if asked, of several contexts here."""
-        wanted = np.isin(self.digit[self.by[self.heads]], digits)
+        wanted = np.isin(self.digit[self.heads], digits)
         if several:
             wanted |= self.kinds > 1
-        return np.sort(self.by[self.new_context & wanted[self.group]]) if len(self.by) else self.by
+        return self.heads[wanted]
 
-    def halves(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The half digests of some anchors (ascending)."""
-        before, after = np.empty(len(anchors), dtype=np.uint64), np.empty(len(anchors), dtype=np.uint64)
-        doc = self.doc[anchors]
-        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
-        for low, high in zip(starts, np.append(starts[1:], len(doc))):
-            before[low:high], after[low:high] = self.docs[doc[low]].halves(self.place[anchors[low:high]])
-        return before, after
+    def told_contexts(self, told: "Told") -> np.ndarray:
+        """Which anchors an earlier bucket has with the same context."""
+        return _in_pairs(self.context, self.digit, *told.pairs(CONTEXT))
 
-    def expand(self, anchors: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, digit, window hash) of the windows of some anchors (ascending), in document order.
+    def windows(self, places: np.ndarray) -> np.ndarray:
+        """Hash of the ``DEPTH`` bytes from each place (ascending)."""
+        out = np.empty(len(places), dtype=np.uint64)
+        low = 0
+        while low < len(places):
+            start = int(places[low])
+            high = int(np.searchsorted(places, start + _PIECE))
+            strings = _strings(self._words, start, int(places[high - 1]) + REACH + 1)
+            out[low:high] = _joined(strings, places[low:high] - start, _IN_WINDOW, 3)
+            low = high
+        return out
+
+    def expand(self, anchors: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, digit, window hash) of the windows of some anchors (ascending), in order.
 
         ``before`` and ``after`` tell for each anchor which of its halves is looked at.
         """
-        doc, start, digit, whole = [], [], [], []
-        owner = self.doc[anchors]
-        for i in np.unique(owner):
-            low, high = np.searchsorted(owner, i), np.searchsorted(owner, i, "right")
-            mine = anchors[low:high]
-            d = self.docs[i]
-            at = d.anchors()
-            chosen = np.zeros(d.n, dtype=bool)
-            chosen[self.place[mine]] = True
-            windows = np.flatnonzero(chosen[at])
-            which = np.searchsorted(self.place[mine], at[windows])
-            near = at[windows] - windows <= SPLIT
-            wanted = np.where(near, after[low:high][which], before[low:high][which])
-            windows, which = windows[wanted], which[wanted]
-            doc.append(np.full(len(windows), i))
-            start.append(windows)
-            digit.append(self.digit[mine][which])
-            whole.append(d.windows(windows))
-        if not doc:
-            none = np.empty(0, dtype=np.int64)
-            return none, none, none.view(np.uint64), none.view(np.uint64)
-        return np.concatenate(doc), np.concatenate(start), np.concatenate(digit), np.concatenate(whole)
-
-
-def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, mask): a stable order by the keys, and which rows in it begin a new key."""
-    by = np.lexsort(keys[::-1])
-    new = np.zeros(len(by), dtype=bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[by][1:] != k[by][:-1]
-    return by, new
+        place, first, last = self.place[anchors], self.first[anchors], self.last[anchors]
+        low = np.where(before, first, np.maximum(first, place - SPLIT))
+        high = np.where(after, last, np.minimum(last, place - SPLIT - 1))
+        n = np.where(before | after, np.maximum(high - low + 1, 0), 0)
+        start = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return start, np.repeat(self.digit[anchors], n), self.windows(start)
 
 
 def _unsigned(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return pdf[column].to_numpy(np.int64).view(np.uint64)
 
 
+class Told:
+    """What the compared digits, halves, contexts and windows tell a bucket."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        if len(pdf):
+            self._kind, self._a, self._b = pdf["kind"].to_numpy(), _unsigned(pdf, "a"), _unsigned(pdf, "b")
+        else:
+            self._kind, self._a, self._b = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+        self.everything = self._a
+
+    def digits(self, kind: int) -> np.ndarray:
+        return self._a[self._kind == kind]
+
+    def pairs(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, digit) of one kind."""
+        listed = self._kind == kind
+        return self._b[listed], self._a[listed]
+
+
 def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str]:
     """Documents in ranges of (doc_id, row), as a bucketed table, and the table's name."""
     spark, row = docs.sparkSession, fresh(docs, "uid")
@@ -263,14 +280,14 @@ def _compare_digits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if pdf is None:
         return
     digit, context, bucket = _unsigned(pdf, "a"), _unsigned(pdf, "b"), pdf["bucket"].to_numpy(np.int64)
-    by = np.lexsort((bucket, digit))
+    by = np.argsort(digit)
     d, c, b = digit[by], context[by], bucket[by]
     new = np.append(True, d[1:] != d[:-1])
     group = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     size = np.bincount(group)
     differs = np.bincount(group, (c != c[heads][group]) | (c == 0)) > 0
-    tell = (size[group] > 1) & (differs[group] | ~new)
+    tell = (size[group] > 1) & (differs[group] | (b != _least_of(b, heads)[group]))
     kind = np.where(differs[group], OPEN, REPEATED)[tell]
     yield pd.DataFrame({"bucket": b[tell].astype(np.int32), "kind": kind.astype(np.int32), "a": _signed(d[tell]), "b": np.zeros(len(kind), dtype=np.int64)})
 
@@ -281,13 +298,15 @@ def _compare_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if pdf is None:
         return
     digit, whole, bucket = _unsigned(pdf, "a"), _unsigned(pdf, "b"), pdf["bucket"].to_numpy(np.int64)
-    by = np.lexsort((bucket, digit, whole))
-    d, w, b = digit[by], whole[by], bucket[by]
-    tell = ~np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1]))
-    yield pd.DataFrame({"bucket": b[tell].astype(np.int32), "kind": np.full(int(tell.sum()), WINDOW, dtype=np.int32), "a": _signed(d[tell]), "b": _signed(w[tell])})
+    by, new = _grouped(whole, digit)
+    b = bucket[by]
+    heads = np.flatnonzero(new)
+    tell = by[b != np.repeat(_least_of(b, heads), np.diff(np.append(heads, len(by))))]
+    yield pd.DataFrame({"bucket": bucket[tell].astype(np.int32), "kind": np.full(len(tell), WINDOW, dtype=np.int32), "a": _signed(digit[tell]), "b": _signed(whole[tell])})
 
 
 _DIGESTS = "bucket int, a long, b long"
+_HALVES = "bucket int, kind int, a long, b long, c long"
 _TOLD = "bucket int, kind int, a long, b long"
 
 
@@ -297,42 +316,53 @@ def _send_digits(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _send_halves(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    none = pd.DataFrame({"bucket": np.empty(0, np.int32), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    """Each context of the open anchors once, and each half of them once, with its context or 0 where the bucket has several."""
+    none = pd.DataFrame({"bucket": np.empty(0, np.int32), "kind": np.empty(0, np.int32), **{c: np.empty(0, np.int64) for c in "abc"}})
     if not len(pdf) or not len(told):
         return none
     bucket = Bucket(pdf, _unsigned(told, "a"))
-    anchors = bucket.first_anchors(_unsigned(told, "a"), several=False)
-    digit, half = np.tile(bucket.digit[anchors], 2), np.concatenate(bucket.halves(anchors))
-    by, new = _first_of(half, digit)
-    keep = by[new]
-    return pd.DataFrame({"bucket": np.full(len(keep), pdf["bucket"].iloc[0], dtype=np.int32), "a": _signed(digit[keep]), "b": _signed(half[keep])})
+    anchors = bucket.heads
+    own, context = bucket.digit[anchors], bucket.context[anchors]
+    digit, half = np.tile(own, 2), np.append(bucket.before[anchors], bucket.after[anchors])
+    by, new = _grouped(half, digit)
+    heads = np.flatnonzero(new)
+    keep = by[heads]
+    alone = np.diff(np.append(heads, len(by))) == 1
+    which = np.where(alone, np.tile(context, 2)[keep], np.uint64(0))
+    kind = np.repeat(np.array([CONTEXT, HALF], dtype=np.int32), [len(own), len(keep)])
+    return pd.DataFrame({"bucket": np.full(len(kind), pdf["bucket"].iloc[0], dtype=np.int32), "kind": kind, "a": _signed(np.append(own, digit[keep])),
+                         "b": _signed(np.append(context, half[keep])), "c": _signed(np.append(context, which))})
 
 
 def _compare_halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Halves that several buckets have."""
+    """Contexts that an earlier bucket has, and halves that several buckets have in different contexts."""
     pdf = _sorted_partition(batches)
     if pdf is None:
         return
-    digit, half, bucket = _unsigned(pdf, "a"), _unsigned(pdf, "b"), pdf["bucket"].to_numpy(np.int64)
-    by, new = _first_of(half, digit)
+    digit, hashed, context, bucket, kind = (*(_unsigned(pdf, x) for x in "abc"), pdf["bucket"].to_numpy(np.int64), pdf["kind"].to_numpy())
+    by, new = _grouped(hashed, digit)
     group = np.cumsum(new) - 1
-    tell = by[np.bincount(group)[group] > 1]
-    yield pd.DataFrame({"bucket": bucket[tell].astype(np.int32), "kind": np.full(len(tell), HALF, dtype=np.int32), "a": _signed(digit[tell]), "b": _signed(half[tell])})
+    heads = np.flatnonzero(new)
+    c, b = context[by], bucket[by]
+    differs = np.bincount(group, (c != c[heads][group]) | (c == 0)) > 0
+    size = np.bincount(group)
+    whole = kind[by] == CONTEXT
+    tell = by[(size[group] > 1) & np.where(whole, b != _least_of(b, heads)[group], differs[group])]
+    yield pd.DataFrame({"bucket": bucket[tell].astype(np.int32), "kind": kind[tell].astype(np.int32), "a": _signed(digit[tell]), "b": _signed(hashed[tell])})
 
 
-def _open_halves(bucket: Bucket, told: pd.DataFrame, several: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_halves(bucket: Bucket, told: Told, several: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchors, before, after): first anchors that are open, and which halves occur again.
 
-    Halves told from other buckets count, and with ``several`` those that occur twice in this one.
+    Anchors whose context an earlier bucket has are settled by it.  Halves told from other buckets count, and with
+    ``several`` those that occur twice in this one.
     """
-    kind = told["kind"].to_numpy() if len(told) else np.empty(0, dtype=np.int64)
-    a = _unsigned(told, "a") if len(told) else np.empty(0, dtype=np.uint64)
-    b = _unsigned(told, "b") if len(told) else np.empty(0, dtype=np.uint64)
-    anchors = bucket.first_anchors(a[kind == OPEN], several)
-    digit, half = np.tile(bucket.digit[anchors], 2), np.concatenate(bucket.halves(anchors))
-    again = _in_pairs(half, digit, b[kind == HALF], a[kind == HALF])
+    anchors = bucket.first_anchors(told.digits(OPEN), several)
+    anchors = anchors[~bucket.told_contexts(told)[anchors]]
+    digit, half = np.tile(bucket.digit[anchors], 2), np.append(bucket.before[anchors], bucket.after[anchors])
+    again = _in_pairs(half, digit, *told.pairs(HALF))
     if several and len(half):
-        by, new = _first_of(half, digit)
+        by, new = _grouped(half, digit)
         group = np.cumsum(new) - 1
         again[by] |= np.bincount(group)[group] > 1
     return anchors, again[: len(anchors)], again[len(anchors) :]
@@ -342,76 +372,61 @@ def _send_windows(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     none = pd.DataFrame({"bucket": np.empty(0, np.int32), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     if not len(pdf) or not len(told):
         return none
-    bucket = Bucket(pdf, _unsigned(told, "a"))
-    _, _, digit, whole = bucket.expand(*_open_halves(bucket, told, several=False))
-    by, new = _first_of(whole, digit)
+    known = Told(told)
+    bucket = Bucket(pdf, known.digits(OPEN))
+    _, digit, whole = bucket.expand(*_open_halves(bucket, known, several=False))
+    by, new = _grouped(whole, digit)
     keep = by[new]
     return pd.DataFrame({"bucket": np.full(len(keep), pdf["bucket"].iloc[0], dtype=np.int32), "a": _signed(digit[keep]), "b": _signed(whole[keep])})
 
 
-def removed_starts(bucket: Bucket, told: pd.DataFrame) -> list[np.ndarray]:
-    """For each document of a bucket, a mask of the window starts that repeat an earlier window."""
-    kind = told["kind"].to_numpy() if len(told) else np.empty(0, dtype=np.int64)
-    a = _unsigned(told, "a") if len(told) else np.empty(0, dtype=np.uint64)
-    b = _unsigned(told, "b") if len(told) else np.empty(0, dtype=np.uint64)
+def removed_bytes(bucket: Bucket, told: Told) -> np.ndarray:
+    """Which bytes of a bucket a window covers that repeats an earlier one."""
     # anchors whose whole context came before: later ones here, and all where an earlier bucket has it
-    again = np.zeros(len(bucket.doc), dtype=bool)
-    if len(bucket.by):
-        again[bucket.by[~bucket.new_context]] = True
-        told_here = np.isin(bucket.digit[bucket.by[bucket.heads]], a[kind == REPEATED])
-        again[bucket.by[told_here[bucket.group]]] = True
-    out = [np.zeros(max(0, d.n - DEPTH + 1), dtype=bool) for d in bucket.docs]
-    starts = np.searchsorted(bucket.doc, np.arange(len(bucket.docs) + 1))
-    for i, d in enumerate(bucket.docs):
-        mine = slice(starts[i], starts[i + 1])
-        if again[mine].any():
-            chosen = np.zeros(d.n, dtype=bool)
-            chosen[bucket.place[mine][again[mine]]] = True
-            out[i] |= chosen[d.anchors()]
-    doc, start, digit, whole = bucket.expand(*_open_halves(bucket, told, several=True))
-    if len(doc):
-        by, new = _first_of(whole, digit)
-        gone = np.zeros(len(doc), dtype=bool)
-        gone[by[~new]] = True
-        listed = kind == WINDOW
-        if listed.any():
-            gone |= _in_pairs(whole, digit, b[listed], a[listed])
-        doc, start = doc[gone], start[gone]  # in document order
-        edges = np.searchsorted(doc, np.arange(len(bucket.docs) + 1))
-        for i in np.flatnonzero(edges[1:] > edges[:-1]):
-            out[i][start[edges[i] : edges[i + 1]]] = True
-    return out
+    again = bucket.of_context != np.arange(len(bucket.place))
+    again |= np.isin(bucket.digit, told.digits(REPEATED)) | bucket.told_contexts(told)
+    edge = np.zeros(len(bucket.data) + 1, dtype=np.int32)
+    edge[bucket.first[again]] += 1  # neighbouring anchors' windows do not overlap, so no place is named twice
+    edge[bucket.last[again] + DEPTH] -= 1
+    start, digit, whole = bucket.expand(*_open_halves(bucket, told, several=True))
+    if len(start):
+        by, new = _grouped(whole, digit)
+        heads = np.flatnonzero(new)
+        gone = np.ones(len(start), dtype=bool)
+        gone[_least_of(by, heads)] = False  # windows come in document order
+        gone |= _in_pairs(whole, digit, *told.pairs(WINDOW))
+        edge[start[gone]] += 1
+        edge[start[gone] + DEPTH] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _in_pairs(w: np.ndarray, d: np.ndarray, listed_w: np.ndarray, listed_d: np.ndarray) -> np.ndarray:
     """Which (w, d) are among the listed pairs."""
-    n = len(w)
-    by, new = _first_of(np.concatenate([listed_w, w]), np.concatenate([listed_d, d]))
-    group = np.cumsum(new) - 1
-    told = np.bincount(group, by < len(listed_w)) > 0
-    out = np.zeros(n, dtype=bool)
-    mine = by >= len(listed_w)
-    out[by[mine] - len(listed_w)] = told[group[mine]]
-    return out
+    if not len(w) or not len(listed_w):
+        return np.zeros(len(w), dtype=bool)
+    by, new = _grouped(np.concatenate([listed_w, w]), np.concatenate([listed_d, d]))
+    heads = np.flatnonzero(new)
+    listed = _least_of(by, heads) < len(listed_w)
+    out = np.empty(len(by), dtype=bool)
+    out[by] = np.repeat(listed, np.diff(np.append(heads, len(by))))
+    return out[len(listed_w) :]
 
 
 def _settle(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame({"doc_id": [], "nameless": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
-    bucket = Bucket(pdf, _unsigned(told, "a") if len(told) else np.empty(0, dtype=np.uint64), several=True)
+    known = Told(told)
+    bucket = Bucket(pdf, known.everything, several=True)
+    covered = removed_bytes(bucket, known)
     rows = []
-    for text, gone in zip(bucket.rows["text"], removed_starts(bucket, told)):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if not gone.any():
+    for low, high in zip(bucket.starts.tolist(), bucket.ends.tolist()):
+        raw, gone = bucket.data[low:high], covered[low:high]
+        removed = int(np.count_nonzero(gone))
+        if not removed:
             rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
             continue
-        edge = np.zeros(len(raw) + 1, dtype=np.int32)
-        edge[: len(gone)] += gone
-        edge[DEPTH : DEPTH + len(gone)] -= gone
-        covered = np.cumsum(edge[:-1]) > 0
-        spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-        kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
-        rows.append((len(raw), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+        rows.append((len(raw), removed, spans, hashlib.sha256(raw[~gone]).hexdigest()))
     out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
     out.insert(0, "doc_id", bucket.rows["doc_id"].to_numpy())
     out.insert(1, "nameless", bucket.rows["nameless"].to_numpy())
@@ -434,7 +449,7 @@ def dedup_substrings(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
         digits = by_bucket.applyInPandas(_send_digits, _DIGESTS).repartition(width, "a")
         told = materialize(digits.mapInPandas(_compare_digits, _TOLD), "digits")
         open_anchors = told.filter(F.col("kind") == OPEN)
-        halves = by_bucket.cogroup(open_anchors.groupBy("bucket")).applyInPandas(_send_halves, _DIGESTS).repartition(width, "b")
+        halves = by_bucket.cogroup(open_anchors.groupBy("bucket")).applyInPandas(_send_halves, _HALVES).repartition(width, "b")
         again = materialize(halves.mapInPandas(_compare_halves, _TOLD), "halves")
         asked = open_anchors.unionByName(again)
         windows = by_bucket.cogroup(asked.groupBy("bucket")).applyInPandas(_send_windows, _DIGESTS).repartition(width, "b")

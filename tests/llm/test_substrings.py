@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tabsight.llm import substrings
@@ -56,3 +58,23 @@ def test_nameless_repeated_and_no_rows(make_docs):
     first = brute([(0, t)])[0][1]
     assert got == [("5", 152, 152), ("5", 152, 152), ("7", 0, 0), ("None", 152, first)]
     assert substrings.dedup_substrings(make_docs([])).count() == 0
+
+
+def test_only_the_first_of_equal_contexts_sends_its_windows():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = [word() for _ in range(120)]
+    edited = [w if i % 20 else "edited" for i, w in enumerate(passage)]
+
+    def sent(copies):
+        texts = [f"{text(30)} {' '.join(passage)} {text(30)}" for _ in range(copies)] + [f"{text(30)} {' '.join(edited)} {text(30)}"]
+        buckets = [pd.DataFrame({"doc_id": [i], "nameless": [False], "text": [t], "uid": [i], "bucket": np.int32(i)}) for i, t in enumerate(texts)]
+        of = lambda told, b: told[told["bucket"] == b["bucket"].iloc[0]]
+        told = pd.concat(substrings._compare_digits(iter([substrings._send_digits(b) for b in buckets])))
+        opened = told[told["kind"] == substrings.OPEN]
+        halves = pd.concat(substrings._compare_halves(iter([substrings._send_halves(b, of(opened, b)) for b in buckets])))
+        asked = pd.concat([opened, halves])
+        return sum(len(substrings._send_windows(b, of(asked, b))) for b in buckets if b["doc_id"].iloc[0] not in (0, copies))
+
+    assert sent(6) <= 6 * 2 * substrings.DEPTH  # at the ends of a passage contexts differ, inside only the edited copy has others
